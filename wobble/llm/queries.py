@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, warc
 from .token_ids import round_trip
 from .tokens import count_tokens
 
 
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM p)
+SELECT page_id, payload_bytes, payload_digest, url,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM m
+"""
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 OP3_SQL = rf"""
 WITH d AS (
@@ -25,11 +34,11 @@ WITH d AS (
   SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) AS n_lines,
-    len(list_filter(lines, lambda x: regexp_matches(x, '[^ 	-]')))
-      - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^ 	-]')))) AS n_dup_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
     coalesce(n, 0) AS n_repeat_words,
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
-    len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9A-Za-z]|[^ -]'))) AS n_bare_words
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9A-Za-z]|[^\x00-\x7F]'))) AS n_bare_words
   FROM d LEFT JOIN covered USING (doc_id)
 ), f AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
@@ -55,6 +64,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
     base, verdict = (quality_rules.applied(F.col("failed"), name, 1) for name in ("base", "text"))
@@ -75,8 +88,8 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op6_token_ids, op9_token_counts, op10_mixture)}
+    return {f.__name__: f for f in (op2_warc_archives, op3_quality_rules, op6_token_ids, op9_token_counts, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL}
