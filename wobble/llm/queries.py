@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, warc
+from . import mixing, quality_rules, sharding, warc
 from .token_ids import round_trip
 from .tokens import count_tokens
 
 
+OP1_SQL = """
+SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -64,6 +67,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -88,8 +95,8 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_archives, op3_quality_rules, op6_token_ids, op9_token_counts, op10_mixture)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op6_token_ids, op9_token_counts, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL}
