@@ -102,6 +102,11 @@ def _counts(c: Chunk) -> list[np.ndarray]:
     return [total, words, points, symbols, lines, dup, repeated, upper, bare]
 
 
+def measure_arrays(c: Chunk) -> dict[str, np.ndarray]:
+    """The measurements of a chunk's texts by name."""
+    return dict(zip(MEASURES, _counts(c), strict=True))
+
+
 def _lines(c: Chunk, feeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of each line."""
     n = 1 + np.diff(np.searchsorted(feeds, c.at, "left"))
