@@ -37,7 +37,7 @@ from .elias_fano import EliasFano
 from .files import opened, read_bytes, write_bytes
 from .shared import shared_dir, text_of
 
-REMEMBERED, JOINED, END_ID = 500_000, 100, 0
+REMEMBERED, JOINED, END_ID = 300_000, 100, 0
 
 
 class Encoder:
@@ -51,7 +51,8 @@ class Encoder:
         self.model.no_padding()
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes | None] = {}
         about = json.loads(self.model.to_str())
         pre, model = about["pre_tokenizer"] or {}, about["model"]
         plain = not about["normalizer"] and not about["post_processor"] or (about["post_processor"] or {}).get("type") == "ByteLevel"
@@ -65,44 +66,68 @@ class Encoder:
             and not model.get("dropout")
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in about["added_tokens"])
         )
-        newline = self.whole(["\n"])[0]
-        self.newline = int(np.frombuffer(newline, self.dtype)[0])
-        self.cuts = self.cuts and len(newline) == self.dtype.itemsize
+        self.line, *stops = self.whole(["\n", ".", ","])
+        self.stop = dict(zip(".,", stops, strict=True))
+        self.newline = int(np.frombuffer(self.line, self.dtype)[0])
+        self.cuts = self.cuts and len(self.line) == self.dtype.itemsize
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def fetch(self, words: list[str], known: dict[str, bytes | None], space: str) -> None:
+        """Ids of words without white space, ``space`` before each. Many go to the library at a time, a newline between.
+
+        A full stop or comma after a letter at the end of a word is a piece of its own.
+        """
+        size = self.dtype.itemsize
+        stem = {w: w[:-1] if w[-1] in ".," and w[-2:-1].isalpha() else w for w in words}
+        need = list({x for x in stem.values() if x not in known})
+        groups = [need[i : i + JOINED] for i in range(0, len(need), JOINED)]
+        for group, ids in zip(groups, self.whole(["\n".join(space + w for w in g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.newline)
+            if len(cuts) == len(group) - 1:
+                at = [-size, *(cuts * size).tolist(), len(ids)]
+                known.update((w, ids[a + size : b]) for w, a, b in zip(group, at, at[1:], strict=False))
+            else:  # a word's own ids hold the newline's
+                known.update(zip(group, self.whole([space + w for w in group]), strict=True))
+        known.update((w, known[x] + self.stop[w[-1]]) for w, x in stem.items() if x != w)
+
     def learn(self, words: list[str]) -> None:
-        """Ids of words that follow a space. Words without white space are given to the library many at a time, a newline between."""
-        plain = [w for w in words if w.split() == [w]]
+        """Ids of words that follow a space; None for those before which the space may join white space."""
+        known, old = self.known, self.old
+        plain, lines, odd = [], [], []
         for w in words:
-            if not w or w[0].isspace():
-                self.known[w] = None  # the space before it may join the white space
-        odd = [w for w in words if w and not w[0].isspace() and w.split() != [w]]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, ids in zip(groups, self.whole(["\n".join(" " + w for w in g) for g in groups]), strict=True):
-            x = np.frombuffer(ids, self.dtype)
-            cuts = np.flatnonzero(x == self.newline)
-            if len(cuts) != len(group) - 1:
-                odd += group
-                continue
-            size = self.dtype.itemsize
-            at = [-size, *(cuts * size).tolist(), len(ids)]
-            self.known.update((w, ids[a + size : b]) for w, a, b in zip(group, at, at[1:], strict=False))
-        self.known.update(zip(odd, self.whole([" " + w for w in odd]), strict=True))
+            if w in old:
+                known[w] = old[w]
+            elif not w or w[0].isspace():
+                known[w] = None
+            elif (parts := w.split()) == [w]:
+                plain.append(w)
+            elif "\n".join(parts) == w:
+                lines.append((w, parts))
+            else:
+                odd.append(w)
+        self.fetch(list({*plain, *(p[0] for _, p in lines if p[0] not in known)}), known, " ")
+        self.fetch(list({x for _, p in lines for x in p[1:] if x not in self.first}), self.first, "")
+        for w, parts in lines:
+            known[w] = known[parts[0]] + b"".join(self.line + self.first[x] for x in parts[1:])
+        known.update(zip(odd, self.whole([" " + w for w in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.whole(texts)
         split = [x.split(" ") for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.first) > REMEMBERED // 8:
-            self.first.clear()
+        if len(self.known) > REMEMBERED:  # words of the generation before last are forgotten
+            self.known, self.old = {}, self.known
+        if len(self.first) > REMEMBERED:
+            self.first = {}
         known, first = self.known, self.first
         self.learn(list({w for parts in split for w in parts[1:] if w not in known}))
         heads = list({parts[0] for parts in split if parts[0] not in first})
-        first.update(zip(heads, self.whole(heads), strict=True))
+        plain = [w for w in heads if w.split() == [w]]
+        self.fetch(plain, first, "")
+        odd = [w for w in heads if w not in first]
+        first.update(zip(odd, self.whole(odd), strict=True))
         out: list[bytes | None] = []
         for parts in split:
             try:
