@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_knn, quality_rules, sharding, warc
+from . import mixing, order_minhash, quality_knn, quality_rules, sharding, warc
 from .token_ids import round_trip
 from .tokens import count_tokens
 
@@ -90,6 +90,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -99,7 +103,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op6_token_ids, op7_quality_classifier, op9_token_counts, op10_mixture)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
