@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, quality_knn, quality_rules, sharding, warc
+from . import decontamination, mixing, order_minhash, quality_knn, quality_rules, sharding, warc
 from .token_ids import round_trip
 from .tokens import count_tokens
 
@@ -25,6 +25,21 @@ SELECT page_id, payload_bytes, payload_digest, url,
 FROM m
 """
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+OP5_SQL = r"""
+WITH i AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+), s AS (
+  SELECT DISTINCT item_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)
+), d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), h AS (
+  SELECT DISTINCT doc_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)
+), n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / CAST(n_item AS DOUBLE) AS containment
+FROM s JOIN h USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+"""
 OP3_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
@@ -82,6 +97,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, (~base).alias("base_failed"), (base & verdict).alias("kept"), "failed")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -103,8 +122,8 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op5_decontamination, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_decontamination": OP5_SQL}
