@@ -192,3 +192,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def classified(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Fits on the labelled rows outside the held-out fold and scores every row of ``docs``."""
     return score(docs, fit(docs, labels, **options))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            found = [m.scores(m.project(*features(c), c.n)) for c in chunks(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(found or [np.zeros(0)]) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)
