@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, order_minhash, quality_knn, quality_rules, sharding, warc
+from . import decontamination, mixing, order_minhash, quality_knn, quality_rules, repeats, sharding, warc
 from .token_ids import round_trip
 from .tokens import count_tokens
 
@@ -97,6 +97,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, (~base).alias("base_failed"), (base & verdict).alias("kept"), "failed")
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -122,7 +126,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op5_decontamination, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op4_repeated_strings, op5_decontamination, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
