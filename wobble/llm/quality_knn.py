@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .kernels import SPACE, Chunk, chunks, hashes
 from .quality_rules import measure_arrays
-from .shared import text_of
+from .shared import bounded_batches, text_of
 
 SAMPLE, DIMS, NEIGHBOURS, THRESHOLD, FOLDS = 8192, 64, 15, 0.3, 5
 WORD_BINS, SHAPE_BINS, PARTS = 1 << 13, 1 << 11, 16
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dims: int = DI
                 yield pa.record_batch([batch.column("id").slice(c.first, c.n), batch.column("label").slice(c.first, c.n), *lists], ["id", "label", "bins", "n"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(work, f"id {kind}, label double, bins array<int>, n array<int>").toArrow().sort_by("id").combine_chunks()
+    got = bounded_batches(rows).mapInArrow(work, f"id {kind}, label double, bins array<int>, n array<int>").toArrow().sort_by("id").combine_chunks()
     label = got["label"].to_numpy()
     flat = lambda c: np.asarray(pa.chunked_array(got[c].chunks, got[c].type).combine_chunks().flatten() if len(got) else [], np.int64)
     bins, n = flat("bins"), flat("n")
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([batch.column("id"), batch.column("held_out"), pa.array(np.concatenate(found or [np.zeros(0)]))], ["id", "held_out", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(work, f"id {kind}, held_out boolean, score double")
+    out = bounded_batches(rows).mapInArrow(work, f"id {kind}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -206,4 +206,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
             found = [m.scores(m.project(*features(c), c.n)) for c in chunks(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(found or [np.zeros(0)]) >= threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return bounded_batches(docs).mapInArrow(work, docs.schema)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BASE, SPACE, Chunk, chunks, grouped_counts, hashes, mixed
+from .shared import bounded_batches
 
 MEASURES = ("n_bytes", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bare_words")
 SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -133,7 +134,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.record_batch([batch.column("id"), *(pa.array(x.astype(np.int64)) for x in cols)], ["id", *MEASURES])
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(work, f"id {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
+    out = bounded_batches(rows).mapInArrow(work, f"id {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
     return out.withColumnRenamed("id", id_col)
 
 

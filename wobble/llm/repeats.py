@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE, Chunk, chunks, hashes, mixed, powers
-from .shared import stored, text_of
+from .shared import bounded_batches, stored, text_of
 from .suffix_kernel import registered
 
 LENGTH, GRAM, HOT = 200, 32, 2000
@@ -92,7 +92,7 @@ def _anchors(rows: DataFrame) -> DataFrame:
                 of = pa.array(owner + c.first)
                 yield pa.record_batch([batch.column("doc").take(of), batch.column("t").take(of), *(pa.array(x.astype(np.int64)) for x in rest)], ["doc", "t", "g", "c", "place", "size"])
 
-    return rows.mapInArrow(work, f"doc {kind}, t bigint, g bigint, c bigint, place bigint, size bigint")
+    return bounded_batches(rows).mapInArrow(work, f"doc {kind}, t bigint, g bigint, c bigint, place bigint, size bigint")
 
 
 def _same_doc(a: str, b: str) -> Column:
@@ -115,7 +115,7 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
                 of = pa.array(text + c.first)
                 yield pa.record_batch([batch.column("g").take(of), batch.column("c").take(of), pa.array(start - c.at[text]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["g", "c", "from", "one", "two"])
 
-    rows = stored(hot.select("g", "c", "run").mapInArrow(work, "g bigint, c bigint, from bigint, one bigint, two bigint"), "windows")
+    rows = stored(bounded_batches(hot.select("g", "c", "run")).mapInArrow(work, "g bigint, c bigint, from bigint, one bigint, two bigint"), "windows")
     often = rows.groupBy("g", "one", "two").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     return rows.join(often, ["g", "one", "two"]).select("g", "c", "from", (F.col("from") + LENGTH).alias("to"))
 
@@ -187,6 +187,6 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.record_batch([batch.column("doc"), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = joined.mapInArrow(work, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = bounded_batches(joined).mapInArrow(work, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     out = out.withColumnRenamed("id", id_col)
     return out if with_text else out.drop("kept")

@@ -34,3 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """The column as a string, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Bytes of an Arrow batch that goes to a Python worker, at most (a longer row goes alone).
+BATCH = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, its session's bound on Arrow batches lowered to ``BATCH``: texts vary too much for a bound on rows."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        conf.set(key, str(BATCH))
+    return df

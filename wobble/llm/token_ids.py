@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
 from .files import opened, read_bytes, write_bytes
-from .shared import shared_dir, text_of
+from .shared import bounded_batches, shared_dir, text_of
 
 REMEMBERED, JOINED, END_ID = 300_000, 100, 0
 
@@ -181,7 +181,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID
         about = {"part": part, "name": name, "n_docs": n_docs, "n_null": nulls, "n_ids": total, "width": model.dtype.itemsize}
         yield pa.RecordBatch.from_pylist([about])
 
-    done = rows.mapInArrow(write, "part bigint, name string, n_docs bigint, n_null bigint, n_ids bigint, width bigint").collect()
+    done = bounded_batches(rows).mapInArrow(write, "part bigint, name string, n_docs bigint, n_null bigint, n_ids bigint, width bigint").collect()
     shards, start = [], 0
     for r in sorted(done, key=lambda r: r.part):
         shards.append({"name": r.name, "n_docs": r.n_docs, "n_null": r.n_null, "n_ids": r.n_ids, "width": r.width, "start": start})

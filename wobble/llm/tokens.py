@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import bounded_batches, text_of
 
 #: Bytes of different parts that go to the encoder at once, and parts that a worker remembers.
 BATCH_BYTES, REMEMBERED = 1 << 18, 400_000
@@ -107,5 +107,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
             yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(counted, f"id {id_type}, n_bytes bigint, n_tokens bigint")
+    out = bounded_batches(rows).mapInArrow(counted, f"id {id_type}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

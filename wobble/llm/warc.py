@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import opened
-from .shared import shared_dir, stored, text_of
+from .shared import bounded_batches, shared_dir, stored, text_of
 
 MIN_BYTES, GAP, SPAN = 1000, 64 << 10, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -111,7 +111,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = MIN_BYTES, **col
             sink.close()
         yield from index  # only once the archive is whole
 
-    return stored(planned(pages, min_bytes, **columns).mapInArrow(write, INDEX), "warc-index")
+    return stored(bounded_batches(planned(pages, min_bytes, **columns)).mapInArrow(write, INDEX), "warc-index")
 
 
 NAMES = [x.split()[0] for x in INDEX.split(", ")]
@@ -139,7 +139,7 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
                     found = [r | {"payload": None} for r in found]
                 yield pa.RecordBatch.from_pylist(found, schema=SCHEMA)
 
-    return rows.mapInArrow(read, kinds)
+    return bounded_batches(rows).mapInArrow(read, kinds)
 
 
 SCHEMA = pa.schema(
