@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"(?U)\s+"
 PUNCTUATION = ".,;:!?\"'()[]{}"
@@ -66,7 +67,7 @@ def without_tags(text: Column) -> Column:
     return squeezed(F.regexp_replace(text, "<[^>]+>", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML entities resolved."""
     return text.map(html.unescape, na_action="ignore")
@@ -171,7 +172,7 @@ def answer_in(response: str | None) -> str:
     return next(filter(None, map(usable, reversed(text.splitlines()))), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def answer(response: pd.Series) -> pd.Series:
     return response.map(answer_in)
 
@@ -205,17 +206,17 @@ def answers_in(text: str | None) -> list[str]:
     return [str(a) for a in found if isinstance(a, str | int | float)] if isinstance(found, list) else []
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def verdict(text: pd.Series) -> pd.Series:
     return text.map(verdict_in).astype("object")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def listed_answers(text: pd.Series) -> pd.Series:
     return text.map(answers_in)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance over lower-case words: words become characters, and rows of the table are single array steps."""
     return pd.Series([word_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
@@ -236,7 +237,7 @@ def word_distance(a: str | None, b: str | None) -> int | None:
     return int(row[-1])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def request_key(body: pd.Series) -> pd.Series:
     """SHA-256 of a request's canonical JSON: keys sorted, no spaces, ASCII only, nulls kept."""
     from hashlib import sha256

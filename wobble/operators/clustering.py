@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def candidate_pairs(samples: DataFrame, cell: list[str]) -> DataFrame:
@@ -40,7 +41,7 @@ def clusters(samples: DataFrame, links: DataFrame, cell: list[str], order: list[
     return samples.join(flat, [*cell, "answer"])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _labels(items: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([component_labels(list(i), *(list(x) if x is not None else [] for x in (p, q))) for i, p, q in zip(items, a, b, strict=True)], dtype=object)
 

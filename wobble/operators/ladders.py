@@ -7,6 +7,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as E
 
@@ -28,7 +29,7 @@ def distractor_first(paragraphs: Column) -> Column:
     return F.concat(_places(paragraphs, False), _places(paragraphs, True))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def shuffled(seed: pd.Series, n: pd.Series) -> pd.Series:
     """0 to n - 1, shuffled by the Mersenne Twister with the seed: results depend on that generator."""
 
