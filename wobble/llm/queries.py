@@ -29,14 +29,14 @@ OP5_SQL = r"""
 WITH i AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
 ), s AS (
-  SELECT DISTINCT item_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)
+  SELECT DISTINCT item_id, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS s
+  FROM (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM i) WINDOW o AS (PARTITION BY item_id ORDER BY p)
 ), d AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents
 ), h AS (
-  SELECT DISTINCT doc_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)
-), n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id)
+  SELECT DISTINCT doc_id, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS s
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+), n AS (SELECT item_id, count(s) AS n_item FROM s GROUP BY item_id)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / CAST(n_item AS DOUBLE) AS containment
 FROM s JOIN h USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
@@ -44,8 +44,10 @@ OP3_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), grams AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS c
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
+    SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g
+    FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  ) WHERE g IS NOT NULL
 ), covered AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE c > 1) GROUP BY doc_id
 ), m AS (
