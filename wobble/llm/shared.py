@@ -31,6 +31,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As :func:`stored`, in buckets of ``key``: joins by it read the table where it lies and shuffle only the other side.
+
+    There are as many buckets as shuffle partitions, as a shuffle of the table would make. The files are in the shared
+    folder; the table's entry in the session's catalog is a name for them.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    entry = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(entry)
+    return spark.table(entry)
+
+
 def text_of(column: str = "text") -> Column:
     """The column as a string, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
