@@ -177,6 +177,6 @@ def spearman(rows: DataFrame, a: str, b: str, by: list[str], name: str, least: i
     """Rank correlation of two columns over rows that have both, by group; null below ``least`` rows or without variance."""
     full = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double")))
     ranked = full.select(*by, average_rank(a, by).alias("x"), average_rank(b, by).alias("y"))
-    flat = (F.stddev_pop("x") == 0) | (F.stddev_pop("y") == 0)
-    value = F.when((F.count("*") >= least) & ~flat, F.corr("x", "y"))
+    both = F.stddev_pop("x") * F.stddev_pop("y")  # corr() itself fails on a column without variance
+    value = F.when((F.count("*") >= least) & (both > 0), F.covar_pop("x", "y") / F.when(both > 0, both))
     return ranked.groupBy(*by).agg(value.alias(name), F.count("*").alias("n"))
