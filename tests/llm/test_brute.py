@@ -1,12 +1,14 @@
 """Operators that SQL cannot express, against plain Python over every row."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from tests.llm.conftest import words
 from wobble.llm import decontamination, mixing, order_minhash, quality_knn, quality_rules, repeats, sharding, token_ids, tokens
 from wobble.llm.queries import tokenizer_path
 
@@ -118,6 +120,25 @@ def test_near_duplicates(edge, edge_rows, nothing):
     assert order_minhash.deduplicated(nothing).count() == 0
 
 
+def test_near_duplicates_of_one_passage(spark):
+    """Many unlike groups whose texts share most of their shingles with all others, so that they crowd the same buckets."""
+    rng = random.Random(3)
+    passage, texts = words(rng, 79), []
+    for _ in range(60):
+        own = words(rng, 25)
+        texts += [" ".join(passage + own), " ".join(passage + own[:11] + words(rng, 14))]
+    seqs = [shingle_sequence(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(set(seqs[i]) & set(seqs[j])) >= 80 and alignment(seqs[i], seqs[j]) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    assert len(set(root)) == 60
+    want = Counter((i, root.index(r)) for i, r in enumerate(root))
+    got = bag(order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "class_id")
+    assert got == want
+
+
 def test_quality_classifier(spark, sf, edge, nothing):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = quality_knn.classified(docs, labels)

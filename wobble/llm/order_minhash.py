@@ -9,8 +9,12 @@ a band as wide as the threshold allows, must be at least 0.8 of the longer seque
 
 Equal texts are one node, found by their MD5. In a bucket every node is compared with one leader, the node with
 the smallest hash, which is mostly the same in all buckets of a group; nodes that are not found similar are
-compared with two more leaders of the bucket. So pairs grow with the bucket's size, not its square, whatever the
-size of a group, and no bucket is gathered anywhere. Classes are connected components of verified pairs.
+compared with two more leaders of the bucket. This links most of a group with as many pairs as the bucket has nodes.
+The nodes of every bucket that still holds more than one group are then compared across groups (first with one node of
+an element's largest group, then, across the groups still apart, with all), without a bound on their number: two sequences that agree in 0.8 of the longer one share an element among the first ``n - ceil(0.8 n) +
+1`` of each in any common order of elements, and here common elements come last, so that texts which share a licence
+or a template meet only if they share something rarer too. No pair of a bucket that could reach the threshold is left
+out, and no bucket is gathered anywhere. Classes are connected components of verified pairs.
 
 Words are runs of ASCII letters and digits and bytes beyond ASCII, ASCII letters in lower case. Defined results: a
 text of one to four words has one shingle, all its words; texts without a word are alike only if equal; a null
@@ -26,14 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .decontamination import small
 from .kernels import BASE, Chunk, chunks, hashes, mixed
 from .shared import bounded_batches, stored, stored_by
 
 WORDS, THRESHOLD, SKETCHES, TAKEN = 5, 0.8, 16, 3
+#: Nodes that an element may occur in before it counts as common (this orders elements, it leaves out none).
+COMMON = 16
 #: Bytes of words; lower case of ASCII letters.
 LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -156,8 +163,59 @@ def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataF
     return stored(bounded_batches(rows.select("a", "b", "seq_a", "seq_b")).mapInArrow(work, "a binary, b binary"), "links")
 
 
+def _elements(sequences: DataFrame) -> DataFrame:
+    """``node, n, e``: a row per element of each of the ``node, seq`` rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("seq")]
+            n = np.array([len(x) for x in seqs], np.int64)
+            at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *seqs])))
+            yield pa.record_batch([batch.column("node"), pa.array(n), lists], ["node", "n", "es"])
+
+    rows = bounded_batches(sequences.select("node", "seq")).mapInArrow(work, "node binary, n bigint, es array<bigint>")
+    return rows.select("node", "n", F.explode("es").alias("e"))
+
+
+def _prefixes(sequences: DataFrame, threshold: float) -> DataFrame:
+    """``node, n, e, place``: of each sequence so many elements, common ones last, that similar sequences share one."""
+    elements = stored(_elements(sequences), "elements")
+    common = stored(elements.groupBy("e").agg(F.count("*").alias("times")).where(F.col("times") > COMMON), "common")
+    ordered = elements.join(small(common, common.count()), "e", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "e"))
+    first = ordered.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    return stored(first.select("node", "n", "e", "place"), "prefixes")
+
+
+def _across(prefixes: DataFrame, groups: DataFrame, sequences: DataFrame, threshold: float, every: bool) -> DataFrame:
+    """Pairs ``a, b`` of labels in ``groups`` (``node, label``) that have similar nodes.
+
+    Compared are, by shared element, the nodes outside its largest group with all nodes of other groups (``every``), or
+    all nodes with one of the largest group.
+    """
+    named = stored(prefixes.join(groups, "node"), "labelled")
+    sizes = named.groupBy("e", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("e").agg(F.max_by("label", "size").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("e", "main")
+    shared = stored(named.join(main, "e"), "shared")
+    columns = ("node", "n", "place", "label")
+    if every:
+        a = shared.where("label <> main")
+    else:
+        least = F.min(F.struct(F.xxhash64("e", "node").alias("h"), *columns)).alias("l")
+        a = shared.where("label = main").groupBy("e").agg(least).select("e", *(F.col(f"l.{c}").alias(c) for c in columns))
+    a, b = (x.select("e", *(F.col(c).alias(f"{c}_{name}") for c in columns)) for x, name in ((a, "a"), (shared, "b")))
+    # what follows the first shared element must suffice for both
+    enough = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    pairs = a.join(b, "e").where("label_a <> label_b").where(enough)
+    similar_ = _verified(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), sequences, threshold)
+    for x in "ab":
+        similar_ = similar_.join(groups.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x)
+    return stored(similar_.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "across")
+
+
 def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs ``a, b`` among distinct ``node, text`` rows: enough to connect every class, not all pairs of it."""
+    """Pairs ``a, b`` among distinct ``node, text`` rows that connect every class: similar nodes, or nodes of two groups that have similar ones."""
     sketches = _sketched(texts)
     rows = stored(sketches.select("node", "n", F.explode("keys").alias("key")), "buckets")
     h = F.xxhash64("node")
@@ -180,7 +238,19 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     again = left.join(more, "key").where("node <> leader").where(F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
     again = again.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     second = _verified(again, sequences, threshold)
-    return first.unionByName(second)
+    found = first.unionByName(second)
+
+    # buckets that still hold more than one group: their nodes are compared across groups
+    labels = components(found)
+    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = stored(named, "named")
+    mixed_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    groups = stored(named.join(mixed_, "key", "left_semi").select("node", "label").distinct(), "groups")
+    prefixes = _prefixes(sequences.join(groups, "node", "left_semi"), threshold)
+    some = _across(prefixes, groups, sequences, threshold, every=False)
+    merged = components(some).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    groups = stored(groups.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "groups")
+    return found.unionByName(some).unionByName(_across(prefixes, groups, sequences, threshold, every=True))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
