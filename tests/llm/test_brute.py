@@ -139,6 +139,18 @@ def test_near_duplicates_of_one_passage(spark):
     assert got == want
 
 
+def test_rows_without_an_id_are_told_apart(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(words(rng, 80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, c), (9, d), (9, e), (9, e), (None, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(order_minhash.deduplicated(docs), "doc_id", "text") == Counter([(None, a), (None, b), (7, c), (9, d), (9, e), (None, None), (4, None)])
+    one = docs.where("doc_id is not null").unionByName(spark.createDataFrame([(None, c)], "doc_id long, text string"))
+    assert bag(order_minhash.deduplicated(one), "doc_id", "text") == Counter([(7, c), (9, d), (9, e), (4, None)])
+    items = spark.createDataFrame([(1, a), (2, d)], "item_id long, text string")
+    assert bag(decontamination.clean(docs, items), "doc_id", "text") == Counter(r for r in rows if r[1] not in (a, d))
+
+
 def test_quality_classifier(spark, sf, edge, nothing):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = quality_knn.classified(docs, labels)

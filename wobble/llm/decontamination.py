@@ -90,7 +90,13 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, d
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item. The ids of those that do are broadcast only if they are few."""
-    key = options.get("doc_col", "doc_id")
-    bad = stored(contained(docs, items, **options).select(F.col(key).alias("_bad")).distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that hold no item, told apart by their texts: ids may be null or repeated.
+
+    The digests of texts that do are broadcast only if they are few.
+    """
+    text = options.get("text_col", "text")
+    digest = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    rows = docs.withColumn(digest, F.unhex(F.md5(text_of(text))))
+    bad = contained(rows, items, **options | {"doc_col": digest})
+    bad = stored(bad.select(F.col(digest).alias("_bad")).distinct(), "contaminated")
+    return rows.join(small(bad, bad.count()), rows[digest] == bad["_bad"], "left_anti").drop(digest)

@@ -253,8 +253,8 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.unionByName(some).unionByName(_across(prefixes, groups, sequences, threshold, every=True))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, class_id, class_size`` for each row of ``docs``."""
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``id, node, class`` for each row of ``docs``: node and class are null for a null text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("node", F.unhex(F.md5("text")))
     ids = stored(rows.select("id", "node"), "nodes")
@@ -263,21 +263,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     distinct = stored_by(texts.groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
     labels = components(links(distinct, threshold))
     named = ids.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    named = stored(named.select("id", "class"), "classes")
+    return stored(named.select("id", "node", "class"), "classes")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, class_id, class_size`` for each row of ``docs``."""
+    named = _classes(docs, threshold, id_col, text_col).select("id", "class")
     sizes = named.where("class is not null").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     out = named.join(sizes, "class", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns: of each class the row with the smallest id.
+    """The rows of ``docs``, with all their columns: of each class one row, with the smallest id.
 
-    Rows with a null id are kept if their class has no other, one of them; of rows that share the smallest id, one is kept.
+    Rows are told apart by id and text. A row with a null id is kept only if its class has no other id; every row with
+    a null text is a class of its own and is kept.
     """
-    classes = near_duplicates(docs, threshold, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("class_id").alias("_class"), F.col("class_size").alias("_size"))
-    keep = stored(classes.where(F.col("_id").eqNullSafe(F.col("_class"))).select("_id", "_size").groupBy("_id").agg(F.max("_size").alias("_size"), F.count("*").alias("_n")), "kept")
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]), "left_semi")
-    again = keep.where("_n > 1").select("_id")
-    once = rows.join(again, rows[id_col].eqNullSafe(again["_id"]), "left_anti")
-    repeated = rows.join(again, rows[id_col].eqNullSafe(again["_id"]), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated)
+    named = _classes(docs, threshold, id_col, text_col).where("class is not null")
+    each = named.groupBy("class", "id", "node").agg(F.count("*").alias("n"))
+    least = each.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "n")).alias("l"))
+    keep = stored(least.select(F.col("l.id").alias("_id"), F.col("l.node").alias("_node"), F.col("l.n").alias("_n")), "kept")
+    digest = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    rows = docs.withColumn(digest, F.unhex(F.md5(F.col(text_col).cast("string"))))
+
+    def of(kept: DataFrame) -> DataFrame:
+        return rows.join(kept, (rows[digest] == kept["_node"]) & rows[id_col].eqNullSafe(kept["_id"]), "left_semi")
+
+    once = of(keep.where("_n = 1")).drop(digest)
+    repeated = of(keep.where("_n > 1")).dropDuplicates([id_col, digest]).drop(digest)
+    return once.unionByName(repeated).unionByName(docs.where(F.col(text_col).isNull()))
