@@ -2,8 +2,8 @@
 
 A value below ``u`` of a sequence of ``n`` is split into ``l = floor(log2(u / n))`` low bits, packed end to end,
 and a high part kept in unary: bit ``high + i`` is set for the ``i``-th value. That takes about ``2 + l`` bits a
-value. Every ``STEP``-th set bit's place is sampled in 32 bits, relative to a base for each 2**31 bits, so that
-``select(i)`` reads a sample and then a few bytes.
+value. Every ``STEP``-th set bit's place is sampled in 32 bits (a sequence with more high bits is refused), so that
+``select(i)`` reads a sample and then a few bytes, and ``window(a, b)`` decodes no more than it returns.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import struct
 import numpy as np
 
 MAGIC, STEP = b"WEF1", 512
+#: Values that are coded at a time.
+BLOCK = 1 << 13
 HEAD = struct.Struct("<4sQQqB3xQQ")
 ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
 
@@ -32,14 +34,17 @@ class EliasFano:
         x = (x - base).astype(np.uint64)
         span = int(x[-1]) + 1 if n else 1
         bits = max(0, (span // max(n, 1)).bit_length() - 1)
-        low = ((x[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
         at = (x >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
-        high[at] = 1
-        if len(high) >= 1 << 32:
-            raise ValueError("one coded sequence holds fewer than 2**31 values; write more shards")
-        pack = lambda b: np.packbits(b, bitorder="little")
-        return cls(n, base, bits, pack(low), pack(high), at[::STEP].astype(np.uint32))
+        if n and at[-1] >= (1 << 32) - 1:
+            raise ValueError("one coded sequence has fewer than 2**32 high bits; write more shards")
+        # each set bit is one value's, so sums of bits are their union
+        high = np.zeros((int(at[-1]) >> 3) + 1 if n else 0, np.uint8)
+        np.add.at(high, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        low = [np.zeros(0, np.uint8)]
+        for i in range(0, n, BLOCK):  # a block's bits fill whole bytes
+            cells = ((x[i : i + BLOCK, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            low.append(np.packbits(cells.ravel(), bitorder="little"))
+        return cls(n, base, bits, np.concatenate(low), high, at[::STEP].astype(np.uint32))
 
     def tobytes(self) -> bytes:
         head = HEAD.pack(MAGIC, self.n, STEP, self.base, self.bits, len(self.low), len(self.high))
@@ -53,8 +58,8 @@ class EliasFano:
         raw = np.frombuffer(data, np.uint8, offset=HEAD.size)
         return cls(n, base, bits, raw[:n_low], raw[n_low : n_low + n_high], raw[n_low + n_high :].view("<u4"))
 
-    def select(self, i: int) -> int:
-        """The ``i``-th value, from 0."""
+    def place(self, i: int) -> int:
+        """The place of the ``i``-th set bit of the high part."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         at, left = int(self.samples[i // STEP]), i % STEP
@@ -70,19 +75,35 @@ class EliasFano:
             byte += 128
         left -= int(seen[k - 1]) if k else 0
         byte += k
-        place = byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[left])
-        return self.base + (((place - i) << self.bits) | self._low(i))
+        return byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[left])
+
+    def select(self, i: int) -> int:
+        """The ``i``-th value, from 0."""
+        return self.base + (((self.place(i) - i) << self.bits) | self._low(i))
+
+    def upto(self, value: int, first: int = 0) -> int:
+        """How many values are ``value`` or less, if the first ``first`` are; by selects."""
+        a, b = first, self.n
+        while a < b:
+            mid = (a + b) // 2
+            a, b = (mid + 1, b) if self.select(mid) <= value else (a, mid)
+        return a
+
+    def window(self, a: int, b: int) -> np.ndarray:
+        """The values ``a`` to ``b - 1``, from the bytes that hold them."""
+        if a >= b:
+            return np.zeros(0, np.int64)
+        start, end = self.place(a), self.place(b - 1)
+        bits = np.unpackbits(self.high[start >> 3 : (end >> 3) + 1], bitorder="little")
+        at = np.flatnonzero(bits[start & 7 :])[: b - a] + start
+        out = (at - np.arange(a, b)) << self.bits
+        if self.bits:
+            first = a * self.bits
+            cells = np.unpackbits(self.low[first >> 3 : (b * self.bits + 7) >> 3], bitorder="little")[first & 7 :][: (b - a) * self.bits]
+            out |= cells.reshape(b - a, self.bits).astype(np.int64) @ (np.int64(1) << np.arange(self.bits, dtype=np.int64))
+        return out + self.base
 
     def _low(self, i: int) -> int:
         first, last = i * self.bits, (i + 1) * self.bits
         part = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3].tobytes(), "little")
         return (part >> (first & 7)) & ((1 << self.bits) - 1)
-
-    def values(self) -> np.ndarray:
-        """All values, decoded at once."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)) << self.bits
-        if self.bits:
-            low = np.unpackbits(self.low, bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits)
-            out |= low.astype(np.int64) @ (np.int64(1) << np.arange(self.bits, dtype=np.int64))
-        return out + self.base
