@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import words
 from wobble.llm import decontamination, mixing, order_minhash, quality_knn, quality_rules, repeats, sharding, token_ids, tokens
+from wobble.llm.elias_fano import EliasFano
 from wobble.llm.queries import tokenizer_path
 
 
@@ -71,6 +73,83 @@ def test_token_counts(edge, edge_rows, nothing, name):
     assert tokens.count_tokens(nothing, path).count() == 0
 
 
+PARTS = ["a", "b", " ", "\n", "'", "s", ".", "*", "|", "<|endoftext|>", "<s>", "</s>", "é", "語", "1", "\u00a0", "\t", "  ", "Word", "re,", "ß$", "\u200b", "\u2581", "😀", "'re", "the"]
+
+
+def strings(seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("part", [1 << 16, 3])
+@pytest.mark.parametrize("remembered", [48 << 20, 1000])
+def test_encoder_equals_library(monkeypatch, part, remembered):
+    """Also with parts so small that texts are cut, and a memory that is always full."""
+    monkeypatch.setattr(token_ids, "PART", part)
+    coder, texts = token_ids.Encoder(tokenizer_path("byte_bpe_50k.json"), remembered), strings(1, 8000)
+    for i in range(0, len(texts), 1000):
+        ids, n = coder.encode(pa.array(texts[i : i + 1000]), 0)
+        want = [[*x.ids, 0] for x in coder.model.encode_batch(texts[i : i + 1000], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert coder.encode(pa.array([], pa.string()), 0)[0].tolist() == []
+
+
+def test_boundaries_are_read_by_select():
+    rng = np.random.default_rng(2)
+    for values in ([], [7], [0, 0, 0], np.cumsum(rng.integers(0, 3, 9000)), np.sort(rng.integers(-(10**12), 10**12, 20_001)), [5] * 5000 + [10**11]):
+        values = np.array(values, np.int64)
+        coded = EliasFano.frombytes(EliasFano.encode(values).tobytes())
+        picks = range(0, len(values), max(1, len(values) // 300))
+        assert [coded.select(i) for i in picks] == [int(values[i]) for i in picks]
+        for a, b in ((0, len(values)), (len(values) // 3, len(values) // 2), (max(0, len(values) - 5), len(values))):
+            assert coded.window(a, b).tolist() == values[a:b].tolist()
+        for v in (-1, 0, 5, 4000, 10**11):
+            assert coded.upto(v) == int(np.searchsorted(values, v, "right"))
+    with pytest.raises(ValueError):
+        EliasFano.encode(np.array([2, 1]))
+
+
+def test_reader_needs_select(spark, edge, monkeypatch, tmp_path):
+    """The reader finds documents through the select structure alone: with a false one it fails or reads other ids."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    out = f"file://{tmp_path}/ids"
+    token_ids.write_corpus(edge, path, out)
+    right = bag(token_ids.read_corpus(spark, out), "doc_id", "start", "n_tokens", "ids_crc32")
+    for file in tmp_path.glob("ids/*.ends"):
+        coded = EliasFano.frombytes(file.read_bytes())
+        coded.samples = coded.samples + 1
+        file.write_bytes(coded.tobytes())
+    try:
+        assert bag(token_ids.read_corpus(spark, out), "doc_id", "start", "n_tokens", "ids_crc32") != right
+    except Exception as e:  # noqa: BLE001
+        assert "Error" in str(e)
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_counter_equals_library(monkeypatch, name):
+    path, texts = tokenizer_path(name), strings(2, 8000) + ["\u2581 \u2581", "a" * 3000, "a  b " * 3000]
+    counter = tokens.counter(path)
+    if name.endswith(".model"):
+        rng = random.Random(4)
+        texts += ["".join(rng.choice(["a", " ", "\u2581", "word", "the"]) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+        want = [len(x) for x in counter.model.encode(texts)]
+    else:
+        want = [len(x.ids) for x in counter.model.encode_batch(texts, add_special_tokens=False)]
+    for part in (1 << 16, 3):
+        monkeypatch.setattr(tokens, "PART", part)
+        monkeypatch.setattr(token_ids, "PART", part)
+        assert counter.lengths(pa.array(texts)).tolist() == want
+
+
+def test_long_texts_are_counted_in_parts():
+    """A text of 20 MB is cut into small parts, double spaces or not, and a worker stays small."""
+    counter = tokens.counter(tokenizer_path("piece_bpe_32k.model"))
+    text = " some  words and more \u2581 " * 800_000
+    parts, at = counter.cut(pa.array([text]))
+    assert len(text) > 19_000_000 and len(parts) > 3_000_000 and max(map(len, parts.to_pylist())) < 20
+    assert counter.lengths(pa.array([text[: len(text) // 800]])).tolist() == [len(counter.model.encode(text[: len(text) // 800]))]
+
+
 def shingle_sequence(text):
     import re
 

@@ -182,7 +182,7 @@ def _prefixes(sequences: DataFrame, threshold: float) -> DataFrame:
     """``node, n, e, place``: of each sequence so many elements, common ones last, that similar sequences share one."""
     elements = stored(_elements(sequences), "elements")
     common = stored(elements.groupBy("e").agg(F.count("*").alias("times")).where(F.col("times") > COMMON), "common")
-    ordered = elements.join(small(common, common.count()), "e", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    ordered = elements.join(small(common, 64 * common.count()), "e", "left").withColumn("times", F.coalesce("times", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("node").orderBy("times", "e"))
     first = ordered.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
     return stored(first.select("node", "n", "e", "place"), "prefixes")

@@ -25,31 +25,40 @@ SELECT page_id, payload_bytes, payload_digest, url,
 FROM m
 """
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-OP5_SQL = r"""
-WITH i AS (
-  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
-), s AS (
-  SELECT DISTINCT item_id, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS s
-  FROM (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM i) WINDOW o AS (PARTITION BY item_id ORDER BY p)
-), d AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents
-), h AS (
-  SELECT DISTINCT doc_id, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS s
-  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY p)
-), n AS (SELECT item_id, count(s) AS n_item FROM s GROUP BY item_id)
-SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / CAST(n_item AS DOUBLE) AS containment
-FROM s JOIN h USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+WORDED = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')"
+#: Runs of ``k`` words of each row ``r``: rows of one id are never joined.
+RUNS = """
+  SELECT {cols}, k, s FROM (
+    SELECT {cols}, unnest([1, 2, 3, 4, 5]) AS k, unnest([x, x || ' ' || x2, x || ' ' || x2 || ' ' || x3,
+      x || ' ' || x2 || ' ' || x3 || ' ' || x4, x || ' ' || x2 || ' ' || x3 || ' ' || x4 || ' ' || x5]) AS s
+    FROM (
+      SELECT {cols}, x, lead(x) OVER o AS x2, lead(x, 2) OVER o AS x3, lead(x, 3) OVER o AS x4, lead(x, 4) OVER o AS x5
+      FROM (SELECT {cols}, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM {rows}) WINDOW o AS (PARTITION BY r ORDER BY p)
+    )
+  ) WHERE s IS NOT NULL
+"""
+OP5_SQL = rf"""
+WITH i AS (SELECT row_number() OVER () AS r, item_id, {WORDED} AS w FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDED} AS w FROM documents),
+s AS (
+  SELECT DISTINCT g.item_id, g.s FROM ({RUNS.format(cols="r, item_id", rows="i")}) g
+  JOIN (SELECT r, least(len(w), 5) AS k FROM i) n ON g.r = n.r AND g.k = n.k
+), h AS (SELECT DISTINCT r, doc_id, s FROM ({RUNS.format(cols="r, doc_id", rows="d")}) WHERE s IN (SELECT s FROM s)),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+m AS (SELECT r, doc_id, s.item_id, count(*) AS n_shared FROM s JOIN h USING (s) GROUP BY r, doc_id, s.item_id)
+SELECT doc_id, m.item_id, n_item, max(n_shared) AS n_shared, max(n_shared) / CAST(n_item AS DOUBLE) AS containment
+FROM m JOIN n ON m.item_id IS NOT DISTINCT FROM n.item_id WHERE n_shared >= 0.8 * n_item GROUP BY doc_id, m.item_id, n_item
 """
 OP3_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), grams AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
-    SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g
-    FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM (
+    SELECT r, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g
+    FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) WINDOW o AS (PARTITION BY r ORDER BY i)
   ) WHERE g IS NOT NULL
 ), covered AS (
-  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE c > 1) GROUP BY doc_id
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE c > 1) GROUP BY r
 ), m AS (
   SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -59,7 +68,7 @@ WITH d AS (
     coalesce(n, 0) AS n_repeat_words,
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
     len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9A-Za-z]|[^\x00-\x7F]'))) AS n_bare_words
-  FROM d LEFT JOIN covered USING (doc_id)
+  FROM d LEFT JOIN covered USING (r)
 ), f AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 8 ELSE 0 END)
