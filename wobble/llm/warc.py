@@ -32,6 +32,8 @@ from .files import opened
 from .shared import bounded_batches, shared_dir, stored, text_of
 
 MIN_BYTES, GAP, SPAN = 1000, 64 << 10, 8 << 20
+#: Archive bytes that a reading task gets at most, about, and at least if there are more cores than tasks.
+TASK, LEAST = 64 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -123,7 +125,12 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
     Columns: ``page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload``. Lengths and digests of
     responses are those of the bytes read, and are held against the headers; those of revisits are their headers'.
     """
-    rows = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    rows = selected.select("file", "offset", "length")
+    # index rows are tiny, so tasks are counted by the bytes that they will read
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    cores = selected.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-total // TASK), min(cores, total // LEAST))
+    rows = rows.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     kinds = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
