@@ -1,19 +1,20 @@
 """Mixing sources to target weights (op 10): a multivariate-hypergeometric splitting tree.
 
-The words of each source, its documents in a pseudo-random order, are one stream that is cut into at most
-``BLOCKS`` blocks of equal length (``MIN_BLOCK`` words at least). A source's quota is a whole number of blocks:
-so many full passes over its blocks, and of one more pass the blocks that a pseudo-random permutation puts
-first. The quotas are split among output shards by a binary tree: each node deals its left half an exact
-multivariate-hypergeometric draw from what the node holds, so every shard gets a random share and the shares add
-up. A source's permuted blocks are then dealt to the shards in disjoint runs, and each shard is shuffled on its
-own.
+The words of each source, its documents in a pseudo-random order, are one stream that is cut into blocks of equal
+length (about ``BLOCKS`` of them, but of ``BLOCK_WORDS`` words at most and one at least). A source's quota is a whole
+number of blocks. The quotas are split among output shards by a binary tree: each node deals its left half an exact
+multivariate-hypergeometric draw from what the node holds, so every shard gets a random share and the shares add up. A
+source's blocks, in a pseudo-random permutation, pass after pass, are then dealt to the shards in disjoint runs as long
+as their shares; what no shard has room for is not taken. Each shard is shuffled on its own.
 
-Only one row per source and per (source, bucket) is gathered; blocks are decided where their documents are.
+Shards and ranges of the pseudo-random order follow from the number of words and rows. A row per source is gathered by
+the driver (sources are names of collections, few beside documents; see README), and a row per source and range is added
+up by executors; blocks are decided where their documents are.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, after
 the others; a source without words has target 0; repeated rows count each; equal ids are told apart by text, and
-equal rows lie next to each other in the stream; other columns are kept by :func:`mixture` and may have any
-names that do not start with ``_mix``; an empty table gives an empty result.
+equal rows lie next to each other in the stream; other columns are kept by :func:`mixture`, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +25,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .decontamination import small
 from .shared import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, REPEATS, SEED, SHARDS = (3.0, 1.0, 2.0), 1.5, 2.0, 20240501, 64
-#: Blocks of a source at most, words of a block at least, and ranges of the pseudo-random order of a source.
-BLOCKS, MIN_BLOCK, BUCKETS = 8192, 32, 1024
+WEIGHTS, SHARE, REPEATS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 20240501
+#: Blocks of a source, about, and words of a block at most.
+BLOCKS, BLOCK_WORDS = 8192, 1 << 16
+#: Words of a shard at most, about; of a small mix's shards at least, and how many those are at most.
+SHARD_WORDS, LEAST_WORDS, FEW_SHARDS = 1 << 27, 1 << 18, 64
+#: Rows of a range of a source's pseudo-random order, about.
+RANGE_ROWS = 1 << 15
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> list[float]:
@@ -75,167 +81,152 @@ def _affine(n: int, rng: np.random.Generator) -> tuple[int, int]:
     return 1, 0
 
 
-def plan(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """A row per source: target, block length, permutation, full passes, blocks of the last pass, and by shard the ends of its runs.
+def shard_count(words: float) -> int:
+    return max(1, math.ceil(words / SHARD_WORDS), min(FEW_SHARDS, math.ceil(words / LEAST_WORDS)))
 
-    ``sizes`` has ``source, source_size``, a row per source; it is gathered, as sources are few beside documents.
-    """
-    spark = sizes.sparkSession
-    rows = sorted(((r.source, int(r.source_size)) for r in sizes.collect()), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
+
+def plan(sizes: list[tuple[str | None, int]], *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, shards: int | None = None, seed: int = SEED) -> list[dict]:
+    """A row per source: target, block length, blocks, permutation, and by shard the ends of its runs of dealt blocks."""
+    rows = sorted(sizes, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     goal = targets([n for _, n in rows], weights, share, repeats)
-    length = [max(MIN_BLOCK, -(-n // BLOCKS)) for _, n in rows]
+    length = [max(1, min(BLOCK_WORDS, -(-n // BLOCKS))) for _, n in rows]
     blocks = [-(-n // k) for (_, n), k in zip(rows, length, strict=True)]
     quotas = [min(int(repeats * b), round(t * b / n)) if n else 0 for (_, n), b, t in zip(rows, blocks, goal, strict=True)]
-    share_of = split_tree(quotas, shards, seed)
+    dealt = split_tree(quotas, shards or shard_count(sum(goal)), seed)
     rng, out = np.random.default_rng(seed + 1), []
     for i, (source, n) in enumerate(rows):
         a, c = _affine(blocks[i], rng)
-        passes, rest = divmod(quotas[i], blocks[i]) if blocks[i] else (0, 0)
-        out.append((source, n, goal[i], length[i], blocks[i], a, c, passes, rest, np.cumsum(share_of[:, i]).tolist()))
-    return spark.createDataFrame(out, "source string, source_size long, target double, block_words long, blocks long, factor long, shift long, passes long, rest long, ends array<long>")
-
-
-def placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: bool = False, **options) -> tuple[DataFrame, DataFrame]:
-    """Documents with ``_mix_id, _mix_source, _mix_size, _mix_h`` and ``_mix_first``, their first word in their source's stream, and the plan.
-
-    ``keep`` keeps the columns of ``docs`` too: their rows are then shuffled once, by ranges of each source's order.
-    """
-    source = F.col(source_col).cast("string")
-    h = F.xxhash64(F.lit(seed), F.col(id_col), source, F.col(text_col))
-    rows = docs.select(
-        *(docs.columns if keep else ()),
-        F.col(id_col).alias("_mix_id"),
-        source.alias("_mix_source"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("_mix_size"),
-        h.alias("_mix_h"),
-        F.pmod(F.shiftright(h, 7), F.lit(BUCKETS)).alias("_mix_bucket"),
-    )
-    slim = stored(rows.select("_mix_id", "_mix_source", "_mix_size", "_mix_h", "_mix_bucket"), "mix-sizes")
-    by = stored(slim.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_size").alias("n")), "mix-buckets")
-    w = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(w), F.lit(0))
-    table = plan(by.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("n").alias("source_size")), seed=seed, **options)
-    by = by.select(F.col("_mix_source").alias("_mix_s"), F.col("_mix_bucket").alias("_mix_b"), before.alias("_mix_before"))
-    rows = rows if keep else slim
-    joined = rows.join(by, F.col("_mix_source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_bucket") == F.col("_mix_b")))
-    w = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_h", "_mix_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_mix_before") + F.coalesce(F.sum("_mix_size").over(w), F.lit(0))
-    return joined.withColumn("_mix_first", first).drop("_mix_s", "_mix_b", "_mix_bucket", "_mix_before"), table
-
-
-def planned(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Documents beside the plan of their source, a struct ``_mix``."""
-    # a row per source, which the driver has gathered already
-    table = F.broadcast(table.select(F.col("source").alias("_mix_s"), F.struct(*table.columns).alias("_mix")))
-    return rows.join(table, F.col("_mix_source").eqNullSafe(F.col("_mix_s"))).drop("_mix_s", "_mix_source")
-
+        ends = np.cumsum(dealt[:, i]).tolist()
+        out.append({"source": source, "source_size": n, "target": goal[i], "block_words": length[i], "blocks": blocks[i], "factor": a, "shift": c, "ends": ends})
+    return out
 
-# a document's size, first and last word in its source's stream, first and last block, and what its source's plan says
 
+PLAN = "source string, source_size long, target double, block_words long, blocks long, factor long, shift long, ends array<long>"
 
-def size() -> Column:
-    return F.col("_mix_size")
 
+def _own(id_col: str, source_col: str, text_col: str, seed: int) -> list[Column]:
+    """What tells rows apart: a hash of id, source and text, and the id beside it (a struct, which is never null)."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col).cast("string"), F.col(text_col))
+    return [h.alias("h"), F.struct(F.col(id_col).alias("id")).alias("own")]
 
-def first() -> Column:
-    return F.col("_mix_first")
 
+def placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> tuple[DataFrame, DataFrame, int]:
+    """``h, own, source, size, copies, first`` of each different row, the plan beside its source ``s``, and the number of shards.
 
-def last() -> Column:
-    return first() + size() - 1
+    ``first`` is the first word in the source's stream of the first of its ``copies``.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    slim = docs.select(*_own(id_col, source_col, text_col, seed), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    slim = stored(slim.groupBy("h", "own", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
+    ranges = max(1, math.ceil(slim.count() / RANGE_ROWS))
+    slim = slim.withColumn("range", F.pmod(F.shiftright("h", 7), F.lit(ranges)))
+    by = stored(slim.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("n")), "mix-ranges")
+    rows = plan([(r.source, int(r.n)) for r in by.groupBy("source").agg(F.sum("n").alias("n")).collect()], seed=seed, **options)
+    table = docs.sparkSession.createDataFrame([tuple(r.values()) for r in rows], PLAN)
+    table = small(table.select(F.col("source").alias("s"), F.struct(*table.columns).alias("plan")), sum(8 * len(r["ends"]) + 200 for r in rows))
 
+    w = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    w = Window.partitionBy("source", "range").orderBy("h", "own", "size").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(w), F.lit(0))
+    numbered = slim.withColumn("first", first).join(small(by, 64 * ranges * len(rows)), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    numbered = numbered.select("h", "own", "source", "size", "copies", (F.col("first") + F.col("before")).alias("first"))
+    return numbered, table, len(rows[0]["ends"]) if rows else 1
 
-def length() -> Column:
-    return F.col("_mix.block_words")
 
+# of one document (``size, first, plan``): its first and last block, a block's place in its source's permutation, the
+# document's words in a block, and the shard that a block's copy of a pass is dealt to
 
-def low() -> Column:
-    return F.floor(first() / length())
 
+def _last() -> Column:
+    return F.col("first") + F.col("size") - 1
 
-def high() -> Column:
-    return F.floor(last() / length())
 
+def _block(word: Column) -> Column:
+    return F.floor(word / F.col("plan.block_words"))
 
-def passes() -> Column:
-    return F.col("_mix.passes")
 
+def _place(block: Column) -> Column:
+    return F.pmod(F.col("plan.factor") * block + F.col("plan.shift"), F.col("plan.blocks"))
 
-def rest() -> Column:
-    return F.col("_mix.rest")
 
+def _begin(block: Column) -> Column:
+    return F.greatest(block * F.col("plan.block_words"), F.col("first")) - F.col("first")
 
-def place(block: Column) -> Column:
-    """A block's place in its source's permutation."""
-    return F.pmod(F.col("_mix.factor") * block + F.col("_mix.shift"), F.col("_mix.blocks"))
 
+def _end(block: Column) -> Column:
+    return F.least((block + 1) * F.col("plan.block_words"), _last() + 1) - F.col("first")
 
-def begin(block: Column) -> Column:
-    """The document's first word in a block, from 0."""
-    return F.greatest(block * length(), first()) - first()
 
+def _shard(at: Column, shards: int) -> Column:
+    """How many runs end at or before a place, by bisection."""
+    steps = F.array(*(F.lit(1 << j) for j in reversed(range(shards.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get("plan.ends", low + step - 1) <= at, low + step).otherwise(low))
 
-def end(block: Column) -> Column:
-    return F.least((block + 1) * length(), last() + 1) - first()
 
+def with_pieces(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with ``pieces``: what the shards take of each document, an array of ``turn, block, shard, word_from, word_to``.
 
-def shard(turn: Column, block: Column) -> Column:
-    """The output shard that a block's copy of a pass is dealt to."""
-    at = turn * F.col("_mix.blocks") + place(block)
-    return F.size(F.filter("_mix.ends", lambda x: x <= at))
+    Words are numbered from 0. A block's copy of a pass is taken if it is dealt to a shard.
+    """
+    quota = F.element_at("plan.ends", -1)
+    at = lambda t, b: t * F.col("plan.blocks") + _place(b)
+    of = lambda t: F.transform(
+        F.filter("block_list", lambda b: at(t, b) < quota),
+        lambda b: F.struct(t.alias("turn"), b.alias("block"), _shard(at(t, b), shards).alias("shard"), _begin(b).alias("word_from"), _end(b).alias("word_to")),
+    )
+    turns = F.sequence(F.lit(0).cast("long"), F.floor((quota - 1) / F.col("plan.blocks")))
+    some = (F.col("size") > 0) & (quota > 0)
+    listed = rows.withColumn("block_list", F.when(some, F.sequence(_block(F.col("first")), _block(_last()))))
+    taken_ = F.flatten(F.transform(F.when(some, turns), of))
+    return listed.withColumn("pieces", F.coalesce(taken_, F.expr("array()").cast("array<struct<turn:bigint,block:bigint,shard:int,word_from:bigint,word_to:bigint>>"))).drop("block_list")
 
 
-def pieces(docs: DataFrame, **options) -> DataFrame:
-    """What the mix takes: a row per document, pass and drawn run of its words.
-
-    Columns: ``id, source, size, source_size, target, pass, shard, word_from, word_to, shuffled``. Words are
-    numbered from 0; ``shuffled`` is the place in the shard's shuffled order.
-    """
-    full = planned(*placed(docs, **options)).where(size() > 0).withColumn("block", F.explode(F.sequence(low(), high())))
-    block, turn = F.col("block"), F.col("pass")
-    turns = passes() + F.when(place(block) < rest(), 1).otherwise(0)
-    full = full.where(turns > 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)))
-    return full.select(
-        F.col("_mix_id").alias("id"), "_mix.source", size().alias("size"), "_mix.source_size", "_mix.target", "pass",
-        shard(turn, block).alias("shard"), begin(block).alias("word_from"), end(block).alias("word_to"),
-        F.xxhash64("_mix_h", "pass", "block").alias("shuffled"),
-    )
+def _planned(copies: DataFrame, table: DataFrame, shards: int) -> DataFrame:
+    """Copies (``copy`` from 0) with their own first word, their source's plan and their pieces."""
+    rows = copies.withColumn("first", F.col("first") + F.col("copy") * F.col("size"))
+    return with_pieces(rows.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s"), shards)
 
 
 def taken(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``id, size, source_size, target, taken`` for each row of ``docs``: words that the mix takes of it, repeats counted.
+    """``id, size, source_size, target, taken, n_shards, first_shard`` for each row of ``docs``.
 
-    The runs of :func:`pieces`, added up where the document is.
+    ``taken`` adds up the words of the document's pieces, repeats counted; ``n_shards`` are the shards that they were
+    dealt to, ``first_shard`` is the first of them (null if there is none).
     """
-    words = F.aggregate(
-        F.sequence(low(), high()),
-        F.lit(0).cast("long"),
-        lambda a, b: a + (end(b) - begin(b)) * (passes() + F.when(place(b) < rest(), 1).otherwise(0)),
-    )
-    total = F.when(size() > 0, words).otherwise(F.lit(0).cast("long"))
-    full = planned(*placed(docs, id_col=id_col, **options))
-    return full.select(F.col("_mix_id").alias(id_col), size().alias("size"), "_mix.source_size", "_mix.target", total.alias("taken"))
+    numbered, table, shards = placed(docs, id_col=id_col, **options)
+    copies = numbered.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = _planned(copies, table, shards)
+    words = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["word_to"] - p["word_from"])
+    return rows.select(
+        F.col("own.id").alias(id_col), "size", "plan.source_size", "plan.target", words.alias("taken"),
+        F.size(F.array_distinct("pieces.shard")).alias("n_shards"), F.array_min("pieces.shard").alias("first_shard"),
+    )
 
 
-def mixture(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", seed: int = SEED, **options) -> DataFrame:
     """The mix as rows with the columns of ``docs``, one for each document and pass that takes words of it.
 
     A document that a pass takes whole keeps its text; of one that is taken in part the drawn words are joined by
-    spaces, and ``length_col``, if there, is set to the new length. A row goes to the shard of its first drawn
-    block; each shard is shuffled on its own.
+    spaces, and ``length_col``, if there, is set to the new length. A row stays whole and goes to the shard of its first
+    drawn block; each shard is shuffled on its own.
     """
-    full = planned(*placed(docs, text_col=text_col, keep=True, **options)).where(size() > 0)
-    full = full.withColumn("_mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), passes())))
-    turn = F.col("_mix_pass")
-    drawn = F.filter(F.sequence(low(), high()), lambda b: (turn < passes()) | (place(b) < rest()))
-    full = full.withColumn("_mix_drawn", drawn).where(F.size("_mix_drawn") > 0)
-    whole = F.size("_mix_drawn") == high() - low() + 1
-    full = full.withColumn("_mix_words", F.when(~whole, F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))))
-    run = lambda b: F.slice("_mix_words", (begin(b) + 1).cast("int"), (end(b) - begin(b)).cast("int"))
-    parts = F.array_join(F.flatten(F.transform("_mix_drawn", run)), " ")
-    full = full.withColumn("_mix_text", F.when(whole, F.col(text_col)).otherwise(parts))
-    full = full.withColumn("_mix_shard", shard(turn, F.element_at("_mix_drawn", 1))).withColumn("_mix_order", F.xxhash64("_mix_h", turn))
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.col("_mix_text").alias(text_col)}
+    numbered, table, shards = placed(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    rows = docs.select(*_own(id_col, source_col, text_col, seed), F.struct(*docs.columns).alias("row")).join(numbered, ["h", "own"])
+    # of rows that are equal in id, source and text each takes one copy
+    equal = Window.partitionBy("h", "own").orderBy("h")
+    rows = rows.withColumn("copy", (F.row_number().over(equal) - 1).cast("long"))
+    rows = _planned(rows, table, shards).where(F.size("pieces") > 0).drop("plan")
+    rows = rows.withColumn("turn", F.explode(F.array_distinct("pieces.turn")))
+    rows = rows.withColumn("pieces", F.filter("pieces", lambda p: p["turn"] == F.col("turn")))
+    drawn = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["word_to"] - p["word_from"])
+    whole, body = drawn == F.col("size"), F.col("row")[text_col]
+    rows = rows.withColumn("words", F.when(~whole, F.regexp_extract_all(body, F.lit(f"({WORD})"))))
+    run = lambda p: F.slice("words", (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int"))
+    text = F.when(F.col("words").isNull(), body).otherwise(F.array_join(F.flatten(F.transform("pieces", run)), " "))
+    rows = rows.select(F.element_at("pieces.shard", 1).alias("shard"), F.xxhash64("h", "copy", "turn").alias("order"), "row", text.alias("text"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "order")
+    out = {c: F.col("row")[c].alias(c) for c in docs.columns} | {text_col: F.col("text").alias(text_col)}
     if length_col in out:
-        out[length_col] = F.length("_mix_text").cast(docs.schema[length_col].dataType).alias(length_col)
-    return full.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_order").select(*out.values())
+        out[length_col] = F.length("text").cast(docs.schema[length_col].dataType).alias(length_col)
+    return rows.select(*out.values())
