@@ -12,8 +12,8 @@ BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A random 64-bit value for each byte.
 BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=U64) | U64(1)
-#: Bytes of text that are worked on at a time (a longer text is worked on alone).
-CHUNK = 1 << 20
+#: Bytes of text that are worked on at a time; a longer text is walked piece by piece.
+CHUNK = 1 << 18
 
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
@@ -66,10 +66,59 @@ class Chunk:
         return np.searchsorted(self.at, places, "right") - 1
 
 
+def raw_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of each range's bytes; that of two ranges end to end is the first's plus the second's times BASE**(first's length)."""
+    _, down = powers(len(sums))
+    return (sums[end] - sums[start]) * down[start]
+
+
 def hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each range."""
-    _, down = powers(len(sums))
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+    return mixed(raw_hashes(sums, start, end) + (end - start).astype(U64))
+
+
+def pieces(c: Chunk, limit: int | None = None) -> Iterator[tuple[int, Chunk]]:
+    """The chunk in pieces that fit, with the place of each; only a single long text is cut."""
+    limit = limit or CHUNK
+    if c.n != 1 or len(c.data) <= 2 * limit:
+        yield 0, c
+        return
+    for o in range(0, len(c.data), limit):
+        data = c.data[o : o + limit]
+        yield o, Chunk(data, np.array([0, len(data)]), c.first)
+
+
+def found_runs(c: Chunk, inside: np.ndarray, mapped: np.ndarray | None = None, counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the maximal runs of bytes of the table ``inside``, and how many bytes of ``counted`` each has.
+
+    ``mapped`` replaces bytes first. Memory beyond the result is that of a piece, however long a text is.
+    """
+    out = []
+    for o, p in pieces(c):
+        q = p if mapped is None else Chunk(mapped[p.data], p.at, p.first)
+        start, end = q.runs(inside[q.data])
+        raw = raw_hashes(q.sums(), start, end)
+        n = np.zeros(len(start), np.int64)
+        if counted is not None:
+            seen = np.concatenate([[0], np.cumsum(counted[q.data])])
+            n = seen[end] - seen[start]
+        out.append((start + o, end + o, raw, n))
+    start, end, raw, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    if len(out) > 1:  # runs that go on in the next piece
+        keep = np.ones(len(start), bool)
+        for i in np.flatnonzero(start[1:] == end[:-1]).tolist():
+            head = i if keep[i] else head  # noqa: F821  a run of several pieces grows from its first
+            raw[head] = (int(raw[head]) + int(raw[i + 1]) * pow(int(BASE), int(end[head] - start[head]), 1 << 64)) % (1 << 64)
+            end[head], n[head], keep[i + 1] = end[i + 1], n[head] + n[i + 1], False
+        start, end, raw, n = start[keep], end[keep], raw[keep], n[keep]
+    return start, end, mixed(raw + (end - start).astype(U64)), n
+
+
+def counts(c: Chunk, *tables: np.ndarray) -> list[np.ndarray]:
+    """Of each text, how many of its bytes are in each table."""
+    if c.n == 1:
+        return [np.array([sum(int(np.count_nonzero(t[p.data])) for _, p in pieces(c))]) for t in tables]
+    return [np.diff(np.concatenate([[0], np.cumsum(t[c.data])])[c.at]) for t in tables]
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
@@ -97,3 +146,19 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 def grouped_counts(owner: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
     return np.bincount(owner, weights, n).astype(np.int64)
+
+
+def word_pieces(c: Chunk, limit: int | None = None) -> Iterator[tuple[int, Chunk]]:
+    """As :func:`pieces`, but cut before white space if a piece has any: only a word that is longer than a piece comes in several."""
+    limit = limit or CHUNK
+    if c.n != 1 or len(c.data) <= 2 * limit:
+        yield 0, c
+        return
+    o = 0
+    while o < len(c.data):
+        data = c.data[o : o + limit]
+        if o + limit < len(c.data):
+            gaps = np.flatnonzero(SPACE[data[1:]])
+            data = data[: int(gaps[-1]) + 1] if len(gaps) else data
+        yield o, Chunk(data, np.array([0, len(data)]), c.first)
+        o += len(data)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SPACE, Chunk, chunks, hashes
+from .kernels import SPACE, Chunk, chunks, hashes, word_pieces
 from .quality_rules import measure_arrays
 from .shared import bounded_batches, text_of
 
@@ -39,13 +39,12 @@ SHAPE[ord("A") : ord("Z") + 1], SHAPE[ord("a") : ord("z") + 1], SHAPE[ord("0") :
 SHAPE[128:] = 2
 
 
-def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, bin and term frequency of each feature of a chunk, by text and bin."""
+def _bags(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and bin of each word and each word's shape, and the texts of words that equal the one before."""
     inside = ~SPACE[c.data]
     start, end = c.runs(inside)
     owner = c.owner(start)
     whole = hashes(c.sums(), start, end)
-    words = whole % np.uint64(WORD_BINS)
     again = np.flatnonzero((whole[1:] == whole[:-1]) & (owner[1:] == owner[:-1])) + 1
     kinds = SHAPE[c.data]
     keep = inside.copy()
@@ -54,15 +53,29 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen = np.concatenate([[0], np.cumsum(keep)])
     packed = kinds[keep]
     shapes = hashes(Chunk(packed, np.array([0, len(packed)]), 0).sums(), seen[start], seen[end]) % np.uint64(SHAPE_BINS)
+    bins = np.concatenate([(whole % np.uint64(WORD_BINS)).astype(np.int64), shapes.astype(np.int64) + WORD_BINS])
+    return np.concatenate([owner, owner]), bins, owner[again]
+
+
+def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, bin and term frequency of each feature of a chunk, by text and bin. A long text's features are added up by pieces."""
+    keys, times_, again = [], [], np.zeros(c.n, np.int64)
+    for _, p in word_pieces(c):
+        text, bins, same = _bags(p)
+        key, n = np.unique(text * BINS + bins, return_counts=True)
+        keys.append(key)
+        times_.append(n)
+        again += np.bincount(same, minlength=c.n)
     m = measure_arrays(c)
     n_words = np.maximum(m["n_words"], 1)
-    shares = (m["n_repeat_words"] / n_words, m["n_dup_lines"] / np.maximum(m["n_lines"], 1), np.minimum(m["n_symbols"] / n_words, 1), np.bincount(owner[again], minlength=c.n) / n_words)
+    shares = (m["n_repeat_words"] / n_words, m["n_dup_lines"] / np.maximum(m["n_lines"], 1), np.minimum(m["n_symbols"] / n_words, 1), again / n_words)
     full = np.flatnonzero(m["n_words"])
-    parts = [WORD_BINS + SHAPE_BINS + i * PARTS + np.minimum((PARTS - 1) * np.ceil(s[full] * 8) / 8, PARTS - 1).astype(np.int64) for i, s in enumerate(shares)]
-    text = np.concatenate([owner, owner, *[full] * len(shares)])
-    bins = np.concatenate([words.astype(np.int64), shapes.astype(np.int64) + WORD_BINS, *parts])
-    key, n = np.unique(text * BINS + bins, return_counts=True)
-    return key // BINS, key % BINS, n
+    for i, s in enumerate(shares):
+        part = np.minimum((PARTS - 1) * np.ceil(s[full] * 8) / 8, PARTS - 1).astype(np.int64)
+        keys.append(full * BINS + WORD_BINS + SHAPE_BINS + i * PARTS + part)
+        times_.append(np.ones(len(full), np.int64))
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return key // BINS, key % BINS, np.bincount(place, np.concatenate(times_), len(key)).astype(np.int64)
 
 
 VIEW = np.repeat([0, 1, 2], [WORD_BINS, SHAPE_BINS, 4 * PARTS])

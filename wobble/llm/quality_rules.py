@@ -1,13 +1,14 @@
 """Rule bitmask ledger (op 3): every rule is evaluated once; its failure bit and the measurements are stored.
 
-:func:`ledger` reads each text once and writes measurements and one bit per rule. A policy is a named, versioned
-set of rules; :func:`applied` is a bitwise test of the stored mask, and :func:`ablations` adds up, for every rule
-of a policy, what it alone removes, from counts per distinct mask.
+:func:`ledger` reads each text once and writes measurements and one bit per rule to the shared folder; all that follows
+reads those rows, not the texts. A policy is a named, versioned set of rules; :func:`applied` is a bitwise test of the
+stored mask, and :func:`ablations` adds up, for every rule of a policy, what it alone removes, from counts per distinct
+mask. A text of any length is walked piece by piece; what is kept of it is some bytes a word and a line.
 
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. Lines are
 split at line feeds. Defined results: a null text has measurements of an empty one and fails ``few_words``; a
 null id stays null; repeated rows get a row each; ties do not arise (rows do not depend on each other); other
-columns are ignored; an empty table gives an empty ledger, and ablations of zero documents.
+columns are ignored; an empty table gives an empty ledger, and no ablations.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BASE, SPACE, Chunk, chunks, grouped_counts, hashes, mixed
-from .shared import bounded_batches
+from .kernels import BASE, SPACE, Chunk, chunks, counts, found_runs, grouped_counts, mixed
+from .shared import bounded_batches, stored, text_of
 
 MEASURES = ("n_bytes", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bare_words")
 SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 UPPER = np.isin(np.arange(256), range(ord("A"), ord("Z") + 1))
 #: Bytes that make a word more than punctuation: ASCII letters, digits, and all beyond ASCII.
 SOLID = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
+#: Bytes that begin a character of a word.
+POINT = np.array([not SPACE[b] and b & 0xC0 != 0x80 for b in range(256)])
+FEED = np.arange(256) == 10
 WINDOW = 3
 
 
@@ -53,38 +57,32 @@ RULES = (
 #: Versioned policies: names of the rules that must not fail.
 POLICIES = {
     "base": {1: ("few_words", "repeated_words")},
-    "text": {1: ("few_words", "repeated_words", "symbols", "word_length", "duplicate_lines", "capitals", "bare_words")},
+    "text": {
+        1: ("few_words", "repeated_words", "symbols", "word_length", "duplicate_lines", "capitals", "bare_words"),
+        2: ("few_words", "repeated_words", "symbols", "word_length", "duplicate_lines"),
+    },
 }
 
 
 def _counts(c: Chunk) -> list[np.ndarray]:
-    n, data, total = c.n, c.data, np.diff(c.at)
-    start, end = c.runs(~SPACE[data])
+    n, total = c.n, np.diff(c.at)
+    start, end, h, solid = found_runs(c, ~SPACE, counted=SOLID)
     owner = c.owner(start)
-    sums = c.sums()
     words = grouped_counts(owner, None, n)
+    points, symbols, upper, feeds = counts(c, POINT, SYMBOL, UPPER, FEED)
+    bare = grouped_counts(owner[solid == 0], None, n)
 
-    def per_text(flags: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(flags)])[c.at])
-
-    points = per_text(~SPACE[data] & ((data & 0xC0) != 0x80))
-    symbols, upper = per_text(SYMBOL[data]), per_text(UPPER[data])
-    solid = np.concatenate([[0], np.cumsum(SOLID[data])])
-    bare = grouped_counts(owner[solid[end] == solid[start]], None, n)
-
-    # lines with a word that equal an earlier line of their text
-    feeds = np.flatnonzero(data == 10)
-    first, last, line_of = _lines(c, feeds)
+    # lines with a word that equal an earlier line of their text; a line without a byte has none
+    first, last, key, _ = found_runs(c, ~FEED)
     full = np.searchsorted(start, last, "left") > np.searchsorted(start, first, "left")
-    lines = grouped_counts(line_of, None, n)
-    key = mixed(hashes(sums, first[full], last[full]) ^ mixed(line_of[full].astype(np.uint64), 1))
+    line_of = c.owner(first[full])
+    key = mixed(key[full] ^ mixed(line_of.astype(np.uint64), 1))
     _, at = np.unique(key, return_index=True)
-    dup = grouped_counts(line_of[full], None, n) - grouped_counts(line_of[full][at], None, n)
+    dup = grouped_counts(line_of, None, n) - grouped_counts(line_of[at], None, n)
 
     # words in windows that their text holds twice or more
     repeated = np.zeros(n, np.int64)
     if len(start) >= WINDOW:
-        h = hashes(sums, start, end)
         m = len(h) - WINDOW + 1
         key = mixed(owner[:m].astype(np.uint64), 2)
         for i in range(WINDOW):
@@ -100,7 +98,7 @@ def _counts(c: Chunk) -> list[np.ndarray]:
         for i in range(WINDOW):
             covered[order[twice] + i] = True
         repeated = grouped_counts(owner[covered], None, n)
-    return [total, words, points, symbols, lines, dup, repeated, upper, bare]
+    return [total, words, points, symbols, feeds + 1, dup, repeated, upper, bare]
 
 
 def measure_arrays(c: Chunk) -> dict[str, np.ndarray]:
@@ -108,24 +106,9 @@ def measure_arrays(c: Chunk) -> dict[str, np.ndarray]:
     return dict(zip(MEASURES, _counts(c), strict=True))
 
 
-def _lines(c: Chunk, feeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of each line."""
-    n = 1 + np.diff(np.searchsorted(feeds, c.at, "left"))
-    owner = np.repeat(np.arange(c.n), n)
-    first, last = np.empty(len(owner), np.int64), np.empty(len(owner), np.int64)
-    head = np.cumsum(n) - n
-    is_head = np.zeros(len(owner), bool)
-    is_head[head] = True
-    first[is_head], first[~is_head] = c.at[:-1], feeds + 1
-    is_tail = np.zeros(len(owner), bool)
-    is_tail[head + n - 1] = True
-    last[is_tail], last[~is_tail] = c.at[1:], feeds
-    return first, last, owner
-
-
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The measurements of each row's text, in one pass over the bytes; no shuffle."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +122,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements and ``failed``, the bits of the rules that fail."""
+    """The stored ledger: a row per document with its measurements and ``failed``, the bits of the rules that fail."""
     mask = F.lit(0).cast("long")
     for r in rules:
         fails = F.expr(r.fails) if isinstance(r.fails, str) else r.fails
         mask = mask.bitwiseOR(F.when(fails, F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measured(docs, id_col, text_col).withColumn("failed", mask)
+    return stored(measured(docs, id_col, text_col).withColumn("failed", mask), "ledger")
 
 
 def bits(policy: str, version: int, rules: tuple[Rule, ...] = RULES) -> int:

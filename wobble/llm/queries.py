@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, mixing, order_minhash, quality_knn, quality_rules, repeats, sharding, warc
+from .shared import union
 from .token_ids import round_trip
 from .tokens import count_tokens
 
@@ -82,6 +83,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+ABLATION_SQL = f"""
+WITH ledger AS ({OP3_SQL}), policies AS (
+  SELECT unnest(['base', 'text', 'text']) AS policy, unnest([1, 1, 2]) AS version, unnest([3, 127, 31]) AS bits
+), rules AS (
+  SELECT unnest(['few_words', 'repeated_words', 'symbols', 'word_length', 'duplicate_lines', 'capitals', 'bare_words']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64]) AS b
+)
+SELECT policy, version, rule, count(*) FILTER (failed & b <> 0) AS n_failed, count(*) FILTER (failed & bits = b) AS n_only,
+  count(*) FILTER ((failed & bits & ~b) = 0) AS n_kept_without
+FROM ledger, policies, rules WHERE bits & b <> 0 GROUP BY policy, version, rule
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -108,6 +120,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, (~base).alias("base_failed"), (base & verdict).alias("kept"), "failed")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy and version removes, from the stored ledger."""
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    every = [(p, v) for p, versions in quality_rules.POLICIES.items() for v in versions]
+    parts = [quality_rules.ablations(rows, p, v).select(F.lit(p).alias("policy"), F.lit(v).alias("version"), "*") for p, v in every]
+    return union(parts)
+
+
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut(table(spark, sf_dir, "documents"))
 
@@ -137,8 +157,8 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op4_repeated_strings, op5_decontamination, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op4_repeated_strings, op5_decontamination, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture, quality_rule_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_decontamination": OP5_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_decontamination": OP5_SQL, "quality_rule_ablations": ABLATION_SQL}
