@@ -21,12 +21,10 @@ shingles are joined. Other columns, whatever their names, are ignored; empty tab
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_of
+from .shared import scratch, stored, text_of, union
 
 WORDS, THRESHOLD = 5, 0.8
 #: Sketch hashes that a document must hold, by the largest number of shingles of an item for which so few do.
@@ -82,35 +80,32 @@ def sketches(items: DataFrame, upper: int, threshold: float = THRESHOLD) -> Data
     return items.select("item", hits.alias("hits"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), (missed + hits).cast("int"))).alias("h"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _verified(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """``t, item, n, n_shared``: texts of ``t, text`` by digest, and the items of ``item, text`` that they hold."""
-    words = items.select("item", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    words = stored(words.withColumn("k", F.least(F.size("w"), F.lit(WORDS))), "item-words")
-    lengths = sorted(r.k for r in words.select("k").distinct().collect()) or [WORDS]  # five values at most
-    sets = _union([shingles(words.where(F.col("k") == k), "item", k).select("item", _string(k), _hash(k)) for k in lengths])
-    sets = stored(sets.distinct(), "items")
-    each = sets.groupBy("item").agg(F.collect_set("h").alias("hashes"), F.count("*").alias("n"))
-    each = stored(each.withColumn("upper", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("int")), "item-hashes")
-    uppers = sorted(r.upper for r in each.select("upper").distinct().collect()) or [1]  # one value per power of two
-    sketch = stored(_union([sketches(each.where(F.col("upper") == u), u, threshold) for u in uppers]), "sketches")
-
-    worded = texts.select("t", words_of(F.col("text")).alias("w"))
-    found = _union([shingles(worded, "t", k).select("t", _hash(k)) for k in lengths])
-    found = found.join(small(sketch, _total(sketch, 40, "item")), "h").dropDuplicates(["t", "item", "h"])
-    found = found.groupBy("t", "item").agg(F.count("*").alias("n"), F.first("hits").alias("hits")).where("n >= hits")
-    wanted = stored(found.select("t").distinct(), "candidates")
-
-    exact = texts.join(small(wanted, _total(wanted, 64)), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    exact = stored(exact.select("t", words_of(F.col("text")).alias("w")), "candidate-words")
-    held = _union([shingles(exact, "t", k).select("t", _string(k)) for k in lengths])
-    held = held.join(small(sets.select("item", "s"), _total(sets, 48, "item", "s")), "s").distinct()
-    counted = held.groupBy("t", "item").agg(F.count("*").alias("n_shared"))
-    named = counted.join(small(each.select("item", "n"), _total(each, 48, "item")), "item")
-    return stored(named.where(F.col("n_shared") >= threshold * F.col("n") - 1e-9).select("t", "item", "n", "n_shared"), "contained")
+    """``t, item, n, n_shared``: texts of ``t, text`` by digest, and the items of ``item, text`` that they hold. Stored."""
+    with scratch(texts.sparkSession) as keep:
+        words = items.select("item", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+        words = stored(words.withColumn("k", F.least(F.size("w"), F.lit(WORDS))), "item-words")
+        lengths = sorted(r.k for r in words.select("k").distinct().collect()) or [WORDS]  # five values at most
+        sets = union([shingles(words.where(F.col("k") == k), "item", k).select("item", _string(k), _hash(k)) for k in lengths])
+        sets = stored(sets.distinct(), "items")
+        each = sets.groupBy("item").agg(F.collect_set("h").alias("hashes"), F.count("*").alias("n"))
+        each = stored(each.withColumn("upper", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("int")), "item-hashes")
+        uppers = sorted(r.upper for r in each.select("upper").distinct().collect()) or [1]  # one value per power of two
+        sketch = stored(union([sketches(each.where(F.col("upper") == u), u, threshold) for u in uppers]), "sketches")
+
+        worded = texts.select("t", words_of(F.col("text")).alias("w"))
+        found = union([shingles(worded, "t", k).select("t", _hash(k)) for k in lengths])
+        found = found.join(small(sketch, _total(sketch, 40, "item")), "h").dropDuplicates(["t", "item", "h"])
+        found = found.groupBy("t", "item").agg(F.count("*").alias("n"), F.first("hits").alias("hits")).where("n >= hits")
+        wanted = stored(found.select("t").distinct(), "candidates")
+
+        exact = texts.join(small(wanted, _total(wanted, 64)), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+        exact = stored(exact.select("t", words_of(F.col("text")).alias("w")), "candidate-words")
+        held = union([shingles(exact, "t", k).select("t", _string(k)) for k in lengths])
+        held = held.join(small(sets.select("item", "s"), _total(sets, 48, "item", "s")), "s").distinct()
+        counted = held.groupBy("t", "item").agg(F.count("*").alias("n_shared"))
+        named = counted.join(small(each.select("item", "n"), _total(each, 48, "item")), "item")
+        return keep(stored(named.where(F.col("n_shared") >= threshold * F.col("n") - 1e-9).select("t", "item", "n", "n_shared"), "contained"))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontamination import small
-from .kernels import BASE, Chunk, chunks, hashes, mixed
-from .shared import bounded_batches, stored, stored_by
+from .kernels import BASE, Chunk, chunks, found_runs, mixed
+from .shared import bounded_batches, matched, scratch, stored, stored_by
 
 WORDS, THRESHOLD, SKETCHES, TAKEN = 5, 0.8, 16, 3
 #: Nodes that an element may occur in before it counts as common (this orders elements, it leaves out none).
@@ -49,9 +49,8 @@ LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def labelled(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """The labelled shingles of a chunk's texts, in order, and where each text's begin (with the end)."""
-    low = Chunk(LOWER[c.data], c.at, c.first)
-    start, end = low.runs(LETTER[low.data])
-    owner, h = low.owner(start), hashes(low.sums(), start, end)
+    start, _, h, _ = found_runs(c, LETTER, mapped=LOWER)
+    owner = c.owner(start)
     at = np.searchsorted(owner, np.arange(c.n + 1))
     n = np.diff(at)
     first = np.flatnonzero((np.arange(len(h)) + WORDS <= at[owner + 1]) | ((np.arange(len(h)) == at[owner]) & (n[owner] < WORDS)))
@@ -254,23 +253,24 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """``id, node, class`` for each row of ``docs``: node and class are null for a null text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("node", F.unhex(F.md5("text")))
-    ids = stored(rows.select("id", "node"), "nodes")
-    texts = rows.where("node is not null").select("node", "text")
-    # of equal texts one goes on; the largest groups of copies are thinned before the shuffle
-    distinct = stored_by(texts.groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
-    labels = components(links(distinct, threshold))
-    named = ids.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    return stored(named.select("id", "node", "class"), "classes")
+    """``id, node, class`` for each row of ``docs``: node and class are null for a null text. Stored."""
+    with scratch(docs.sparkSession) as keep:
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        rows = rows.withColumn("node", F.unhex(F.md5("text")))
+        ids = stored(rows.select("id", "node"), "nodes")
+        texts = rows.where("node is not null").select("node", "text")
+        # of equal texts one goes on; the largest groups of copies are thinned before the shuffle
+        distinct = stored_by(texts.groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
+        labels = components(links(distinct, threshold))
+        named = matched(ids, labels, ["node"], "left").withColumn("class", F.coalesce("label", "node"))
+        return keep(stored(named.select("id", "node", "class"), "classes"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, class_id, class_size`` for each row of ``docs``."""
-    named = _classes(docs, threshold, id_col, text_col).select("id", "class")
+    named = _classes(docs, threshold, id_col, text_col)
     sizes = named.where("class is not null").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    out = named.join(sizes, "class", "left")
+    out = matched(named, sizes, ["class"], "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
@@ -280,10 +280,11 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     Rows are told apart by id and text. A row with a null id is kept only if its class has no other id; every row with
     a null text is a class of its own and is kept.
     """
-    named = _classes(docs, threshold, id_col, text_col).where("class is not null")
-    each = named.groupBy("class", "id", "node").agg(F.count("*").alias("n"))
-    least = each.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "n")).alias("l"))
-    keep = stored(least.select(F.col("l.id").alias("_id"), F.col("l.node").alias("_node"), F.col("l.n").alias("_n")), "kept")
+    with scratch(docs.sparkSession) as hold:
+        named = _classes(docs, threshold, id_col, text_col).where("class is not null")
+        each = named.groupBy("class", "id", "node").agg(F.count("*").alias("n"))
+        least = each.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "n")).alias("l"))
+        keep = hold(stored(least.select(F.col("l.id").alias("_id"), F.col("l.node").alias("_node"), F.col("l.n").alias("_n")), "kept"))
     digest = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
     rows = docs.withColumn(digest, F.unhex(F.md5(F.col(text_col).cast("string"))))
 

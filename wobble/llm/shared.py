@@ -1,9 +1,13 @@
-"""Shared storage that the driver and all executors see, and cut lineage through it."""
+"""Shared storage that the driver and all executors see, cut lineage through it, and joins that hot keys do not stop."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +25,55 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wobble-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.get().append((path, None))
+    return path
+
+
+#: Folders, and names in the catalog, that were written since the innermost :func:`scratch` began.
+_written: ContextVar[list[tuple[str, str | None]]] = ContextVar("written", default=[])  # noqa: B039
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is stored inside is removed at the end, but for tables given to the function that this yields.
+
+    A result that is read later must rest on such tables alone; they stay until the scratch around it ends, or for good.
+    """
+    outer, mine = _written.get(), []
+    token = _written.set(mine)
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.shared_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _written.reset(token)
+        for path, entry in mine:
+            if path in kept:
+                outer.append((path, entry))
+            else:
+                remove(spark, path, entry)
+
+
+def remove(spark: SparkSession, path: str, entry: str | None = None) -> None:
+    """Deletes a folder, and its name in the catalog."""
+    if entry:
+        spark.sql(f"DROP TABLE IF EXISTS {entry}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: work done once, safe from lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
 
 
 def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -40,9 +85,42 @@ def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     entry = path.rsplit("/", 1)[1].replace("-", "_")
+    _written.get()[-1] = (path, entry)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(entry)
-    return spark.table(entry)
+    out = spark.table(entry)
+    out.shared_path = path
+    return out
+
+
+#: A key is heavy with one row in so many; there are no more heavy keys than that, so what they match is broadcast.
+HEAVY = 1000
+
+
+def heavy_keys(left: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys, ``HEAVY`` at most, that hold more than one in ``HEAVY`` rows of a stored table; None if there is none."""
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    least = max(left.count() // HEAVY, HEAVY) + 1
+    found = counts.where(F.col("_n") >= least).drop("_n").collect()
+    return left.sparkSession.createDataFrame(found, left.select(*keys).schema) if found else None
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
+    """``left`` (stored) joined with ``right`` (a row per key at most), with no key's rows in one task.
+
+    The heavy keys are found by counting, if they are not given; their rows of ``right`` are broadcast, a thousand at most,
+    and only the other rows shuffle.
+    """
+    heavy = heavy if heavy is not None else heavy_keys(left, keys)
+    if heavy is None:
+        return left.join(right, keys, how)
+    heavy = F.broadcast(heavy)
+    few = F.broadcast(right.join(heavy, keys, "left_semi"))
+    return left.join(heavy, keys, "left_semi").join(few, keys, how).unionByName(left.join(heavy, keys, "left_anti").join(right, keys, how))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def text_of(column: str = "text") -> Column:
@@ -51,11 +129,11 @@ def text_of(column: str = "text") -> Column:
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, at most (a longer row goes alone).
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself, its session's bound on Arrow batches lowered to ``BATCH``: texts vary too much for a bound on rows."""
+    """``df`` itself; its session's bound on Arrow batches is lowered to ``BATCH`` for good: texts vary too much for a bound on rows."""
     key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     now = conf.get(key).rstrip("b")
     if not now.isdigit() or int(now) > BATCH:
