@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, against plain Python over every row."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import words
-from wobble.llm import decontamination, mixing, order_minhash, quality_knn, quality_rules, repeats, sharding, token_ids, tokens
+from wobble.llm import decontamination, kernels, mixing, order_minhash, quality_knn, quality_rules, repeats, shared, sharding, token_ids, tokens
 from wobble.llm.elias_fano import EliasFano
 from wobble.llm.queries import tokenizer_path
 
@@ -19,8 +20,8 @@ def bag(df, *cols):
     return Counter(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_repeated_strings(edge, edge_rows, nothing):
-    starts, datas = defaultdict(int), [(r[0], (r[1] or "").encode()) for r in edge_rows]
+def cut_by_hand(rows):
+    starts, datas = defaultdict(int), [(r[0], (r[1] or "").encode()) for r in rows]
     for _, b in datas:
         for i in range(len(b) - 199):
             starts[b[i : i + 200]] += 1
@@ -32,10 +33,61 @@ def test_repeated_strings(edge, edge_rows, nothing):
                 gone[i + 1 : i + 201] = True
         kept = bytes(x for x, g in zip(b, gone[1:], strict=False) if not g)
         want[key, len(b), int(gone.sum()), int((np.diff(gone.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    assert bag(repeats.cut(edge), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    return want
+
+
+CUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_repeated_strings(edge, edge_rows, nothing, monkeypatch):
+    want = cut_by_hand(edge_rows)
+    assert bag(repeats.cut(edge), *CUT) == want
+    monkeypatch.setattr(kernels, "CHUNK", 1000)  # texts are walked in pieces
+    monkeypatch.setattr(repeats, "overlapping", functools.partial(repeats.overlapping, limit=1000))
+    assert bag(repeats.cut(edge), *CUT) == want
     assert repeats.cut(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 20])
+def test_hot_phrases(spark, monkeypatch, hot):
+    """Phrases of 40 to 230 bytes in many documents, so that groups are split by the bytes around their gram, down to single windows."""
+    rng, rows = random.Random(9), []
+    phrases = [" ".join(words(rng, 80))[:n] for n in (40, 100, 150, 190, 199, 200, 230)]
+    for i in range(120):
+        text = " ".join(words(rng, 25)) + phrases[i % 7] + " ".join(words(rng, 25))
+        rows.append((i, text + (phrases[(i + 2) % 7] if i % 5 == 0 else "")))
+    rows += [(200, "ab" * 400), (201, "ab" * 300 + "c"), (202, phrases[6]), (None, phrases[6]), (3, rows[3][1]), (3, "x" + rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = repeats.covered(repeats.keyed(docs, "doc_id", "text"), hot=hot, shard=1 << 12)
+    monkeypatch.setattr(repeats, "covered", lambda _: out)
+    assert bag(repeats.cut(docs), *CUT) == cut_by_hand(rows)
+
+
+def test_the_sorter_is_needed(spark, edge, edge_rows, monkeypatch):
+    """Without what the suffix sorter finds, ranges that differing runs share are not removed."""
+    monkeypatch.setattr(repeats, "_differing_ranges", lambda rows, *_: rows.select(*repeats.RUN, repeats.F.lit(0).cast("long").alias("from"), repeats.F.lit(0).cast("long").alias("to")).limit(0))
+    assert bag(repeats.cut(edge), *CUT) != cut_by_hand(edge_rows)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HEAVY", 5)
+    left = shared.stored(spark.createDataFrame([(1, i) for i in range(60)] + [(k, k) for k in range(2, 30)], "k long, v long"), "left")
+    right = spark.createDataFrame([(k, -k) for k in range(0, 30, 3)] + [(1, -1)], "k long, w long")
+    for how in ("inner", "left"):
+        assert bag(shared.matched(left, right, ["k"], how), "k", "v", "w") == bag(left.join(right, ["k"], how), "k", "v", "w")
+
+
+def test_scratch_leaves_what_is_kept(spark, tmp_path):
+    from pathlib import Path
+
+    with shared.scratch(spark) as keep:
+        gone, inner = shared.stored(spark.range(3), "gone"), shared.stored_by(spark.range(3), "id", "named")
+        kept = keep(shared.stored(gone.join(inner, "id"), "kept"))
+    assert kept.count() == 3
+    assert [Path(x.shared_path.removeprefix("file://")).exists() for x in (gone, inner, kept)] == [False, False, True]
+    assert not any(t.name.startswith("named") for t in spark.catalog.listTables())
+
+
 def test_token_ids(edge, edge_rows, nothing):
     import tokenizers
 
@@ -247,25 +299,84 @@ def test_quality_classifier(spark, sf, edge, nothing):
     assert bag(kept, "doc_id") == bag(out.where("predicted = 1"), "doc_id")
 
 
-def test_mixture(edge, edge_rows, nothing):
+def mixed_by_hand(numbered, table, shards):
+    """Words taken of each copy by (h, id, copy), and of each shard by source, dealing every block of every pass in turn."""
+    plans, taken, loads = {r.plan.source: r.plan for r in table.collect()}, Counter(), Counter()
+    streams = defaultdict(list)
+    for r in numbered.collect():
+        for k in range(r.copies):
+            streams[r.source].append((r.first + k * r.size, r.size, (r.h, r.own.id, k)))
+    for source, docs in streams.items():
+        p, owner = plans[source], []
+        for first, size, key in sorted(docs, key=lambda d: (d[0], d[1])):
+            assert first == len(owner) or not size  # documents follow each other without a gap
+            owner += [key] * size
+        assert len(owner) == p.source_size
+        order = sorted(range(p.blocks), key=lambda b: (p.factor * b + p.shift) % p.blocks)
+        dealt = [b for b in order * 3][: p.ends[-1]]
+        for at, b in enumerate(dealt):
+            shard = next(i for i, end in enumerate(p.ends) if at < end)
+            loads[source, shard] += 1
+            for key in owner[b * p.block_words : (b + 1) * p.block_words]:
+                taken[key] += 1
+    return taken, loads
+
+
+def mixture_rows(spark, edge):
+    """Two sources of a few thousand words beside the edge rows, so that there are several shards and blocks of many words."""
+    rng = random.Random(11)
+    more = [(1000 + i, " ".join(words(rng, rng.randint(0, 400))), ["big", "other"][i % 4 == 0]) for i in range(150)]
+    return edge.unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"), allowMissingColumns=True)
+
+
+def test_mixture(spark, edge, nothing):
     import re
 
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    rows = mixing.taken(edge)
-    got = rows.select("doc_id", "size", "source_size", "target", "taken").collect()
-    assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], size(r[1])) for r in edge_rows)
+    docs = mixture_rows(spark, edge)
+    rows = mixing.taken(docs, shards=7)
+    got = rows.collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((r.doc_id, size(r.text)) for r in docs.select("doc_id", "text").collect())
     assert all(0 <= r.taken <= 2 * r.size for r in got)
     by = defaultdict(int)
     for r in got:
         by[r.source_size, r.target] += r.taken
-    # a source's words come near its target: within one block of words and one word a document
-    assert all(abs(n - t) <= max(8, 0.02 * t) for (_, t), n in by.items())
-    again = mixing.taken(edge.repartition(5)).select("doc_id", "taken").collect()
-    assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
+    # a source's words come near its target: within a block or two
+    assert all(abs(n - t) <= 2 * -(-s // mixing.BLOCKS) for (s, t), n in by.items())
+    again = mixing.taken(docs.repartition(5), shards=7).select("doc_id", "taken", "n_shards", "first_shard")
+    assert bag(again, *again.columns) == bag(rows, *again.columns)
     assert mixing.taken(nothing).count() == 0
-    mixed = mixing.mixture(edge)
-    assert mixed.columns == edge.columns
+    mixed = mixing.mixture(docs, shards=7)
+    assert mixed.columns == docs.columns
     assert sum(size(r.text) for r in mixed.select("text").collect()) == sum(r.taken for r in got)
+    assert mixing.mixture(nothing).count() == 0
+
+
+def test_mixture_by_hand(spark, edge, monkeypatch):
+    """Against every block dealt one by one; shards' loads are the tree's, and what the tree does not deal is not taken."""
+    monkeypatch.setattr(mixing, "BLOCKS", 97)  # blocks of many words
+    docs = mixture_rows(spark, edge)
+    numbered, table, shards = mixing.placed(docs, shards=7)
+    taken, loads = mixed_by_hand(numbered, table, shards)
+    rows = mixing.taken(docs, shards=7).select("doc_id", "taken")
+    want = Counter((r.own.id, taken[r.h, r.own.id, k]) for r in numbered.collect() for k in range(r.copies))
+    assert bag(rows, "doc_id", "taken") == want
+    plans = [r.plan for r in table.collect()]
+    dealt = mixing.split_tree([p.ends[-1] for p in plans], 7, mixing.SEED)
+    order = sorted(range(len(plans)), key=lambda i: (plans[i].source is None, plans[i].source or ""))
+    assert [[loads[plans[i].source, s] for i in order] for s in range(7)] == mixing.split_tree([plans[i].ends[-1] for i in order], 7, mixing.SEED).tolist()
+    assert dealt.sum() == sum(loads.values())
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: np.zeros((shards, len(quotas)), np.int64))
+    assert mixing.taken(docs, shards=7).where("taken > 0").count() == 0
+
+
+def test_splitting_tree():
+    quotas = [0, 1, 500, 70_000]
+    dealt = mixing.split_tree(quotas, 13, 5)
+    assert dealt.sum(0).tolist() == quotas and np.ptp(dealt.sum(1)) <= 13
+    assert (dealt == mixing.split_tree(quotas, 13, 5)).all()
+    # a source's share of a shard is its share of all, as drawn without replacement
+    assert abs(dealt[:, 3] / dealt.sum(1) - 70_000 / 70_501).max() < 0.01
 
 
 def test_targets_are_shared_anew():
