@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wobble.llm import decontamination, mixing, order_minhash, quality_knn, token_ids
 from wobble.llm.queries import table, tokenizer_path
-from wobble.llm.shared import stored
+from wobble.llm.shared import remove, scratch, stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what a stage read and stored is removed once the next one's input is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i}")
-    return docs
+    *first, (_, last) = STAGES
+    for i, (_, stage) in enumerate(first):
+        with scratch(spark) as keep:
+            after = keep(stored(stage(spark, docs, sf_dir), f"stage-{i}"))
+        if i:
+            remove(spark, docs.shared_path)
+        docs = after
+    out = last(spark, docs, sf_dir)  # it reads its own files, which are written by now
+    remove(spark, docs.shared_path)
+    return out
