@@ -84,7 +84,8 @@ def fi_spec(m0: Column, m_valid: Column) -> Column:
 def hazen(values: Column, lower: Column, upper: Column, jump: float = 0.1) -> Column:
     """Steps of a curve: where neighbouring intervals are apart and the values differ by more than ``jump`` bits.
 
-    A struct of ``plateaus, steps, locations`` (places from 0, of the first value of the higher plateau less one) and ``monotone``.
+    A struct of ``plateaus, steps, locations`` (places from 0, of the value before the step), ``falling`` (no value rises)
+    and ``fits`` (a step at least).
     """
     n = F.size(values)
     pairs = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
@@ -94,9 +95,9 @@ def hazen(values: Column, lower: Column, upper: Column, jump: float = 0.1) -> Co
         return apart & (F.abs(F.get(values, i + 1) - F.get(values, i)) > jump)
 
     at = F.filter(pairs, step)
-    falls = F.exists(pairs, lambda i: F.get(values, i + 1) < F.get(values, i) - 1e-9)
+    rises = F.exists(pairs, lambda i: F.get(values, i + 1) > F.get(values, i) + 1e-9)
     return F.struct(
-        F.when(n < 2, n).otherwise(F.size(at) + 1).alias("plateaus"), F.size(at).alias("steps"), at.alias("locations"), (~falls).alias("monotone")
+        F.when(n < 2, n).otherwise(F.size(at) + 1).alias("plateaus"), F.size(at).alias("steps"), at.alias("locations"), (~rises).alias("falling"), (F.size(at) > 0).alias("fits")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from .prefix import rank_correlation
 
 
 def graded(samples: DataFrame, cell: list[str]) -> DataFrame:
@@ -18,30 +19,59 @@ def graded(samples: DataFrame, cell: list[str]) -> DataFrame:
     return samples.groupBy(*cell, "par").agg(F.avg(F.col("y").cast("double")).alias("f"), F.count("*").alias("k"))
 
 
-def scores(graded_: DataFrame, cell: list[str]) -> DataFrame:
-    """The scores of each cell as an array, by paraphrase."""
-    pairs = F.array_sort(F.collect_list(F.struct("par", "f")))
-    return graded_.groupBy(*cell).agg(F.transform(pairs, lambda p: p["f"]).alias("scores"), F.max("k").alias("k"))
+def facts(graded_: DataFrame, cell: list[str], ks: list[float] = E.GRID) -> DataFrame:
+    """What the input metrics of a cell need, in one partial aggregation: counts of passing scores and a few sums.
 
+    ``n`` paraphrases, ``passing`` (how many reach each threshold), ``f_mean, low, high``, ``half`` and ``full`` (how many
+    reach 0.5 and 1), and the sums ``trials, hits, squares, trials2`` of ``k, k f, k f f, k k``.
+    """
+    f, k = F.col("f"), F.col("k")
+    reach = lambda x, guard=0.0: F.sum((f >= x - guard).cast("long"))
+    return graded_.groupBy(*cell).agg(
+        F.count("*").alias("n"), F.array(*(reach(x) for x in ks)).alias("passing"), F.avg("f").alias("f_mean"), F.min("f").alias("low"), F.max("f").alias("high"),
+        reach(0.5, 1e-9).alias("half"), reach(1.0, 1e-9).alias("full"),
+        F.sum(k).alias("trials"), F.sum(k * f).alias("hits"), F.sum(k * f * f).alias("squares"), F.sum(k * k).alias("trials2"),
+    )
+
+
+def curve() -> Column:
+    """The information curve of a row of :func:`facts`, unclamped."""
+    return F.transform("passing", lambda p: E.bits(p / F.col("n")))
 
-def curves(scored: DataFrame, cell: list[str]) -> DataFrame:
+
+def curves(facts_: DataFrame, cell: list[str]) -> DataFrame:
     """A row per cell and threshold: ``step, k, fi``."""
-    curve = scored.select(*cell, F.posexplode(E.fi_curve(F.col("scores"))).alias("step", "fi"))
-    return curve.select(*cell, "step", F.round(F.col("step") * 0.05, 2).alias("k"), "fi")
+    rows = facts_.select(*cell, F.posexplode(curve()).alias("step", "fi"))
+    return rows.select(*cell, "step", F.round(F.col("step") * 0.05, 2).alias("k"), "fi")
+
 
+def intraclass() -> Column:
+    """One-way intraclass correlation of a row of :func:`facts` in [0, 1], NaN if undefined; each paraphrase has its own number of trials.
 
-def input_metrics(scored: DataFrame, cell: list[str]) -> DataFrame:
+    With equal numbers this is the balanced form, ``(msb - msw) / (msb + (k - 1) msw)``.
+    """
+    n, trials, hits = F.col("n"), F.col("trials"), F.col("hits")
+    msb = (F.col("squares") - hits * hits / trials) / F.when(n > 1, n - 1)
+    msw = (hits - F.col("squares")) / F.when(trials > n, trials - n)
+    k0 = (trials - F.col("trials2") / trials) / F.when(n > 1, n - 1)
+    below = msb + (k0 - 1) * msw
+    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (msb - msw) / F.when(below > 1e-12, below)))
+    return F.coalesce(value, E.nan())
+
+
+def input_metrics(facts_: DataFrame, cell: list[str]) -> DataFrame:
     """``f_mean, aufi, spread, rho_f, fi_premium, n_paraphrases`` of each cell."""
-    s = F.col("scores")
-    total = F.aggregate(s, F.lit(0.0), lambda a, f: a + f)
-    return scored.select(
+    n = F.col("n")
+    cap = F.log2(n + F.lit(1.0))
+    at = lambda c: F.least(E.bits(F.col(c) / n), cap)
+    return facts_.select(
         *cell,
-        (total / F.size(s)).alias("f_mean"),
-        E.aufi(E.fi_curve(s), F.size(s)).alias("aufi"),
-        (F.array_max(s) - F.array_min(s)).alias("spread"),
-        E.rho_f(s, F.greatest(F.col("k"), F.lit(2))).alias("rho_f"),
-        E.fi_premium(s).alias("fi_premium"),
-        F.size(s).cast("long").alias("n_paraphrases"),
+        "f_mean",
+        E.aufi(curve(), n).alias("aufi"),
+        (F.col("high") - F.col("low")).alias("spread"),
+        intraclass().alias("rho_f"),
+        (F.greatest(F.lit(0.0), at("full") - at("half")) + 0.0).alias("fi_premium"),
+        n.alias("n_paraphrases"),
     )
 
 
@@ -83,14 +113,17 @@ def consistency(counts: DataFrame, cell: list[str]) -> DataFrame:
     """Mean over all pairs of paraphrases of 1 less the total variation distance of their cluster shares.
 
     The pairs are never made: over sorted shares ``p_1 <= ... <= p_N`` of a cluster the sum of all differences is that of
-    ``(2 r - N - 1) p_r``, and paraphrases without the cluster only move the ranks.
+    ``(2 r - N - 1) p_r``, and paraphrases without the cluster only move the ranks. Equal shares are counted first, so what
+    is sorted is a row per share, of which there are few.
     """
-    shares = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*cell, "par")))
-    size = counts.groupBy(*cell).agg(F.count_distinct("par").alias("pars"))
-    w = Window.partitionBy(*cell, "cluster").orderBy("p")
+    totals = counts.groupBy(*cell, "par").agg(F.sum("n").alias("total"))
+    size = totals.groupBy(*cell).agg(F.count("*").alias("pars"))
+    shares = counts.join(totals, [*cell, "par"]).select(*cell, "cluster", (F.col("n") / F.col("total")).alias("p")).groupBy(*cell, "cluster", "p").agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*cell, "cluster").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     have = Window.partitionBy(*cell, "cluster")
-    ranked = shares.withColumn("r", F.row_number().over(w)).withColumn("have", F.count("*").over(have)).join(size, cell)
-    term = (2 * (F.col("r") + F.col("pars") - F.col("have")) - F.col("pars") - 1) * F.col("p")
+    ranked = shares.withColumn("c", F.coalesce(F.sum("m").over(w), F.lit(0))).withColumn("have", F.sum("m").over(have)).join(size, cell)
+    m, pars = F.col("m"), F.col("pars")
+    term = F.col("p") * m * (2 * (F.col("c") + pars - F.col("have")) + m - pars)
     pairs = F.max("pars") * (F.max("pars") - 1) / 2
     value = F.when(F.max("pars") < 2, 1.0).otherwise(1 - F.sum(term) / 2 / F.when(pairs > 0, pairs))
     return ranked.groupBy(*cell).agg(value.alias("consistency"))
@@ -136,13 +169,54 @@ def posix(matrix: DataFrame, lengths: DataFrame, cell: list[str]) -> DataFrame:
     return joined.groupBy(*cell).agg(value.alias("posix_psi"))
 
 
-def metric_rows(samples: DataFrame, cell: list[str], extra: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """All metrics of each cell in one row; metrics without facts are null."""
+def whole_matrices(matrix: DataFrame, cell: list[str]) -> DataFrame:
+    """The entries ``i, j, lp`` of cells that have each pair of a prompt and an answer, as many answers as prompts."""
+    size = matrix.groupBy(*cell).agg(F.count("*").alias("_n"), F.count_distinct("i").alias("_i"), F.count_distinct("j").alias("_j"))
+    return matrix.join(size.where("_i = _j and _n = _i * _j").select(*cell), cell)
+
+
+def choice_entropy(choices: DataFrame, cell: list[str], classes: int) -> DataFrame:
+    """``s_tau``: entropy of counts ``n`` of a closed set of ``classes``, as a share of the greatest; 0 for no count or one class."""
+    n = F.sum("n").cast("double")
+    h = F.log2(n) - F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2(F.col("n").cast("double"))).otherwise(0.0)) / n
+    value = F.when((n > 0) & F.lit(classes > 1), F.greatest(h, F.lit(0.0)) / F.log2(F.lit(float(max(classes, 2))))).otherwise(0.0)
+    return choices.groupBy(*cell).agg(value.alias("s_tau"))
+
+
+def metric_rows(samples: DataFrame, cell: list[str], *, prompts: DataFrame | None = None, responses: DataFrame | None = None, matrix: DataFrame | None = None, lengths: DataFrame | None = None, spec: DataFrame | None = None, bootstrap: int = 0, seed: int = 42, encoder: str | None = None) -> DataFrame:
+    """The wide row of each cell: all metrics, null where their facts are not given.
+
+    ``prompts`` and ``responses`` have ``embedding`` (the latter ``par`` too), ``matrix`` and ``lengths`` are as for
+    :func:`posix`, ``spec`` has ``m0, m_valid, spec_level, target_idx``. The curve is clamped at ``log2(n + 1)``; its intervals
+    come from ``bootstrap`` resamples of paraphrases.
+    """
+    from .bootstrap import curve_intervals
+
     counts = cluster_counts(samples.where("cluster is not null"), cell)
-    out = input_metrics(scores(graded(samples, cell), cell), cell)
-    for part in (output_metrics(counts, cell), consistency(counts, cell), variation_ratio(counts, cell), *extra):
-        out = out.join(part, cell, "left")
-    return out
+    scored = graded(samples, cell)
+    facts_ = facts(scored, cell)
+    cap = F.log2(F.col("n") + F.lit(1.0))
+    clamped = facts_.select(*cell, F.transform(curve(), lambda x: F.least(x, cap)).alias("curve"), F.round(F.col("trials") / F.col("n"), 6).alias("n_samples_per_prompt"))
+    parts = [input_metrics(facts_, cell), clamped, output_metrics(counts, cell), consistency(counts, cell), variation_ratio(counts, cell)]
+    parts.append(ess_in(prompts, cell) if prompts is not None else None)
+    parts.append(rho_u(responses, cell).select(*cell, "rho_u") if responses is not None else None)
+    parts.append(posix(matrix, lengths, cell) if matrix is not None else None)
+    parts.append(spec.select(*cell, "m0", "m_valid", "spec_level", "target_idx", E.fi_spec(F.col("m0"), F.col("m_valid")).alias("fi_spec")) if spec is not None else None)
+    parts.append(curve_intervals(scored, cell, bootstrap, seed) if bootstrap else None)
+    absent = (
+        {"ess_in": "double", "rho_u": "double", "posix_psi": "double", "m0": "int", "m_valid": "int", "spec_level": "int", "target_idx": "int", "fi_spec": "double"}
+        | {"ci_low": "array<double>", "ci_high": "array<double>"}
+    )
+    out = parts[0]
+    for part in parts[1:]:
+        if part is not None:
+            out = out.join(part, cell, "left")
+    for name, kind in absent.items():
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(None).cast(kind))
+    # a cell without clusters has one of entropy 0
+    zero = {"h_sem_mean": 0.0, "h_sem_var": 0.0, "a_q": 1, "fi_out_mean": 0.0, "fi_out_var": 0.0, "s_tau_mean": 0.0, "consistency": 1.0}
+    return out.fillna(zero).withColumn("encoder_label", F.lit(encoder))
 
 
 def kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:
@@ -164,19 +238,4 @@ def distance_correlation(rows: DataFrame, cell: list[str]) -> DataFrame:
     """Rank correlation of scores and distances to the best paraphrase over the others; null for fewer than three or no variance."""
     others = rows.join(best_paraphrase(rows, cell), cell).where("par <> best_par")
     far = others.select(*cell, "f", E.distance_to(F.col("embedding"), F.col("best_embedding")).alias("dist"))
-    return spearman(far, "f", "dist", cell, "rho", least=2)
-
-
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank among the rows of a group, ties at their mean."""
-    same = Window.partitionBy(*by, value)
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(same) - 1) / 2
-
-
-def spearman(rows: DataFrame, a: str, b: str, by: list[str], name: str, least: int = 3) -> DataFrame:
-    """Rank correlation of two columns over rows that have both, by group; null below ``least`` rows or without variance."""
-    full = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double")))
-    ranked = full.select(*by, average_rank(a, by).alias("x"), average_rank(b, by).alias("y"))
-    both = F.stddev_pop("x") * F.stddev_pop("y")  # corr() itself fails on a column without variance
-    value = F.when((F.count("*") >= least) & (both > 0), F.covar_pop("x", "y") / F.when(both > 0, both))
-    return ranked.groupBy(*by).agg(value.alias(name), F.count("*").alias("n"))
+    return rank_correlation(far, "f", "dist", cell, "rho", least=2)

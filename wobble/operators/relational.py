@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from .prefix import distinct_values, group_of, medians, running
 
 
 def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -48,17 +49,18 @@ def described(rows: DataFrame, values: list[str]) -> DataFrame:
     """``name, mean, median, low, high, positive`` of each column, nulls left out."""
     pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("x")) for v in values))).alias("p")
     long = rows.select(pairs).select("p.name", "p.x").where("x is not null")
-    return long.groupBy("name").agg(
-        F.avg("x").alias("mean"), F.median("x").alias("median"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg((F.col("x") > 0).cast("double")).alias("positive")
-    )
+    rest = long.groupBy("name").agg(F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg((F.col("x") > 0).cast("double")).alias("positive"))
+    return rest.join(medians(long, ["name"], "x", "median").select("g.name", "median"), "name")
 
 
 def octants(rows: DataFrame, block: list[str], values: list[str], least: int, name: str) -> DataFrame:
     """Occupancy of the corners that median splits (strictly above) of three values make in each block of ``least`` rows or more."""
-    full = rows.where(" and ".join(f"{v} is not null" for v in values))
-    cuts = full.groupBy(*block).agg(*(F.median(v).alias(f"_{v}") for v in values), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    full = rows.where(" and ".join(f"{v} is not null" for v in values)).withColumn("_g", group_of(block))
+    cuts = full.groupBy(F.col("_g").alias("g")).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    for v in values:
+        cuts = cuts.join(medians(full, block, v, f"_{v}"), "g")
     flags = [(F.col(v) > F.col(f"_{v}")).cast("int").alias(f"{v}_high") for v in values]
-    split = full.join(F.broadcast(cuts), block).select(*block, name, *flags)  # a row per block
+    split = full.join(cuts.withColumnRenamed("g", "_g"), "_g").select(*block, name, *flags)  # a row per block, which Spark broadcasts if it is small
     return split.groupBy(*block, *(f"{v}_high" for v in values)).agg(F.count("*").alias("n"), F.min(name).alias("example"))
 
 
@@ -76,20 +78,28 @@ def first_per(rows: DataFrame, by: list[str], order: list[Column | str], n: int,
     return ranked.withColumnRenamed("_r", index) if index else ranked.drop("_r")
 
 
+def seeded(seed: int, key: str) -> Column:
+    """A seeded pseudo-random order of keys: the SHA-256 of both, as hexadecimal digits."""
+    return F.sha2(F.concat(F.lit(f"{seed}::"), F.col(key).cast("string")), 256)
+
+
 def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows by equal shares of the strata, the remainder one each to the largest, what a small stratum lacks made up from the rest.
 
-    The order within a stratum is a seeded hash. The strata (a row each) are counted, not gathered; one stratum's order is
-    the only sort.
+    The order is a seeded hash. Of each stratum only the ``n`` first of each of 256 ranges of hashes go on, so neither a
+    stratum nor the table is sorted as a whole.
     """
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    hashed = rows.withColumn("_h", seeded(seed, key))
     counts = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
-    strata = counts.count()
-    rank = F.row_number().over(Window.orderBy(F.desc("_size"), stratum))
-    quota = counts.withColumn("_quota", F.lit(n // max(strata, 1)) + (rank <= n % max(strata, 1)).cast("int")).drop("_size")
-    ranked = rows.join(F.broadcast(quota), stratum).withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
-    order = [F.when(F.col("_r") <= F.col("_quota"), 0).otherwise(1), F.col("_h"), F.col(key)]
-    return ranked.orderBy(*order).limit(n).drop("_h", "_quota", "_r")
+    order = Window.orderBy(F.desc("_size"), stratum)  # a row per stratum
+    strata = F.count("*").over(Window.partitionBy())
+    quota = counts.withColumn("_quota", F.floor(n / strata) + (F.row_number().over(order) <= n % strata).cast("int")).drop("_size")
+    few = Window.partitionBy(stratum, F.substring("_h", 1, 2)).orderBy("_h", key)
+    some = hashed.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= n)
+    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
+    ranked = ranked.join(quota.withColumnRenamed(stratum, "_s"), F.col(stratum).eqNullSafe(F.col("_s")))
+    first = [F.when(F.col("_r") <= F.col("_quota"), 0).otherwise(1), F.col("_h"), F.col(key)]
+    return ranked.orderBy(*first).limit(n).drop("_h", "_quota", "_r", "_s")
 
 
 def threshold_counts(rows: DataFrame, by: list[str], score: Column, thresholds: list[float]) -> DataFrame:
@@ -130,35 +140,36 @@ def gold_set() -> Column:
 
 
 def group_folds(rows: DataFrame, group: str, n_splits: int, seed: int) -> DataFrame:
-    """Each group's fold: groups in a seeded order are dealt in turn, so no group is in two folds."""
-    names = rows.select(group).distinct()
-    order = Window.orderBy(F.xxhash64(F.lit(seed), F.col(group)), group)
-    return names.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(n_splits)))
+    """Each group's fold: groups in a seeded order are dealt in turn, so no group is in two folds and folds differ by one group at most.
 
+    Groups are counted in ranges of their hashes first, so no task orders them all.
+    """
+    names = rows.select(group).distinct().withColumn("_h", seeded(seed, group)).withColumn("_b", F.substring("_h", 1, 3))
+    ranges = names.groupBy("_b").agg(F.count("*").alias("_n"))  # 4096 at most
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", group)) - 1
+    dealt = names.withColumn("_p", place).join(ranges.select("_b", before.alias("_before")), "_b")
+    return dealt.select(group, F.pmod(F.col("_before") + F.col("_p"), F.lit(n_splits)).cast("int").alias("fold"))
 
-def auroc(rows: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve from average ranks; null if a class is missing."""
-    from .cells import average_rank
 
-    ranked = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(label).alias("y"), average_rank(score, by).alias("r"))
-    pos, neg = F.sum((F.col("y") == 1).cast("double")), F.sum((F.col("y") != 1).cast("double"))
-    value = (F.sum(F.when(F.col("y") == 1, F.col("r"))) - pos * (pos + 1) / 2) / F.when(pos * neg > 0, pos * neg)
-    return ranked.groupBy(*by).agg(value.alias("auroc"), F.count("*").alias("n"))
+def auroc(rows: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """Area under the ROC curve from average ranks; null if a class is missing. Rows without a label or a score are left out."""
+    known = rows.where(F.col(label).isNotNull())
+    values = running(distinct_values(known, by, score, pos=(F.col(label) == 1).cast("long")), "n", "pos")
+    rank = F.col("before_n") + (F.col("n") + 1) / 2
+    pos, n = F.sum("pos"), F.sum("n")
+    neg = n - pos
+    value = (F.sum(F.col("pos") * rank) - pos * (pos + 1) / 2) / F.when((pos > 0) & (neg > 0), pos * neg)
+    return values.groupBy("g").agg(value.alias("auroc"), n.alias("n")).select(*(F.col("g")[c].alias(c) for c in by), "auroc", "n")
 
 
 def otsu(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """The midpoint between neighbouring values that leaves least variance within the two sides; the first of equal ones.
-
-    Two running sums over each group's distinct values, not a row per pair of candidate and value.
-    """
-    v = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy("v")
-    upto, all_ = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*by)
-    n, s, q = F.col("n"), F.col("n") * F.col("v"), F.col("n") * F.col("v") * F.col("v")
-    v = v.select(*by, "v", F.lead("v").over(w).alias("up"), *(F.sum(x).over(z).alias(f"{a}{b}") for x, a in ((n, "n"), (s, "s"), (q, "q")) for z, b in ((upto, "1"), (all_, "t"))))
-    left = F.col("q1") - F.col("s1") * F.col("s1") / F.col("n1")
-    m = F.col("nt") - F.col("n1")
-    right = F.col("qt") - F.col("q1") - (F.col("st") - F.col("s1")) * (F.col("st") - F.col("s1")) / F.when(m > 0, m)
-    v = v.withColumn("mid", (F.col("v") + F.col("up")) / 2).withColumn("cost", F.round(left + right, 6))
+    """The midpoint between neighbouring values that leaves least variance within the two sides; the first of equal ones, the value itself if it is alone."""
+    x = F.col(value).cast("double")
+    v = running(distinct_values(rows, by, value, s=x, q=x * x), "n", "s", "q")
+    n1, s1, q1 = (F.col(f"before_{c}") + F.col(c) for c in ("n", "s", "q"))
+    m, st, qt = F.col("total_n") - n1, F.col("total_s"), F.col("total_q")
+    cost = q1 - s1 * s1 / n1 + (qt - q1) - (st - s1) * (st - s1) / F.when(m > 0, m)
+    v = v.withColumn("mid", (F.col("v") + F.col("up")) / 2).withColumn("cost", F.round(cost, 6))
     best = F.min_by("mid", F.when(F.col("up").isNotNull(), F.struct("cost", "mid")))
-    return v.groupBy(*by).agg(F.coalesce(best, F.max("v")).alias("gamma"))
+    return v.groupBy("g").agg(F.coalesce(best, F.max("v")).alias("gamma")).select(*(F.col("g")[c].alias(c) for c in by), "gamma")

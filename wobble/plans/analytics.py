@@ -107,7 +107,12 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_per(rows, ["event_type"], [F.desc("value"), F.asc("event_id")], 5, "place")
 
 
-@query()
+@query("""
+WITH c AS (SELECT c_mktsegment, count(*) AS size FROM customer GROUP BY ALL),
+q AS (SELECT c_mktsegment, 100 // count(*) OVER () + CAST(row_number() OVER (ORDER BY size DESC, c_mktsegment) <= 100 % count(*) OVER () AS INT) AS quota FROM c),
+r AS (SELECT c_custkey, c_mktsegment, sha256('42::' || c_custkey) AS h, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42::' || c_custkey), c_custkey) AS r FROM customer)
+SELECT c_custkey, c_mktsegment FROM r JOIN q USING (c_mktsegment) ORDER BY CASE WHEN r <= quota THEN 0 ELSE 1 END, h, c_custkey LIMIT 100
+""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: 100 customers by equal shares of the segments."""
     return R.stratified(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 100, 42)
@@ -164,7 +169,7 @@ def variance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.otsu(table(spark, sf_dir, "events"), "value", ["event_type"]))
 
 
-@query()
+@query("SELECT c_nationkey, CAST((row_number() OVER (ORDER BY sha256('42::' || c_nationkey), c_nationkey) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT c_nationkey FROM customer)")
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' nations dealt to folds."""
     return R.group_folds(table(spark, sf_dir, "customer"), "c_nationkey", 5, 42)
