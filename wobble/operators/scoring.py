@@ -25,7 +25,7 @@ def multi_gold(answers: DataFrame, nli: DataFrame, key: list[str]) -> DataFrame:
 
 def resolved_golds(one: str, many: str) -> Column:
     """The plural golds if there are any, else the single one: trimmed, not blank, each once; null if none."""
-    clean = lambda a: F.array_distinct(F.filter(F.transform(a, F.trim), lambda x: x != ""))
+    clean = lambda a: F.array_distinct(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != ""))
     given = F.when(F.size(many) > 0, F.col(many)).otherwise(F.filter(F.array(F.col(one)), lambda x: x.isNotNull()))
     return F.when(F.size(clean(given)) > 0, clean(given))
 

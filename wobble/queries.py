@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, audits, heads, metrics, records
+from .plans import analytics, answers, audits, heads, metrics, records, sources
 from .plans.registry import Query
 
-PARTS = (metrics.query, analytics.query, records.query, audits.query, heads.query)
+PARTS = (metrics.query, analytics.query, records.query, audits.query, heads.query, sources.query, answers.query)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def hop_label(n: Column) -> Column:
 
 
 def clean_answers(a: Column) -> Column:
-    return F.filter(F.transform(a, F.trim), lambda x: x != "")
+    return F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _rowwise(raw: DataFrame) -> DataFrame:
