@@ -196,7 +196,7 @@ def _across(prefixes: DataFrame, groups: DataFrame, sequences: DataFrame, thresh
     named = stored(prefixes.join(groups, "node"), "labelled")
     sizes = named.groupBy("e", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("e").agg(F.max_by("label", "size").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("e", "main")
-    shared = stored(named.join(main, "e"), "shared")
+    shared = stored(matched(named, main, ["e"]), "shared")
     columns = ("node", "n", "place", "label")
     if every:
         a = shared.where("label <> main")
@@ -206,7 +206,8 @@ def _across(prefixes: DataFrame, groups: DataFrame, sequences: DataFrame, thresh
     a, b = (x.select("e", *(F.col(c).alias(f"{c}_{name}") for c in columns)) for x, name in ((a, "a"), (shared, "b")))
     # what follows the first shared element must suffice for both
     enough = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    pairs = a.join(b, "e").where("label_a <> label_b").where(enough)
+    # an element has one `a` unless all are wanted
+    pairs = (a.join(b, "e") if every else matched(b, a, ["e"])).where("label_a <> label_b").where(enough)
     similar_ = _verified(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), sequences, threshold)
     for x in "ab":
         similar_ = similar_.join(groups.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x)
