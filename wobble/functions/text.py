@@ -102,6 +102,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(squeezed(F.lower(text)), " "), lambda w: w != "")
 
 
+def word_set(text: Column) -> Column:
+    """The different words of a text: runs of letters, digits and underscores in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != ""))
+
+
 def truth(value: Column) -> Column:
     """1, 0 or null of a rater's mark."""
     v = F.lower(F.trim(value))
@@ -216,25 +221,14 @@ def listed_answers(text: pd.Series) -> pd.Series:
     return text.map(answers_in)
 
 
-@F.pandas_udf(T.IntegerType())
-def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance over lower-case words: words become characters, and rows of the table are single array steps."""
-    return pd.Series([word_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
-
-
-def word_distance(a: str | None, b: str | None) -> int | None:
-    import numpy as np
-
-    if a is None or b is None:
-        return None
-    x, y = a.lower().split(), b.lower().split()
-    row = np.arange(len(y) + 1)
-    goal = np.array(y, object)
-    steps = np.arange(len(y) + 1)
-    for i, w in enumerate(x, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (goal != w)) if len(y) else row[1:]
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
-    return int(row[-1])
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance over lower-case words: each different word of the two texts becomes one character."""
+    x, y = tokens(a), tokens(b)
+    words = F.array_distinct(F.concat(x, y))
+    # characters beyond the basic plane, so that none is a surrogate
+    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 0x10000), 8, "0")), "UTF-32")
+    spelled = lambda ws: F.array_join(F.transform(ws, letter), "")
+    return F.levenshtein(spelled(x), spelled(y))
 
 
 @F.pandas_udf(T.StringType())

@@ -1,22 +1,30 @@
 """Answer clusters: connected components of mutual entailment among a cell's distinct answers.
 
-Answers that are equal are one. The entailed pairs are a relation; cells are small by construction (paraphrases times
-samples), so one cell's pairs are joined within it and its components are found where the cell is.
+Answers that are equal are one. The entailed pairs are a relation. Labels spread along it round by round, each round a
+written table, so neither a cell nor its pairs are gathered anywhere.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .lineage import written
 
-def candidate_pairs(samples: DataFrame, cell: list[str]) -> DataFrame:
-    """Both directions of every pair of distinct answers of a cell: ``premise, hypothesis``."""
+
+def candidate_pairs(samples: DataFrame, cell: list[str], shared: Column | None = None) -> DataFrame:
+    """Both directions of every pair of distinct answers of a cell: ``premise, hypothesis``.
+
+    ``shared`` is an array of ``answer``, such as its words: then only answers that have an entry in common are paired,
+    which loses nothing where a model cannot relate others.
+    """
     distinct = samples.select(*cell, "answer").distinct()
+    if shared is not None:
+        distinct = distinct.withColumn("_s", F.explode(shared))
+    on = [*cell, "_s"] if shared is not None else cell
     other = distinct.withColumnRenamed("answer", "hypothesis")
-    return distinct.withColumnRenamed("answer", "premise").join(other, cell).where("premise <> hypothesis")
+    pairs = distinct.withColumnRenamed("answer", "premise").join(other, on).where("premise <> hypothesis")
+    return pairs.select(*cell, "premise", "hypothesis").distinct() if shared is not None else pairs
 
 
 def entailed(pairs: DataFrame, nli: DataFrame, cell: list[str], criterion: str = "label", threshold: float = 0.5) -> DataFrame:
@@ -30,34 +38,34 @@ def entailed(pairs: DataFrame, nli: DataFrame, cell: list[str], criterion: str =
 
 
 def clusters(samples: DataFrame, links: DataFrame, cell: list[str], order: list[str]) -> DataFrame:
-    """``cluster`` of each sample: labels 0, 1, ... of a cell's components in the order in which they are met."""
-    first = samples.groupBy(*cell, "answer").agg(F.min(F.struct(*order)).alias("o"))
-    ranked = first.select(*cell, "answer", F.col("o"))
-    items = ranked.groupBy(*cell).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "answer"))), lambda x: x["answer"]).alias("items"))
-    pairs = links.groupBy(*cell).agg(F.collect_list(F.struct("a", "b")).alias("links"))
-    joined = items.join(pairs, cell, "left").select(*cell, "items", "links.a", "links.b")
-    labelled = joined.withColumn("labels", _labels("items", "a", "b"))
-    flat = labelled.select(*cell, F.inline(F.arrays_zip(F.col("items").alias("answer"), F.col("labels").alias("cluster"))))
-    return samples.join(flat, [*cell, "answer"])
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _labels(items: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([component_labels(list(i), *(list(x) if x is not None else [] for x in (p, q))) for i, p, q in zip(items, a, b, strict=True)], dtype=object)
-
-
-def component_labels(items: list[str], a: list[str], b: list[str]) -> list[int]:
-    at = {x: k for k, x in enumerate(items)}
-    root = list(range(len(items)))
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for x, y in zip(a, b, strict=True):
-        p, q = sorted((top(at[x]), top(at[y])))
-        root[q] = p
-    names: dict[int, int] = {}
-    return [names.setdefault(top(k), len(names)) for k in range(len(items))]
+    """``cluster`` of each sample: labels 0, 1, ... of a cell's components in the order in which they are met.
+
+    An answer's label is where it is met first; a round takes over the least label of its neighbours, then that label's own.
+    """
+    first = written(samples.groupBy(*cell, "answer").agg(F.min(F.struct(*order)).alias("label")), "answers")
+    edges = links.select(*cell, F.col("a").alias("answer"), F.col("b").alias("other")).unionByName(links.select(*cell, F.col("b").alias("answer"), F.col("a").alias("other")))
+    # named by where answers are met: two labels a row
+    at = lambda name, label: first.withColumnsRenamed({"answer": name, "label": label})
+    edges = written(edges.join(at("answer", "x"), [*cell, "answer"]).join(at("other", "y"), [*cell, "other"]).select(*cell, "x", "y"), "links")
+    labels = edges.select(*cell, "x").distinct().withColumn("label", F.col("x"))
+    while True:
+        near = edges.join(labels.withColumnsRenamed({"x": "y", "label": "theirs"}), [*cell, "y"]).groupBy(*cell, "x").agg(F.min("theirs").alias("theirs"))
+        hooked = labels.join(near, [*cell, "x"]).select(*cell, "x", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
+        hooked = written(hooked, "hooked")
+        up = hooked.select(*cell, F.col("x").alias("label"), F.col("label").alias("higher"))
+        now = written(hooked.join(up, [*cell, "label"], "left").select(*cell, "x", "old", F.least("label", F.coalesce("higher", "label")).alias("label")), "labels")
+        labels = now.drop("old")
+        if now.where("label <> old").isEmpty():
+            break
+    rooted = first.join(labels.withColumnsRenamed({"x": "_x", "label": "_root"}), (F.col("label") == F.col("_x")) & _equal(cell, first, labels), "left")
+    rooted = rooted.select(*(first[c] for c in cell), "answer", F.coalesce("_root", first["label"]).alias("root"))
+    roots = rooted.select(*cell, "root").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy(*cell).orderBy("root")) - 1)
+    named = rooted.join(roots, [*cell, "root"]).drop("root")
+    return samples.join(named, [*cell, "answer"])
+
+
+def _equal(cell: list[str], a: DataFrame, b: DataFrame) -> Column:
+    out = F.lit(True)
+    for c in cell:
+        out = out & (a[c] == b[c])
+    return out

@@ -40,26 +40,26 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.one_line(F.col("text")).alias("line"))
 
 
-@query("SELECT conv_id, 'Question: ' || trim(text) || chr(10) || chr(10) || 'Answer:' AS content FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, 'Question: ' || trim(text) || chr(10) || chr(10) || 'Answer:' AS content FROM conversations")
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<struct<title: string, sentences: array<string>>>")
-    first = table(spark, sf_dir, "conversations").where("turn = 0")
-    return first.select("conv_id", X.qa_messages(F.col("text"), none)[1]["content"].alias("content"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.qa_messages(F.col("text"), none)[1]["content"].alias("content"))
 
 
 @query("""
-WITH n AS (SELECT page_id, url, lead(url) OVER (PARTITION BY page_id // 50 ORDER BY page_id) AS other FROM pages)
-SELECT page_id, CAST(levenshtein(url, other) AS INT) AS distance FROM n WHERE other IS NOT NULL
+SELECT a.page_id, CAST(levenshtein(a.url, b.url) AS INT) AS distance FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.url IS NOT NULL AND b.url IS NOT NULL
 """)
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = F.lead("url").over(Window.partitionBy(F.floor(F.col("page_id") / 50)).orderBy("page_id"))
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", after.alias("other")).where("other is not null")
-    return rows.select("page_id", F.levenshtein("url", "other").alias("distance"))
+    """Each page's address against that of the page with the next id."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    after = rows.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other"))
+    pairs = rows.join(after, "page_id").where("url is not null and other is not null")
+    return pairs.select("page_id", F.levenshtein("url", "other").alias("distance"))
 
 
 @query()
 def token_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).where("premise is not null").select("conv_id", "turn", X.token_distance("premise", "hypothesis").alias("distance"))
+    return turns(spark, sf_dir).where("premise is not null").select("conv_id", "turn", X.token_distance(F.col("premise"), F.col("hypothesis")).alias("distance"))
 
 
 @query("""
@@ -106,11 +106,20 @@ def gold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.multi_gold(golds, nli, ["conv_id", "turn"])
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE t AS (SELECT conv_id, text AS answer, min(turn) AS o FROM conversations WHERE text IS NOT NULL GROUP BY ALL), w AS (SELECT *, {WORDS_SQL.format("answer")} AS w FROM t),
+links AS (
+  SELECT x.conv_id, x.o AS a, y.o AS b FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.o <> y.o
+  WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(list_intersect(x.w, y.w)) / greatest(len(x.w), len(y.w)) >= 0.3
+), reach AS (SELECT conv_id, o AS a, o AS b FROM t UNION SELECT r.conv_id, r.a, l.b FROM reach r JOIN links l ON l.conv_id = r.conv_id AND l.a = r.b),
+root AS (SELECT conv_id, a AS o, min(b) AS root FROM reach GROUP BY ALL)
+SELECT c.conv_id, c.turn, CAST(dense_rank() OVER (PARTITION BY c.conv_id ORDER BY root) - 1 AS INT) AS cluster
+FROM conversations c JOIN t ON t.conv_id = c.conv_id AND t.answer = c.text JOIN root ON root.conv_id = t.conv_id AND root.o = t.o
+""")
 def answer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of mutual overlap among a conversation's distinct turns."""
+    """Components of mutual overlap among a conversation's distinct turns; turns that share no word are no pair."""
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("answer"))
-    pairs = clustering.candidate_pairs(rows, ["conv_id"])
+    pairs = clustering.candidate_pairs(rows, ["conv_id"], X.word_set(F.col("answer")))
     nli = overlap(pairs.select("premise", "hypothesis").distinct())
     links = clustering.entailed(pairs, nli, ["conv_id"], "prob", 0.3)
     return clustering.clusters(rows, links, ["conv_id"], ["turn"]).select("conv_id", "turn", "cluster")

@@ -13,11 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import word_set
 from ..operators.relational import last_wins
 
 MEMO = "request_hash string, provider string, model_id string, purpose string, request_json string, response_json string, created_at timestamp"
-#: Parts of error messages after which a call is worth another try (fixed values of common services).
-TRANSIENT = ("rate limit", "timeout", "timed out", "temporarily", "overloaded", "connection", "502", "503", "504", "429", "try again", "unavailable")
+# Parts of error messages after which a call is worth another try.
+TRANSIENT = (
+    "server connection error", "connection error", "bad gateway", "service unavailable", "gateway timeout", "temporarily unavailable",
+    "overloaded", "internal server error", "502", "503", "504", "timeout",
+)
 Provider = Callable[[pd.DataFrame], pd.Series]
 
 
@@ -105,6 +109,48 @@ class Memo:
         return parsed.where(F.col("r").isNotNull() & F.coalesce(*[F.col(f"r.{n}").cast("string") for n in parsed.schema["r"].dataType.names]).isNotNull()).select("request_hash", "r.*")
 
 
+def continuations(pairs: DataFrame, score: Provider, able: bool = True) -> DataFrame:
+    """``prompt, continuation`` with ``token_logprobs`` (an array) by a provider that echoes prompts; one that cannot is an error.
+
+    Unlike answers, scores are asked for once: a failure is the caller's to see.
+    """
+    if not able:
+        raise ValueError("this provider does not score given texts")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(token_logprobs=score(b))
+
+    return pairs.select("prompt", "continuation").distinct().mapInPandas(work, "prompt string, continuation string, token_logprobs array<double>")
+
+
+def embedded(texts: DataFrame, encode: Provider, dims: int, normal: bool = True) -> DataFrame:
+    """``text, embedding`` of each different text by a provider, of length 1 if ``normal``; another number of dimensions is an error."""
+    import numpy as np
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack(list(encode(b))).astype(np.float32) if len(b) else np.zeros((0, dims), np.float32)
+            if x.shape[1] != dims:
+                raise ValueError(f"embeddings of {x.shape[1]} numbers where {dims} were expected")
+            if normal:
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            yield b.assign(embedding=list(x))
+
+    return texts.select("text").distinct().mapInPandas(work, "text string, embedding array<float>")
+
+
+def reconstructed(samples: DataFrame, paraphrases: DataFrame, nli: DataFrame, embeddings: DataFrame, cell: list[str]) -> DataFrame:
+    """A cell's paraphrases with the score and the vector that memos hold: ``cell, par, text, f, embedding``.
+
+    ``samples`` have ``cell, par, sample, answer, golds``; ``paraphrases`` have ``cell, par, text``.
+    """
+    from ..operators.scoring import multi_gold
+
+    f = multi_gold(samples, nli, [*cell, "par", "sample"]).groupBy(*cell, "par").agg(F.avg(F.col("f").cast("double")).alias("f"))
+    return paraphrases.join(f, [*cell, "par"]).join(embeddings, "text").select(*cell, "par", "text", "f", "embedding")
+
+
 def echo(batch: pd.DataFrame) -> pd.Series:
     """Answers each request with itself."""
     return batch.request_json
@@ -112,8 +158,7 @@ def echo(batch: pd.DataFrame) -> pd.Series:
 
 def overlap(pairs: DataFrame) -> DataFrame:
     """A stand-in for an entailment model over ``premise, hypothesis``: shared words of the hypothesis, in the JVM."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda w: w != ""))
-    h, p = words("hypothesis"), words("premise")
+    h, p = word_set(F.col("hypothesis")), word_set(F.col("premise"))
     share = F.when(F.size(h) > 0, F.size(F.array_intersect(h, p)) / F.size(h)).otherwise(0.0)
     return pairs.select("premise", "hypothesis", share.alias("entail"), ((1 - share) / 2).alias("contradict"), ((1 - share) / 2).alias("neutral"))
 
