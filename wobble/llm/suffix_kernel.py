@@ -17,6 +17,8 @@ executors get it from the driver.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -198,7 +200,9 @@ def registered(spark: SparkSession, name: str = "wobble_repeated_ranges") -> str
     if not getattr(context, "_wobble_kernel", None):
         compiler = jvm.org.codehaus.janino.SimpleCompiler()
         compiler.cook(SOURCE)
-        jar = Path(tempfile.mkdtemp(prefix="wobble-jar-")) / "wobble-kernel.jar"
+        folder = tempfile.mkdtemp(prefix="wobble-jar-")  # the driver's own: executors get the jar from it
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        jar = Path(folder) / "wobble-kernel.jar"
         with zipfile.ZipFile(jar, "w") as z:
             for cls, code in dict(compiler.getBytecodes()).items():
                 z.writestr(cls.replace(".", "/") + ".class", bytes(code))
