@@ -59,20 +59,19 @@ def intraclass() -> Column:
     return F.coalesce(value, E.nan())
 
 
-def input_metrics(facts_: DataFrame, cell: list[str]) -> DataFrame:
-    """``f_mean, aufi, spread, rho_f, fi_premium, n_paraphrases`` of each cell."""
+def input_columns() -> list[Column]:
+    """``f_mean, aufi, spread, rho_f, fi_premium, n_paraphrases`` of a row of :func:`facts`."""
     n = F.col("n")
     cap = F.log2(n + F.lit(1.0))
     at = lambda c: F.least(E.bits(F.col(c) / n), cap)
-    return facts_.select(
-        *cell,
-        "f_mean",
-        E.aufi(curve(), n).alias("aufi"),
-        (F.col("high") - F.col("low")).alias("spread"),
-        intraclass().alias("rho_f"),
-        (F.greatest(F.lit(0.0), at("full") - at("half")) + 0.0).alias("fi_premium"),
-        n.alias("n_paraphrases"),
-    )
+    premium = F.greatest(F.lit(0.0), at("full") - at("half")) + 0.0
+    spread = F.col("high") - F.col("low")
+    return [F.col("f_mean"), E.aufi(curve(), n).alias("aufi"), spread.alias("spread"), intraclass().alias("rho_f"), premium.alias("fi_premium"), n.alias("n_paraphrases")]
+
+
+def input_metrics(facts_: DataFrame, cell: list[str]) -> DataFrame:
+    """The input metrics of each cell."""
+    return facts_.select(*cell, *input_columns())
 
 
 def cluster_counts(samples: DataFrame, cell: list[str]) -> DataFrame:
@@ -196,8 +195,9 @@ def metric_rows(samples: DataFrame, cell: list[str], *, prompts: DataFrame | Non
     scored = graded(samples, cell)
     facts_ = facts(scored, cell)
     cap = F.log2(F.col("n") + F.lit(1.0))
-    clamped = facts_.select(*cell, F.transform(curve(), lambda x: F.least(x, cap)).alias("curve"), F.round(F.col("trials") / F.col("n"), 6).alias("n_samples_per_prompt"))
-    parts = [input_metrics(facts_, cell), clamped, output_metrics(counts, cell), consistency(counts, cell), variation_ratio(counts, cell)]
+    clamped = F.transform(curve(), lambda x: F.least(x, cap))
+    given = facts_.select(*cell, *input_columns(), clamped.alias("curve"), F.round(F.col("trials") / F.col("n"), 6).alias("n_samples_per_prompt"))
+    parts = [given, output_metrics(counts, cell), consistency(counts, cell), variation_ratio(counts, cell)]
     parts.append(ess_in(prompts, cell) if prompts is not None else None)
     parts.append(rho_u(responses, cell).select(*cell, "rho_u") if responses is not None else None)
     parts.append(posix(matrix, lengths, cell) if matrix is not None else None)
