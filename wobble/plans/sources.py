@@ -364,3 +364,32 @@ def watermarked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(opened as timestamp_ntz))")
     rows = S.watermarked(events.withColumn("ts", utc), "ts", "1 hour", "6 hours", ["event_type"], "value")
     return rounded(rows.select("event_type", zone.alias("opened_us"), "n", "total"), 4)
+
+
+@query("""
+WITH t AS (SELECT conv_id, lower(coalesce(text, '')) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+a AS (SELECT conv_id, regexp_extract(text, '[a-z]+') AS answer FROM t WHERE i = n), f AS (SELECT unnest([0.25, 0.5, 1.0]::DOUBLE[]) AS fraction),
+s AS (SELECT fraction, t.conv_id, max(n) AS n, bool_or(i <= ceil(n * fraction) AND contains(text, answer)) AS survives FROM t JOIN a USING (conv_id), f GROUP BY ALL)
+SELECT fraction, count(*) FILTER (survives) AS n_questions, round(avg(n) FILTER (survives), 6) AS mean_size FROM s GROUP BY fraction
+""")
+def evidence_dial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose first share of turns still holds the first word of the last: how many, and their mean size."""
+    turn = F.struct("turn", F.coalesce("text", F.lit("")).alias("snippet"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("evidence"))
+    answer = F.array(F.regexp_extract(F.lower(F.get("evidence", F.size("evidence") - 1)["snippet"]), "[a-z]+", 0))
+    at = [rows.select(F.lit(f).alias("fraction"), F.size("evidence").alias("n"), A.survives(answer, F.col("evidence"), f).alias("survives")) for f in (0.25, 0.5, 1.0)]
+    every = at[0].unionByName(at[1]).unionByName(at[2])
+    return rounded(every.groupBy("fraction").agg(F.sum(F.col("survives").cast("long")).alias("n_questions"), F.avg(F.when(F.col("survives"), F.col("n"))).alias("mean_size")))
+
+
+@query(f"""
+WITH {PARTS_SQL}, q AS (SELECT id, count(*) FILTER (p_size >= 25) AS n FROM p GROUP BY id), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY sha256('9::' || id), id::VARCHAR) AS r FROM q)
+SELECT 'musique' AS dataset, n::VARCHAR AS hops, count(*) AS n FROM r WHERE r <= 2 AND n >= 2 GROUP BY n
+""")
+def sample_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: two questions of each number of hops from two on, counted by stratum."""
+    from ..sources.sinks import sample_manifest as manifest
+
+    rows = records.decomposed(decomposed_raw(spark, sf_dir)).select("id", F.col("n_hops").alias("hops"))
+    sample = A.per_stratum(rows, "hops", "id", 2, 9, least=2).withColumn("hops", F.col("hops").cast("string"))
+    return manifest(sample, "musique", ["hops"])[1]
