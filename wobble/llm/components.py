@@ -23,8 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = stored(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
         while True:
             theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
-            near = matched(both, theirs, ["other"], heavy=hubs) if hubs is not None else both.join(theirs, "other")
-            near = near.groupBy("node").agg(F.min("theirs").alias("theirs"))
+            near = matched(both, theirs, ["other"], heavy=hubs).groupBy("node").agg(F.min("theirs").alias("theirs"))
             hooked = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "theirs").alias("label")), "hooked")
             up = hooked.select(F.col("node").alias("label"), F.col("label").alias("higher"))
             jumped = matched(hooked, up, ["label"], "left").select("node", "old", F.coalesce(F.least("label", "higher"), "label").alias("label"))

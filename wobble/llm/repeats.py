@@ -192,12 +192,13 @@ def covered(docs: DataFrame, hot: int = HOT, shard: int = SHARD) -> DataFrame:
         fetched = mixed_.alias("m").join(docs.alias("d"), _same_doc("m", "d")).select(*(f"m.{c}" for c in RUN), "kinds", "gram", body.alias("run"))
         # rows that are equal in id and text are met more than once
         fetched = stored(fetched.groupBy(*RUN).agg(*(F.first(c).alias(c) for c in ("kinds", "gram", "run"))), "runs")
-        ranges = union([_differing_ranges(fetched, hot, shard), whole]).groupBy(*RUN).agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+        ranges = union([_differing_ranges(fetched, hot, shard), whole]).groupBy(*RUN).agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
         ranges = stored(ranges, "ranges")
         back = matched(live.select("doc", "t", *RUN, "place"), ranges, list(RUN))
         moved = F.transform("ranges", lambda r: F.struct((r["from"] + F.col("place")).alias("from"), (r["to"] + F.col("place")).alias("to")))
-        found = back.select("doc", "t", moved.alias("ranges")).groupBy("doc", "t").agg(F.array_distinct(F.flatten(F.collect_set("ranges"))).alias("ranges"))
-        return keep(stored(found, "covered"))
+        # rows that are equal in id and text hold the same runs at the same places: each counts once
+        once = back.select("doc", "t", "place", moved.alias("ranges")).repartition("doc", "t").dropDuplicates(["doc", "t", "place"])
+        return keep(stored(once.groupBy("doc", "t").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "covered"))
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:

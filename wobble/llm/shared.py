@@ -93,30 +93,31 @@ def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
     return out
 
 
-#: A key is heavy with one row in so many; there are no more heavy keys than that, so what they match is broadcast.
-HEAVY = 1000
+#: A key is heavy with one row in so many, so there are no more heavy keys than that; and in how many parts one's rows are dealt.
+HEAVY, SALTS = 1000, 64
 
 
-def heavy_keys(left: DataFrame, keys: list[str]) -> DataFrame | None:
-    """The keys, ``HEAVY`` at most, that hold more than one in ``HEAVY`` rows of a stored table; None if there is none."""
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+def heavy_keys(left: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of the keys, ``HEAVY`` at most, that hold more than one in ``HEAVY`` rows of a stored table."""
+    counts = left.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count("*").alias("n"))
     least = max(left.count() // HEAVY, HEAVY) + 1
-    found = counts.where(F.col("_n") >= least).drop("_n").collect()
-    return left.sparkSession.createDataFrame(found, left.select(*keys).schema) if found else None
+    return [r.h for r in counts.where(F.col("n") >= least).select("h").collect()]
 
 
-def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", heavy: list[int] | None = None) -> DataFrame:
     """``left`` (stored) joined with ``right`` (a row per key at most), with no key's rows in one task.
 
-    The heavy keys are found by counting, if they are not given; their rows of ``right`` are broadcast, a thousand at most,
-    and only the other rows shuffle.
+    The heavy keys are found by counting, if they are not given. Their rows are dealt to ``SALTS`` parts, and their rows of
+    ``right``, a thousand at most, go to all of those.
     """
-    heavy = heavy if heavy is not None else heavy_keys(left, keys)
-    if heavy is None:
+    heavy = heavy_keys(left, keys) if heavy is None else heavy
+    if not heavy:
         return left.join(right, keys, how)
-    heavy = F.broadcast(heavy)
-    few = F.broadcast(right.join(heavy, keys, "left_semi"))
-    return left.join(heavy, keys, "left_semi").join(few, keys, how).unionByName(left.join(heavy, keys, "left_anti").join(right, keys, how))
+    own = F.xxhash64(*keys).isin(heavy)
+    part = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    parts = F.when(own, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.withColumn("_salt", F.when(own, part).otherwise(F.lit(0)))
+    return salted.join(right.withColumn("_salt", F.explode(parts)), [*keys, "_salt"], how).drop("_salt")
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
