@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from .lineage import written
 from .prefix import medians, rank_correlation, ranked
 from .relational import seeded
 
@@ -204,6 +205,7 @@ def clustering_input(response: Column, parsed: Column) -> Column:
 
 def correlations_with(cells: DataFrame, value: str, others: dict[str, Column]) -> DataFrame:
     """``name, rho, n`` of one metric with others over the cells that have both."""
-    rows = cells.select(F.col(value).alias("_value"), *(c.alias(n) for n, c in others.items()))
+    # cells are few, and each metric reads them again
+    rows = written(cells.select(F.col(value).alias("_value"), *(c.alias(n) for n, c in others.items())), "cells")
     return redundant(rows, "_value", list(others), least=3).drop("redundant")
 

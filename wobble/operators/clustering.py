@@ -51,8 +51,7 @@ def clusters(samples: DataFrame, links: DataFrame, cell: list[str], order: list[
     while True:
         near = edges.join(labels.withColumnsRenamed({"x": "y", "label": "theirs"}), [*cell, "y"]).groupBy(*cell, "x").agg(F.min("theirs").alias("theirs"))
         hooked = labels.join(near, [*cell, "x"]).select(*cell, "x", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
-        hooked = written(hooked, "hooked")
-        up = hooked.select(*cell, F.col("x").alias("label"), F.col("label").alias("higher"))
+        up = labels.withColumnsRenamed({"label": "higher", "x": "label"})
         now = written(hooked.join(up, [*cell, "label"], "left").select(*cell, "x", "old", F.least("label", F.coalesce("higher", "label")).alias("label")), "labels")
         labels = now.drop("old")
         if now.where("label <> old").isEmpty():

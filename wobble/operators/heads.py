@@ -28,15 +28,12 @@ def folded(rows: DataFrame, group: str, n_splits: int, seed: int) -> DataFrame:
     return rows.join(group_folds(rows, group, n_splits, seed), group)
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """``fold, mean, sd``: of the rows outside each fold, arrays over dimensions; the deviation is a population's and never zero."""
-    long = rows.select("fold", F.posexplode("x").alias("d", "v"))
-    own = long.groupBy("fold", "d").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    every = Window.partitionBy("d")  # a row per fold
-    n, s, q = (F.sum(c).over(every) - F.col(c) for c in ("n", "s", "q"))
-    rest = own.select("fold", "d", (s / n).alias("mean"), (F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))) + EPSILON).alias("sd"))
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("d", c))), lambda p: p[c])  # noqa: E731  one row per dimension
-    return rest.groupBy("fold").agg(listed("mean").alias("mean"), listed("sd").alias("sd"))
+def scaling(rows: DataFrame) -> tuple[list[float], list[float]]:
+    """Mean and deviation (a population's, never zero) of each dimension of ``x``."""
+    long = rows.select(F.posexplode("x").alias("d", "v"))
+    each = long.groupBy("d").agg(F.avg("v").alias("mean"), (F.stddev_pop("v") + EPSILON).alias("sd")).collect()  # a row per dimension
+    each.sort(key=lambda r: r.d)
+    return [r["mean"] for r in each], [r.sd for r in each]
 
 
 def standardised(x: Column, mean: Column, sd: Column) -> Column:
@@ -107,18 +104,18 @@ def calibrated(rows: DataFrame, curve: IsotonicRegressionModel, score: str, name
 
 def fitted(train: DataFrame, binary: bool, strength: float, name: str = "head") -> Head | None:
     """A head over ``x, y``: logistic with inverse penalty ``strength``, or ridge with penalty ``strength``; None if a class is missing."""
-    stats = moments(train.select(F.lit(0).alias("fold"), "x", "y").unionByName(train.select(F.lit(1).alias("fold"), "x", "y"))).where("fold = 0").first()
+    mean, sd = scaling(train)
     classes = train.agg(F.count_distinct("y").alias("c"), F.count("*").alias("n"), F.stddev_pop(F.col("y").cast("double")).alias("sd")).first()
-    if stats is None or binary and classes.c < 2:
+    if not mean or binary and classes.c < 2:
         return None
-    scaled = standardised(F.col("x"), F.array(*map(F.lit, stats.mean)), F.array(*map(F.lit, stats.sd)))
+    scaled = standardised(F.col("x"), F.array(*map(F.lit, mean)), F.array(*map(F.lit, sd)))
     rows = train.select(array_to_vector(scaled).alias("features"), F.col("y").cast("double").alias("label"))
     if binary:
         model = LogisticRegression(regParam=1.0 / (strength * classes.n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(rows)
     else:
         # Spark scales the label, which divides the penalty by the label's deviation
         model = LinearRegression(regParam=strength * (classes.sd or 1.0) / classes.n, elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
-    return Head(name, binary, list(stats.mean), list(stats.sd), model)
+    return Head(name, binary, mean, sd, model)
 
 
 def out_of_fold(rows: DataFrame, key: list[str], binary: bool, strength: float) -> DataFrame:

@@ -56,11 +56,12 @@ def described(rows: DataFrame, values: list[str]) -> DataFrame:
 def octants(rows: DataFrame, block: list[str], values: list[str], least: int, name: str) -> DataFrame:
     """Occupancy of the corners that median splits (strictly above) of three values make in each block of ``least`` rows or more."""
     full = rows.where(" and ".join(f"{v} is not null" for v in values)).withColumn("_g", group_of(block))
-    cuts = full.groupBy(F.col("_g").alias("g")).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    for v in values:
-        cuts = cuts.join(medians(full, block, v, f"_{v}"), "g")
+    long = full.select("_g", F.explode(F.array(*(F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("x")) for v in values))).alias("p")).select("_g", "p.name", "p.x")
+    mids = medians(long, ["_g", "name"], "x", "m").select("g._g", "g.name", "m")
+    cuts = mids.groupBy("_g").agg(*(F.max(F.when(F.col("name") == v, F.col("m"))).alias(f"_{v}") for v in values))
+    cuts = cuts.join(full.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") >= least), "_g")
     flags = [(F.col(v) > F.col(f"_{v}")).cast("int").alias(f"{v}_high") for v in values]
-    split = full.join(cuts.withColumnRenamed("g", "_g"), "_g").select(*block, name, *flags)  # a row per block, which Spark broadcasts if it is small
+    split = full.join(cuts, "_g").select(*block, name, *flags)  # a row per block, which Spark broadcasts if it is small
     return split.groupBy(*block, *(f"{v}_high" for v in values)).agg(F.count("*").alias("n"), F.min(name).alias("example"))
 
 
