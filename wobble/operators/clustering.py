@@ -19,12 +19,16 @@ def candidate_pairs(samples: DataFrame, cell: list[str], shared: Column | None =
     which loses nothing where a model cannot relate others.
     """
     distinct = samples.select(*cell, "answer").distinct()
-    if shared is not None:
-        distinct = distinct.withColumn("_s", F.explode(shared))
-    on = [*cell, "_s"] if shared is not None else cell
-    other = distinct.withColumnRenamed("answer", "hypothesis")
-    pairs = distinct.withColumnRenamed("answer", "premise").join(other, on).where("premise <> hypothesis")
-    return pairs.select(*cell, "premise", "hypothesis").distinct() if shared is not None else pairs
+    if shared is None:
+        other = distinct.withColumnRenamed("answer", "hypothesis")
+        return distinct.withColumnRenamed("answer", "premise").join(other, cell).where("premise <> hypothesis")
+    # entries meet by digests of the answers; the texts come back once per pair
+    keyed = distinct.withColumn("_k", F.unhex(F.md5("answer")))
+    entries = keyed.select(*cell, "_k", F.explode(shared).alias("_s"))
+    pairs = entries.join(entries.withColumnRenamed("_k", "_l"), [*cell, "_s"]).where("_k < _l").select(*cell, "_k", "_l").distinct()
+    named = pairs.join(keyed.withColumnRenamed("answer", "premise"), [*cell, "_k"])
+    named = named.join(keyed.withColumnsRenamed({"answer": "hypothesis", "_k": "_l"}), [*cell, "_l"]).select(*cell, "premise", "hypothesis")
+    return named.unionByName(named.select(*cell, F.col("hypothesis").alias("premise"), F.col("premise").alias("hypothesis")))
 
 
 def entailed(pairs: DataFrame, nli: DataFrame, cell: list[str], criterion: str = "label", threshold: float = 0.5) -> DataFrame:
@@ -43,6 +47,7 @@ def clusters(samples: DataFrame, links: DataFrame, cell: list[str], order: list[
     An answer's label is where it is met first; a round takes over the least label of its neighbours, then that label's own.
     """
     first = written(samples.groupBy(*cell, "answer").agg(F.min(F.struct(*order)).alias("label")), "answers")
+    links = written(links.select(*cell, "a", "b"), "pairs")
     edges = links.select(*cell, F.col("a").alias("answer"), F.col("b").alias("other")).unionByName(links.select(*cell, F.col("b").alias("answer"), F.col("a").alias("other")))
     # named by where answers are met: two labels a row
     at = lambda name, label: first.withColumnsRenamed({"answer": name, "label": label})
