@@ -47,9 +47,12 @@ def merged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merged([table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "quality")], ["doc_id"])
 
 
-@query("SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE (o_custkey, o_orderstatus) NOT IN (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice >= 100000)")
 def pending_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pending(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), table(spark, sf_dir, "orders"), ["o_custkey"])
+    """Customers and states without a large order: the cells that are not done."""
+    orders = table(spark, sf_dir, "orders")
+    key = ["o_custkey", "o_orderstatus"]
+    return R.pending(orders.select(*key).distinct(), orders.where("o_totalprice >= 100000"), key)
 
 
 @query("""

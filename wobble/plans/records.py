@@ -167,13 +167,14 @@ WITH m AS (SELECT r_name AS id, r_regionkey AS k, count(*) AS m0 FROM region JOI
 t AS (SELECT *, list_reduce(list_transform(string_split(sha256(id || '::42'), ''), lambda d: CAST(instr('0123456789abcdef', d) - 1 AS BIGINT)), lambda a, d: (a * 16 + d) % m0) % m0 AS t FROM m),
 n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)
 SELECT t.id AS question_id, CAST(l AS INT) AS spec_level, CASE WHEN l = 0 THEN 'which nation of ' || t.id ELSE 'the nation ' || n_name END AS question_text,
-  CAST(CASE WHEN l = 0 THEN m0 ELSE 1 END AS INT) AS m_valid, CAST(m0 AS INT) AS m0, CAST(t AS INT) AS target_idx, false AS target_collision,
+  CAST(CASE WHEN l = 0 THEN m0 ELSE 1 END AS INT) AS m_valid, CAST(m0 AS INT) AS m0, CAST(t AS INT) AS target_idx,
+  n_nationkey % 2 = 0 AND (SELECT count(*) FROM nation m WHERE m.n_regionkey = k AND m.n_nationkey % 2 = 0) > 1 AS target_collision,
   round(CASE WHEN l = 0 THEN 0 ELSE log2(m0) END, 6) AS fi_spec
 FROM t JOIN n ON n_regionkey = k AND i = t, (SELECT unnest([0, 1]) AS l)
 """)
 def specificity_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as ambiguous questions, their nations as the readings."""
-    reading = F.struct("n_nationkey", F.concat(F.lit("the nation "), "n_name").alias("disambiguated_question"), F.array("n_name").alias("answers"))
+    """Regions as ambiguous questions, their nations as the readings; nations with even keys have an answer in common."""
+    reading = F.struct("n_nationkey", F.concat(F.lit("the nation "), "n_name").alias("disambiguated_question"), F.array_compact(F.array("n_name", F.when(F.col("n_nationkey") % 2 == 0, "Even"))).alias("answers"))
     plain = lambda r: F.struct(r["disambiguated_question"].alias("disambiguated_question"), r["answers"].alias("answers"))
     nations = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.transform(F.array_sort(F.collect_list(reading)), plain).alias("interpretations"))
     evidence = F.array().cast("array<struct<title: string, snippet: string>>")
