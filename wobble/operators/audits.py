@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from .lineage import written
-from .prefix import medians, rank_correlation, ranked
+from .prefix import group_of, medians, rank_correlation, ranked
 from .relational import seeded
 
 
@@ -63,9 +63,10 @@ def quality_against_bits(rows: DataFrame, level: str, value: str, n: int, k: int
 def rank_matrix(rows: DataFrame, values: list[str], least: int = 3) -> DataFrame:
     """``a, b, rho, n`` of every pair of columns over the rows that have them all; each column is ranked once."""
     full = rows.select(*(F.col(v).cast("double").alias(v) for v in values)).where(" and ".join(f"{v} is not null and not isnan({v})" for v in values))
-    counted = full.groupBy(*values).agg(F.count("*").alias("_w"))
+    table = full.groupBy(group_of([]).alias("g"), *values).agg(F.count("*").alias("_w"))
+    counted = table
     for v in values:
-        counted = counted.join(ranked(full, [], v, f"_{v}").select(F.col("v").alias(v), f"_{v}"), v)
+        counted = counted.join(ranked(table, v, "_w", f"_{v}"), ["g", v])
     w = F.col("_w")
     pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :]]
     sums = counted.agg(F.sum(w).alias("n"), *(F.sum(w * F.col(f"_{v}") * F.col(f"_{v}")).alias(f"q_{v}") for v in values), *(F.sum(w * F.col(f"_{a}") * F.col(f"_{b}")).alias(f"p_{a}_{b}") for a, b in pairs))

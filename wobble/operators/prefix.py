@@ -47,10 +47,14 @@ def running(values: DataFrame, *sums: str) -> DataFrame:
     return out
 
 
-def ranked(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``g, v`` and ``name``, the rank of each distinct value, ties at their mean, less the mean of all ranks."""
+def ranked(counted: DataFrame, value: str, weight: str, name: str) -> DataFrame:
+    """``g``, the value and ``name``, its rank in its group, ties at their mean, less the mean of all ranks.
+
+    ``counted`` has ``g``, columns of numbers and how often they occur together; its own shuffle serves all columns.
+    """
+    values = counted.groupBy("g", F.col(value).alias("v")).agg(F.sum(weight).alias("n"))
     r = F.col("before_n") + (F.col("n") + 1) / 2 - (F.col("total_n") + 1) / 2
-    return running(distinct_values(rows, by, value), "n").select("g", "v", r.alias(name))
+    return running(values, "n").select("g", F.col("v").alias(value), r.alias(name))
 
 
 def medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -66,7 +70,7 @@ def rank_correlation(rows: DataFrame, a: str, b: str, by: list[str], name: str,
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     full = rows.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, x.alias("x"), y.alias("y"))
     pairs = full.groupBy(group_of(by).alias("g"), "x", "y").agg(F.count("*").alias("w"))
-    pairs = pairs.join(ranked(full, by, "x", "rx").withColumnRenamed("v", "x"), ["g", "x"]).join(ranked(full, by, "y", "ry").withColumnRenamed("v", "y"), ["g", "y"])
+    pairs = pairs.join(ranked(pairs, "x", "w", "rx"), ["g", "x"]).join(ranked(pairs, "y", "w", "ry"), ["g", "y"])
     w, p, q = F.col("w"), F.col("rx"), F.col("ry")
     n, xy, xx, yy = F.sum(w), F.sum(w * p * q), F.sum(w * p * p), F.sum(w * q * q)
     rho = F.when((n >= least) & (xx > 0) & (yy > 0), xy / F.when((xx > 0) & (yy > 0), F.sqrt(xx) * F.sqrt(yy)))
