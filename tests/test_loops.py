@@ -175,7 +175,7 @@ def test_ridge_and_logistic_heads_equal_numpy(spark):
 
 def test_a_head_is_checked_calibrated_saved_and_loaded(spark, tmp_path):
     x, y, rows = probe_rows(spark)
-    head = heads.train("vagueness", rows.withColumnRenamed("v", "y"), ["i"], "q", binary=True, strength=0.1, n_splits=3, length="len")
+    head = heads.train("vagueness", rows.withColumnRenamed("v", "y"), ["i"], "q", binary=True, strength=0.1, n_splits=2, length="len")
     assert head.cut is not None and 0.75 < head.checks["quality"] <= 1 and abs(head.checks["permuted"] - 0.5) < 0.25
     assert 0 <= head.checks["ece"] < 0.3 and head.checks["n"] == 240 and head.checks["questions"] == 60 and head.checks["length"] >= 0.5
     got = heads.gauges(rows, [head]).orderBy("i").select("vagueness").toPandas().vagueness.to_numpy()
@@ -185,7 +185,7 @@ def test_a_head_is_checked_calibrated_saved_and_loaded(spark, tmp_path):
     heads.save([head], spark, str(tmp_path / "m"))
     again = heads.load(spark, str(tmp_path / "m"))
     assert np.allclose(heads.gauges(rows, again).orderBy("i").select("vagueness").toPandas().vagueness, got)
-    line = heads.train("reliability", rows.withColumnRenamed("v", "y"), ["i"], "q", binary=False, strength=10.0, n_splits=3)
+    line = heads.train("reliability", rows.withColumnRenamed("v", "y"), ["i"], "q", binary=False, strength=10.0, n_splits=2)
     assert line.checks["quality"] > 0.6
 
 
