@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .decontamination import small
 from .kernels import BASE, Chunk, chunks, found_runs, mixed
-from .shared import bounded_batches, matched, scratch, stored, stored_by
+from .shared import bounded_batches, matched, scratch, stored, stored_by, tidied
 
 WORDS, THRESHOLD, SKETCHES, TAKEN = 5, 0.8, 16, 3
 #: Nodes that an element may occur in before it counts as common (this orders elements, it leaves out none).
@@ -125,6 +125,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
 def _sketched(texts: DataFrame) -> DataFrame:
     """``node, n, keys`` for each row of ``node, text`` with a shingle."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column("text")):
@@ -139,6 +140,7 @@ def _sketched(texts: DataFrame) -> DataFrame:
 def _sequences(texts: DataFrame) -> DataFrame:
     """``node, seq`` for each row of ``node, text``: its labelled shingles, 8 bytes each."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column("text")):
@@ -153,6 +155,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataF
     """The pairs ``a, b`` whose alignment reaches the threshold."""
     rows = pairs.join(sequences.withColumnsRenamed({"node": "b", "seq": "seq_b"}), "b").join(sequences.withColumnsRenamed({"node": "a", "seq": "seq_a"}), "a")
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column("seq_a"), batch.column("seq_b"), strict=True)
@@ -165,6 +168,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataF
 def _elements(sequences: DataFrame) -> DataFrame:
     """``node, n, e``: a row per element of each of the ``node, seq`` rows."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seqs = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("seq")]

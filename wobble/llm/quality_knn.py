@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .kernels import SPACE, Chunk, chunks, hashes, word_pieces
 from .quality_rules import measure_arrays
-from .shared import bounded_batches, text_of
+from .shared import bounded_batches, text_of, tidied
 
 SAMPLE, DIMS, NEIGHBOURS, THRESHOLD, FOLDS = 8192, 64, 15, 0.3, 5
 WORD_BINS, SHAPE_BINS, PARTS = 1 << 13, 1 << 11, 16
@@ -89,7 +89,7 @@ def weighted(text: np.ndarray, bins: np.ndarray, n: np.ndarray, idf: np.ndarray)
     return w / np.maximum(norm[group], 1e-12).astype(np.float32)
 
 
-def times(at: np.ndarray, bins: np.ndarray, w: np.ndarray, dense: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+def times(at: np.ndarray, bins: np.ndarray, w: np.ndarray, dense: np.ndarray, block: int = 1 << 15) -> np.ndarray:
     """A sparse matrix (rows begin at ``at``, which has one entry more than rows) times a dense one."""
     out = np.zeros((len(at) - 1, dense.shape[1]), np.float32)
     a = 0
@@ -114,7 +114,7 @@ class Model:
         x = times(np.searchsorted(text, np.arange(rows + 1)), bins, w, self.basis)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def scores(self, x: np.ndarray, block: int = 256) -> np.ndarray:
+    def scores(self, x: np.ndarray, block: int = 64) -> np.ndarray:
         """Weighted share of label 1 among each row's nearest labelled vectors."""
         if not len(self.labels):
             return np.full(len(x), 0.5)
@@ -149,6 +149,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str,
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dims: int = DIMS, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 7) -> Model:
     rows = training_rows(docs, labels, sample, id_col, text_col, label_col)
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column("text")):
@@ -191,6 +192,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -213,6 +215,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

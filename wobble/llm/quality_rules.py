@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BASE, SPACE, Chunk, chunks, counts, found_runs, grouped_counts, mixed
-from .shared import bounded_batches, stored, text_of
+from .shared import bounded_batches, stored, text_of, tidied
 
 MEASURES = ("n_bytes", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bare_words")
 SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -110,6 +110,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The measurements of each row's text, in one pass over the bytes; no shuffle."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_counts(c) for c in chunks(batch.column("text"))]

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE, CHUNK, Chunk, chunks, hashes, mixed, powers
-from .shared import bounded_batches, matched, remove, scratch, stored, text_of, union
+from .shared import bounded_batches, matched, remove, scratch, stored, text_of, tidied, union
 from .suffix_kernel import registered
 
 LENGTH, GRAM, HOT = 200, 32, 2000
@@ -106,6 +106,7 @@ RUN = ("g", "c", "d")
 def _anchors(rows: DataFrame) -> DataFrame:
     kind = rows.schema["doc"].dataType.simpleString()
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column("text")):
@@ -218,6 +219,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     kind = rows.schema["doc"].dataType.simpleString()
     joined = rows.alias("d").join(found.alias("f"), _same_doc("d", "f"), "left").select("d.doc", "d.text", "f.ranges")
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ranges = batch.column("text").cast(pa.binary()), batch.column("ranges")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
 from .files import opened, read_bytes, write_bytes
-from .shared import bounded_batches, shared_dir, text_of
+from .shared import bounded_batches, shared_dir, text_of, tidied
 
 JOINED, END_ID = 100, 0
 #: Bytes of words and ids that an encoder remembers, and words that are put together at a time.
@@ -224,6 +224,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID
     # the hash lets different texts of one id, or of none, go to several tasks
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
+    @tidied
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part = encoder(tokenizer), TaskContext.get().partitionId()
         store = None
@@ -276,6 +277,7 @@ def read_corpus(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
         return spark.createDataFrame([], schema)
     shards = spark.createDataFrame([(s["name"], s["n_null"], s["width"], s["start"]) for s in manifest["shards"]], "name string, n_null bigint, width bigint, start bigint")
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in (s for b in batches for s in b.to_pylist()):
             ends = EliasFano.frombytes(read_bytes(f"{path}/{s['name']}.ends"))

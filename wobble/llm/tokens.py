@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, text_of
+from .shared import bounded_batches, text_of, tidied
 from .token_ids import PART, Encoder
 
 #: Bytes of different parts that go to the library at once, and of parts that a worker remembers.
@@ -164,6 +164,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     """``id, n_bytes, n_tokens, over_limit`` for each row of ``docs``; no shuffle."""
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
+    @tidied
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = counter(path)
         for batch in batches:
