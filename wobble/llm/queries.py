@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, order_minhash, quality_knn, quality_rules, repeats, sharding, warc
+from . import decontamination, exact_dedup, infill, lexical_search, mixing, order_minhash, quality_knn, quality_rules, repeats, sharding, warc
 from .shared import union
 from .token_ids import round_trip
 from .tokens import count_tokens
@@ -95,6 +95,45 @@ FROM ledger, policies, rules WHERE bits & b <> 0 GROUP BY policy, version, rule
 """
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+TERMED = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMED} AS w FROM documents),
+c AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+i AS (SELECT DISTINCT item_id, unnest({TERMED}) AS t FROM benchmark),
+p AS (
+  SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY r, t
+), v AS (
+  SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY t, n_docs
+), s AS (
+  SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * CAST(len(w) AS BIGINT) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM i JOIN p USING (t) JOIN v USING (t) JOIN d USING (r), c GROUP BY item_id, r, doc_id
+), k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+OP13_SQL = """
+WITH d AS (
+  SELECT coalesce(text, '') AS t, doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+), h AS (
+  SELECT *, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), o AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -156,9 +195,23 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), smallest=False, folded=True)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.transformed(table(spark, sf_dir, "documents"))
+    made, back = F.col("output"), infill.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(made, 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op4_repeated_strings, op5_decontamination, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture, quality_rule_ablations)}
+    return {f.__name__: f for f in (op1_sharding, op2_warc_archives, op3_quality_rules, op4_repeated_strings, op5_decontamination, op6_token_ids, op7_quality_classifier, op8_near_duplicates, op9_token_counts, op10_mixture, op11_exact_duplicates, op12_lexical_search, op13_fill_in_middle, quality_rule_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_decontamination": OP5_SQL, "quality_rule_ablations": ABLATION_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_warc_archives": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_decontamination": OP5_SQL, "op11_exact_duplicates": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_fill_in_middle": OP13_SQL, "quality_rule_ablations": ABLATION_SQL}
