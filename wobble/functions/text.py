@@ -222,13 +222,15 @@ def listed_answers(text: pd.Series) -> pd.Series:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance over lower-case words: each different word of the two texts becomes one character."""
-    x, y = tokens(a), tokens(b)
-    words = F.array_distinct(F.concat(x, y))
+    """Edit distance over lower-case words: each different word of the two texts becomes one character.
+
+    Words are split off once a row: inside lambdas of one-element arrays, they are values that Spark cannot work out again.
+    """
+    split = F.transform(F.array(F.struct(tokens(a).alias("x"), tokens(b).alias("y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.array_distinct(F.concat(p["x"], p["y"])).alias("words")))
     # characters beyond the basic plane, so that none is a surrogate
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 0x10000), 8, "0")), "UTF-32")
-    spelled = lambda ws: F.array_join(F.transform(ws, letter), "")
-    return F.levenshtein(spelled(x), spelled(y))
+    letter = lambda w, words: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 0x10000), 8, "0")), "UTF-32")
+    spelled = lambda ws, words: F.array_join(F.transform(ws, lambda w: letter(w, words)), "")
+    return F.get(F.transform(split, lambda p: F.levenshtein(spelled(p["x"], p["words"]), spelled(p["y"], p["words"]))), F.lit(0))
 
 
 @F.pandas_udf(T.StringType())

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from .factors import rank_correlations
 from .lineage import written
-from .prefix import group_of, medians, rank_correlation, ranked
+from .prefix import medians, rank_correlation
 from .relational import seeded
 
 
@@ -61,18 +62,11 @@ def quality_against_bits(rows: DataFrame, level: str, value: str, n: int, k: int
 
 
 def rank_matrix(rows: DataFrame, values: list[str], least: int = 3) -> DataFrame:
-    """``a, b, rho, n`` of every pair of columns over the rows that have them all; each column is ranked once."""
-    full = rows.select(*(F.col(v).cast("double").alias(v) for v in values)).where(" and ".join(f"{v} is not null and not isnan({v})" for v in values))
-    table = full.groupBy(group_of([]).alias("g"), *values).agg(F.count("*").alias("_w"))
-    counted = table
-    for v in values:
-        counted = counted.join(ranked(table, v, "_w", f"_{v}"), ["g", v])
-    w = F.col("_w")
+    """``a, b, rho, n`` of every pair of columns over the rows that have them all; the rows are read once."""
     pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :]]
-    sums = counted.agg(F.sum(w).alias("n"), *(F.sum(w * F.col(f"_{v}") * F.col(f"_{v}")).alias(f"q_{v}") for v in values), *(F.sum(w * F.col(f"_{a}") * F.col(f"_{b}")).alias(f"p_{a}_{b}") for a, b in pairs))
-    both = lambda a, b: F.sqrt(F.col(f"q_{a}")) * F.sqrt(F.col(f"q_{b}"))
-    rho = lambda a, b: F.when((F.col("n") >= least) & (both(a, b) > 0), F.col(f"p_{a}_{b}") / F.when(both(a, b) > 0, both(a, b)))
-    return sums.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rho(a, b).alias("rho"), F.col("n").alias("n")) for a, b in pairs))))
+    found = rank_correlations(rows, [], values, least)
+    named = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.get("rho", F.lit(k)).alias("rho"), "n") for k, (a, b) in enumerate(pairs)))
+    return found.select(F.inline(named))
 
 
 def redundant(rows: DataFrame, value: str, others: list[str], limit: float = 0.95, least: int = 5) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel, L
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import probes
 from .prefix import rank_correlation
-from .relational import auroc, group_folds, otsu, seeded
+from .relational import auroc, group_folds, otsu, seeded_places
 
 EPSILON = 1e-8
 PENALTIES, RIDGES = (0.001, 0.01, 0.1, 1.0), (1e2, 1e3, 1e4, 1e5)
@@ -137,21 +138,8 @@ def quality(scored: DataFrame, binary: bool) -> float | None:
 
 def nested(rows: DataFrame, key: list[str], group: str, binary: bool, grid: tuple[float, ...] | None = None, inner: int = 3, seed: int = 43) -> tuple[float | None, dict[int, float]]:
     """Quality of out-of-fold scores with each fold's strength chosen by ``inner`` folds of the other rows; and what was chosen."""
-    grid, picked, out = grid or (PENALTIES if binary else RIDGES), {}, None
-    for fold in sorted(r.fold for r in rows.select("fold").distinct().collect()):
-        train = rows.where(F.col("fold") != fold).drop("fold")
-        split = folded(train, group, inner, seed).cache()
-        tried = {s: quality(o, binary) for s in grid if (o := out_of_fold(split, key, binary, s)) is not None}
-        split.unpersist()
-        known = {s: q for s, q in tried.items() if q is not None}
-        strength = max(known, key=lambda s: (known[s], -grid.index(s))) if known else grid[0]
-        head = fitted(train, binary, strength)
-        if head is None:
-            continue
-        picked[fold] = strength
-        part = head.scored(rows.where(F.col("fold") == fold)).select(*key, "y", "score")
-        out = part if out is None else out.unionByName(part)
-    return (quality(out, binary) if out is not None else None), picked
+    scores, picked = probes.nested(rows, key, group, binary, grid or (PENALTIES if binary else RIDGES), inner, seed)
+    return quality(scores, binary), {r.outer: r.strength for r in picked.collect()}  # a row per fold
 
 
 # calibration and controls
@@ -167,11 +155,10 @@ def calibration_error(rows: DataFrame, value: str, label: str, by: list[str], bi
 
 def permuted_labels(rows: DataFrame, group: str, order: list[str], label: str, seed: int, name: str = "permuted") -> DataFrame:
     """Rows with the labels of another group: groups are dealt each other's in two seeded orders; a pattern is repeated or cut to fit."""
-    groups = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    # both orders are of one row per group
-    one = groups.select(F.col(group).alias("_to"), F.row_number().over(Window.orderBy(seeded(seed, group), group)).alias("_p"))
-    two = groups.select(F.col(group).alias("_from"), F.col("_size"), F.row_number().over(Window.orderBy(seeded(seed + 1, group), group)).alias("_p"))
-    donors = one.join(two, "_p").select("_to", "_from", "_size")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    one = seeded_places(rows, group, seed).withColumnRenamed(group, "_to")
+    two = seeded_places(rows, group, seed + 1).join(sizes, group).withColumnRenamed(group, "_from")
+    donors = one.join(two, "place").select("_to", "_from", "_size")
     numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
     pattern = numbered.select(F.col(group).alias("_from"), F.col("_i").alias("_j"), F.col(label).alias(name))
     placed = numbered.join(donors, F.col(group) == F.col("_to")).withColumn("_j", F.pmod("_i", "_size").cast("int")).drop("_to", "_size", "_i")

@@ -74,9 +74,9 @@ def plausibility(rows: DataFrame, values: list[str], where: Column) -> DataFrame
 
 
 def first_per(rows: DataFrame, by: list[str], order: list[Column | str], n: int, index: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each group."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col("_r") < n)
-    return ranked.withColumnRenamed("_r", index) if index else ranked.drop("_r")
+    """The first ``n`` rows of each group; every task keeps ``n`` of each before they are shuffled."""
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n)
+    return ranked.withColumn("_r", F.col("_r") - 1).withColumnRenamed("_r", index) if index else ranked.drop("_r")
 
 
 def seeded(seed: int, key: str) -> Column:
@@ -122,17 +122,6 @@ def evidence_prefix(snippets: DataFrame, key: str, order: str, text: str, most:
     return snippets.withColumn("_t", total).withColumn("_first", F.row_number().over(w) == 1).where((F.col("_t") <= most) | F.col("_first")).drop("_t", "_first")
 
 
-def universe_order() -> list[Column]:
-    """Paraphrases in order of trust: the weaker direction of entailment first, then overlap, then arrival."""
-    return [F.desc(F.least("nli_fwd", "nli_bwd")), F.desc("jaccard"), F.asc("pos")]
-
-
-def reason(threshold: float) -> Column:
-    """Why a candidate fails the entailment filter; null if it passes."""
-    low, high = F.least("nli_fwd", "nli_bwd"), F.greatest("nli_fwd", "nli_bwd")
-    return F.when(low >= threshold, None).when(high >= threshold, "nli_one_direction").otherwise("nli_low")
-
-
 def gold_set() -> Column:
     """The answers a level is held to: the constraint's, else all at level 0, else (or if none) the target's."""
     base = F.when(F.col("spec_level") == 0, F.col("all_answers")).otherwise(F.col("target_answers"))
@@ -140,17 +129,22 @@ def gold_set() -> Column:
     return F.coalesce(some(F.col("constraint_answers")), some(base), F.col("target_answers"))
 
 
-def group_folds(rows: DataFrame, group: str, n_splits: int, seed: int) -> DataFrame:
-    """Each group's fold: groups in a seeded order are dealt in turn, so no group is in two folds and folds differ by one group at most.
+def seeded_places(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``key, place``: the distinct values of a column, numbered from 0 in a seeded order.
 
-    Groups are counted in ranges of their hashes first, so no task orders them all.
+    They are counted in ranges of their hashes first, so no task orders them all.
     """
-    names = rows.select(group).distinct().withColumn("_h", seeded(seed, group)).withColumn("_b", F.substring("_h", 1, 3))
+    names = rows.select(key).distinct().withColumn("_h", seeded(seed, key)).withColumn("_b", F.substring("_h", 1, 3))
     ranges = names.groupBy("_b").agg(F.count("*").alias("_n"))  # 4096 at most
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", group)) - 1
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
     dealt = names.withColumn("_p", place).join(ranges.select("_b", before.alias("_before")), "_b")
-    return dealt.select(group, F.pmod(F.col("_before") + F.col("_p"), F.lit(n_splits)).cast("int").alias("fold"))
+    return dealt.select(key, (F.col("_before") + F.col("_p")).alias("place"))
+
+
+def group_folds(rows: DataFrame, group: str, n_splits: int, seed: int) -> DataFrame:
+    """Each group's fold: groups in a seeded order are dealt in turn, so no group is in two folds and folds differ by one group at most."""
+    return seeded_places(rows, group, seed).select(group, F.pmod("place", F.lit(n_splits)).cast("int").alias("fold"))
 
 
 def auroc(rows: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:

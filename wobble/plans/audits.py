@@ -9,6 +9,7 @@ from ..functions import expr as E
 from ..operators import audits as A
 from ..operators import cells as C
 from ..operators import scoring
+from ..operators.factors import factors
 from ..sources import sinks
 from .metrics import COUNTS_SQL, INPUT_SQL, by_model, model_facts, samples
 from .registry import Registry, rounded, table
@@ -78,6 +79,35 @@ def rank_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.rank_matrix(table(spark, sf_dir, "lineitem"), list(METRICS)))
 
 
+GROUP_RANK = "rank() OVER (PARTITION BY l_returnflag ORDER BY {0}) + (count(*) OVER (PARTITION BY l_returnflag, {0}) - 1) / 2"
+#: The matrix 4 - C of each group, whose largest eigenvalue (by powers) is 4 less the smallest of C.
+POWER_SQL = f"""
+WITH RECURSIVE r AS (SELECT l_returnflag, {", ".join(f"{GROUP_RANK.format(m)} AS {m}" for m in METRICS)} FROM lineitem WHERE {" AND ".join(f"{m} IS NOT NULL" for m in METRICS)}),
+m AS (SELECT l_returnflag, [{", ".join("[" + ", ".join("3.0" if a == b else f"-coalesce(corr({a}, {b}), 0)" for b in METRICS) + "]" for a in METRICS)}] AS m FROM r GROUP BY l_returnflag),
+v AS (
+  SELECT l_returnflag, 0 AS i, [0.7, 0.1, -0.5, 0.4]::DOUBLE[] AS v FROM m
+  UNION ALL SELECT l_returnflag, i + 1, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u)))
+  FROM (SELECT l_returnflag, i, list_transform(m, lambda w: list_dot_product(w, v)) AS u FROM v JOIN m USING (l_returnflag) WHERE i < 2000)
+)"""
+
+
+@query(f"""
+{POWER_SQL} SELECT l_returnflag, 4.0::DOUBLE AS total, round(list_dot_product(v, list_transform(m, lambda w: list_dot_product(w, v))) / 4, 6) AS explained
+FROM v JOIN m USING (l_returnflag) WHERE i = 2000
+""")
+def factor_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of the eigenvalues of each group's rank matrix, and the share of the first three."""
+    found = factors(table(spark, sf_dir, "lineitem"), ["l_returnflag"], list(METRICS))
+    return rounded(found.groupBy("l_returnflag").agg(F.sum("eigenvalue").alias("total"), F.max("explained").alias("explained")))
+
+
+@query()
+def factor_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotated loadings of a line's numbers on three factors, for each return flag."""
+    found = factors(table(spark, sf_dir, "lineitem"), ["l_returnflag"], list(METRICS))
+    return rounded(found.select("l_returnflag", "name", "factor", *(F.col("loadings")[k].alias(f"loading_{k}") for k in range(3))))
+
+
 @query(f"""
 {" UNION ALL ".join(f"SELECT '{m}' AS name, round(corr(x, y), 6) AS rho, count(*) AS n, abs(corr(x, y)) > 0.95 AS redundant FROM (SELECT {RANK.format('l_quantity')} AS x, {RANK.format(m)} AS y FROM lineitem WHERE l_quantity IS NOT NULL AND {m} IS NOT NULL)" for m in METRICS[1:])}
 """)

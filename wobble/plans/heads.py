@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import heads as H
+from ..operators import probes as P
 from ..operators.relational import auroc
 from .registry import Registry, rounded, table
 
@@ -42,6 +43,13 @@ def mass_mean_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(auroc(scored, "y", "score", []))
 
 
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with quantity and discount as features, the price as the label, suppliers as questions, in five folds."""
+    x = F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("g"), x.alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
+    return H.folded(rows, "g", 5, 42)
+
+
 RIDGE_FOLDS = "folds AS (SELECT g, CAST((row_number() OVER (ORDER BY sha256('42::' || g), g) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT l_suppkey AS g FROM lineitem))"
 
 
@@ -57,14 +65,59 @@ SELECT test AS fold, round((ay * bb - by_ * ab) / (aa * bb - ab * ab), 4) AS w_q
 """)
 def ridge_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ridge head of each of five folds over two standardised features."""
-    x = F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), x.alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
-    split = H.folded(rows, "g", 5, 42)
-    found = []
-    for fold in range(5):
-        head = H.fitted(split.where(F.col("fold") != fold), False, 100.0)
-        found.append((fold, *(round(float(w), 4) for w in head.model.coefficients), round(float(head.model.intercept), 4)))
-    return spark.createDataFrame(found, "fold int, w_quantity double, w_discount double, intercept double")
+    held = F.array(F.struct(F.lit(0).alias("outer"), F.col("fold").alias("inner")))
+    heads = P.ridge_heads(P.moments(priced(spark, sf_dir).withColumn("cells", held)), (100.0,)).where("inner >= 0")
+    w = F.col("w")
+    return rounded(heads.select(F.col("inner").alias("fold"), w[0].alias("w_quantity"), w[1].alias("w_discount"), F.col("b").alias("intercept")), 4)
+
+
+NESTED_SQL = f"""
+{RIDGE_FOLDS}, base AS (SELECT l_orderkey, l_linenumber, fold, g, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem JOIN folds ON g = l_suppkey),
+inner_folds AS (
+  SELECT o AS outer_, g, CAST((row_number() OVER (PARTITION BY o ORDER BY sha256('43::' || g), g) - 1) % 3 AS INT) AS inner_
+  FROM folds, (SELECT DISTINCT fold AS o FROM folds) WHERE fold <> o
+), cells AS (SELECT r.*, outer_, inner_ FROM base r JOIN inner_folds USING (g)),
+train AS (
+  SELECT c.outer_, i AS inner_, a, b, y FROM cells c, (SELECT unnest([0, 1, 2]) AS i) WHERE c.inner_ <> i
+  UNION ALL SELECT outer_, -1, a, b, y FROM cells
+), m AS (SELECT outer_, inner_, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) + 1e-8 AS sa, stddev_pop(b) + 1e-8 AS sb, avg(y) AS my FROM train GROUP BY ALL),
+g AS (
+  SELECT outer_, inner_, s, sum(((a - ma) / sa) ** 2) + s AS aa, sum(((b - mb) / sb) ** 2) + s AS bb, sum((a - ma) / sa * (b - mb) / sb) AS ab, sum((a - ma) / sa * (y - my)) AS ay, sum((b - mb) / sb * (y - my)) AS by_
+  FROM train JOIN m USING (outer_, inner_), (SELECT unnest([{", ".join(map(repr, H.RIDGES))}])::DOUBLE AS s) GROUP BY outer_, inner_, s
+), heads AS (
+  SELECT outer_, inner_, s, ma, mb, sa, sb, my, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM g JOIN m USING (outer_, inner_)
+)"""
+NESTED_PICKS_SQL = f"""
+{NESTED_SQL}, tried AS (SELECT c.outer_, c.inner_, s, y, round((a - ma) / sa * wa + (b - mb) / sb * wb + my, 9) AS score FROM cells c JOIN heads h ON c.outer_ = h.outer_ AND c.inner_ = h.inner_),
+ranks AS (
+  SELECT outer_, inner_, s, rank() OVER (PARTITION BY outer_, inner_, s ORDER BY y) + (count(*) OVER (PARTITION BY outer_, inner_, s, y) - 1) / 2 AS p,
+    rank() OVER (PARTITION BY outer_, inner_, s ORDER BY score) + (count(*) OVER (PARTITION BY outer_, inner_, s, score) - 1) / 2 AS q FROM tried
+), rho AS (SELECT outer_, inner_, s, corr(p, q) AS rho FROM ranks GROUP BY ALL),
+worth AS (SELECT outer_, s, avg(rho) AS worth FROM rho GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {NESTED_SQL} SELECT outer_ AS fold, inner_ AS held_out, s AS strength, round(wa, 4) AS w_quantity, round(wb, 4) AS w_discount, round(my, 4) AS intercept FROM heads
+""")
+def ridge_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heads of all outer and inner folds and all strengths, from one scan."""
+    rows = P.nested_cells(priced(spark, sf_dir), "g", 3, 43)
+    heads, w = P.ridge_heads(P.moments(rows), H.RIDGES), F.col("w")
+    return rounded(heads.select(F.col("outer").alias("fold"), F.col("inner").alias("held_out"), "strength", w[0].alias("w_quantity"), w[1].alias("w_discount"), F.col("b").alias("intercept")), 4)
+
+
+@query(f"WITH {NESTED_PICKS_SQL} SELECT outer_ AS fold, round(max(worth), 4) AS worth FROM worth GROUP BY outer_")
+def nested_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean rank correlation in the inner folds of each outer fold's best strength."""
+    _, picked = P.nested(priced(spark, sf_dir), ["l_orderkey", "l_linenumber"], "g", False, H.RIDGES)
+    return rounded(picked.select(F.col("outer").alias("fold"), "worth"), 4)
+
+
+@query()
+def nested_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's score by the logistic head of its fold, with the penalty that the inner folds chose."""
+    scores, _ = P.nested(probes(spark, sf_dir), ["vec_id"], "g", True, H.PENALTIES)
+    return rounded(scores.select("vec_id", "y", F.col("outer").alias("fold"), "strength", "score"), 4)
 
 
 @query("""

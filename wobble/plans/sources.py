@@ -11,7 +11,7 @@ from ..operators import audits as A
 from ..operators import ladders as L
 from ..operators import universes as U
 from ..operators.lineage import shared_path
-from ..operators.relational import last_wins, universe_order
+from ..operators.relational import last_wins
 from ..sources import providers, records
 from ..streaming import windows as S
 from .records import TURNS_SQL, WORDS_SQL, turns
@@ -334,7 +334,7 @@ def trusted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates in order of trust."""
     rows = candidates(spark, sf_dir)
     scored = U.entailed_both(rows, providers.overlap(_both(rows))).withColumns({"jaccard": F.lit(0.0), "nli_fwd": F.round("nli_fwd", 6), "nli_bwd": F.round("nli_bwd", 6)})
-    place = F.row_number().over(Window.partitionBy("question_id").orderBy(*universe_order())) - 1
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(*U.priority())) - 1
     return scored.select("question_id", "sample_idx", place.alias("place"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,30 +21,55 @@ def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+#: Conditions of a table that is not there, or whose files are not what they should be; any other error is raised.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER")
+
+
 def newest(spark: SparkSession, path: str, schema: str, key: list[str], order: list[str], strict: bool = False) -> DataFrame:
-    """The last row of each key. A table that is not there, or not to be read, is empty, unless ``strict``."""
+    """The last row of each key. A table that is not there, or not to be read, is empty, unless ``strict``; a failed task is an error."""
     try:
         rows = spark.read.schema(schema).parquet(path)
         rows.limit(1).collect()
-    except Exception:
-        if strict:
+    except PySparkException as e:
+        known = e.getCondition() in ABSENT or "CANNOT_READ_FILE_FOOTER" in str(e) or "is not a Parquet file" in str(e)
+        if strict or not known:
             raise
         rows = spark.createDataFrame([], schema)
     return last_wins(rows, key, order)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path's class."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts a table back that a crash left beside its place, so that what was there before is there again."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(path)) and fs.exists(at(f"{path}.old")) and not fs.rename(at(f"{path}.old"), at(path)):
+        raise OSError(f"could not move {path}.old to {path}")
+
+
 def replace(rows: DataFrame, path: str) -> None:
-    """Writes a whole table beside the old one and moves it into place, so that a reader sees one or the other."""
+    """Writes a whole table beside the old one and moves it into place.
+
+    The old table is removed only once the new one is in its place. If the driver is lost, or the new one cannot be
+    written, the old one is at ``path``, or, between the two moves, at ``path.old``, from where :func:`recover` (which the
+    next call begins with) takes it back. For that moment a reader finds no table: it should recover and read again.
+    """
     spark = rows.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    recover(spark, path)
+    fs, at = _files(spark, path)
     fresh, old = f"{path}.new", f"{path}.old"
-    for p in (fresh, old):
-        fs.delete(at(p), True)
+    fs.delete(at(fresh), True)
     rows.write.parquet(fresh)
     if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
+        fs.delete(at(old), True)  # an older one still: the table is in its place
+        if not fs.rename(at(path), at(old)):
+            raise OSError(f"could not move {path} to {old}")
     if not fs.rename(at(fresh), at(path)):
+        recover(spark, path)
         raise OSError(f"could not move {fresh} to {path}")
     fs.delete(at(old), True)
 
