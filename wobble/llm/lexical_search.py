@@ -181,7 +181,7 @@ def _searched(at: Index, asked: DataFrame, k: int) -> DataFrame:
             bar = bar.select("q", F.when(F.col("n") >= k, F.col("least")).otherwise(0).alias("bar"))
             # terms that are read no more keep the bound where they stopped, and come first
             now = F.when(F.col("reads"), F.col("w") * (F.col("bounds")[tier] if tier < last else F.lit(0))).otherwise(F.col("open"))
-            after = state.join(F.broadcast(bar), "q", "left").select("q", "term", "w", "bounds", "reads", now.alias("open"), F.coalesce("bar", F.lit(0)).alias("bar"))
+            after = state.drop("bar").join(F.broadcast(bar), "q", "left").select("q", "term", "w", "bounds", "reads", now.alias("open"), F.coalesce("bar", F.lit(0)).alias("bar"))
             order = Window.partitionBy("q").orderBy("reads", "open", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             lacking = F.col("reads") & (F.col("open") > 0) & (F.sum("open").over(order) >= F.col("bar"))
             state = stored(after.withColumn("lacking", lacking).drop("reads").withColumnRenamed("lacking", "reads"), f"terms-{tier}")
