@@ -164,12 +164,13 @@ class ShardStore:
                 tiers.setdefault(self.tier(s["bytes"]), []).append(s)
         runs = []
         for shards in (tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fan):
-            run: list[dict] = []
+            run, size = [], 0
             for s in sorted(shards, key=lambda s: (s["bytes"], s["file"])):
-                if run and sum(x["bytes"] for x in run) + s["bytes"] > self.target:
+                if run and size + s["bytes"] > self.target:
                     runs.append(run)
-                    run = []
+                    run, size = [], 0
                 run.append(s)
+                size += s["bytes"]
             runs.append(run)
         return [r for r in runs if len(r) > 1]
 

@@ -217,44 +217,70 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: Bytes of text that a task of the shuffle gets about, and documents and ids after which a shard ends (with the batch).
+TASK_BYTES, SHARD_DOCS, SHARD_IDS = 256 << 20, 1 << 21, 1 << 28
+
+
+class Shard:
+    """A shard being written: ids go to their file as they come; ends and names, ``SHARD_DOCS`` and a batch's at most, wait to be coded."""
+
+    def __init__(self, out: str, part: int, at: int, width: int):
+        self.base, self.width = f"{out}/{part:06d}-{at:04d}-{uuid.uuid4().hex}", width
+        self.about = {"part": part, "at": at, "name": self.base.rsplit("/", 1)[1]}
+        self.ends, self.names, self.n_docs, self.n_null, self.n_ids = [], [], 0, 0, 0
+        store, path = opened(f"{self.base}.ids")
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        self.file = store.open_output_stream(path)
+
+    def add(self, names: pa.Array, coded: np.ndarray, n: np.ndarray) -> None:
+        self.file.write(coded.data)
+        self.ends.append(self.n_ids + np.cumsum(n))
+        self.names.append(names.drop_null().to_numpy(zero_copy_only=False))
+        self.n_docs, self.n_null, self.n_ids = self.n_docs + len(names), self.n_null + names.null_count, self.n_ids + int(n.sum())
+
+    def full(self) -> bool:
+        return self.n_docs >= SHARD_DOCS or self.n_ids >= SHARD_IDS
+
+    def close(self) -> pa.RecordBatch:
+        """Writes what waited; the shard's entry."""
+        self.file.close()
+        write_bytes(f"{self.base}.ends", EliasFano.encode(np.concatenate(self.ends)).tobytes())
+        write_bytes(f"{self.base}.docs", EliasFano.encode(np.concatenate(self.names)).tobytes())
+        return pa.RecordBatch.from_pylist([self.about | {"n_docs": self.n_docs, "n_null": self.n_null, "n_ids": self.n_ids, "width": self.width}])
+
+
 def write_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Writes the corpus below ``out`` and returns its manifest (one entry a shard). One shuffle: the texts, by ranges of ids and hash."""
+    """Writes the corpus below ``out`` and returns its manifest (one entry a shard).
+
+    One shuffle: the texts, by ranges of ids and hash, in as many tasks as their bytes ask for. A task begins a new shard
+    after ``SHARD_DOCS`` documents or ``SHARD_IDS`` ids.
+    """
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     # the hash lets different texts of one id, or of none, go to several tasks
-    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
+    rows = rows.repartitionByRange(tasks, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     @tidied
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part = encoder(tokenizer), TaskContext.get().partitionId()
-        store = None
-        ends, ids, total, nulls = [], [], 0, 0
-        name = f"{part:06d}-{uuid.uuid4().hex}"
+        model, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        shard = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if store is None:
-                store, path = opened(f"{out}/{name}.ids")
-                store.create_dir(path.rpartition("/")[0], recursive=True)
-                file = store.open_output_stream(path)
-            nulls += batch.column("id").null_count
-            ids.append(batch.column("id").drop_null().to_numpy(zero_copy_only=False))
             coded, n = model.encode(batch.column("text"), end_id)
-            file.write(coded.data)
-            ends.append(total + np.cumsum(n))
-            total += int(n.sum())
-        if store is None:
-            return
-        file.close()
-        write_bytes(f"{out}/{name}.ends", EliasFano.encode(np.concatenate(ends)).tobytes())
-        write_bytes(f"{out}/{name}.docs", EliasFano.encode(np.concatenate(ids)).tobytes())
-        n_docs = sum(map(len, ends))
-        about = {"part": part, "name": name, "n_docs": n_docs, "n_null": nulls, "n_ids": total, "width": model.dtype.itemsize}
-        yield pa.RecordBatch.from_pylist([about])
-
-    done = bounded_batches(rows).mapInArrow(write, "part bigint, name string, n_docs bigint, n_null bigint, n_ids bigint, width bigint").collect()
+            shard = shard or Shard(out, part, at, model.dtype.itemsize)
+            shard.add(batch.column("id"), coded, n)
+            if shard.full():
+                yield shard.close()
+                shard, at = None, at + 1
+        if shard:
+            yield shard.close()
+
+    done = bounded_batches(rows).mapInArrow(write, "part bigint, at bigint, name string, n_docs bigint, n_null bigint, n_ids bigint, width bigint").collect()
     shards, start = [], 0
-    for r in sorted(done, key=lambda r: r.part):
+    for r in sorted(done, key=lambda r: (r.part, r.at)):
         shards.append({"name": r.name, "n_docs": r.n_docs, "n_null": r.n_null, "n_ids": r.n_ids, "width": r.width, "start": start})
         start += r.n_ids
     manifest = {"format": 1, "end_id": end_id, "n_ids": start, "shards": shards}
