@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import text as X
 from .lineage import written
+from .neighbours import spread_out
 
 STRICT, RELAXED, OVERLAP, EDITS, TARGET = 0.9, 0.85, 0.9, 5, 10
 #: Reasons that stay when the threshold is relaxed.
@@ -75,23 +76,29 @@ def priority() -> list[Column]:
 def distinct_texts(survivors: DataFrame, edits: int = EDITS, distance: Callable[[Column, Column], Column] = F.levenshtein) -> DataFrame:
     """Survivors with ``place`` (among those kept, from 0; null if not kept) and ``reason`` (an exact or a close copy of one kept).
 
-    In order of :func:`priority` each question's texts are kept that are ``edits`` or more away from all kept before. A
-    question's candidates are few (personas times samples), so they are one array.
+    In order of :func:`priority` each question's texts are kept that are ``edits`` or more away from all kept before. Near
+    texts are found by a join, by characters or words, and decided in rounds, so a question may have any number of candidates. Another
+    ``distance`` is worked out for all pairs of a question.
     """
     rest = [c for c in survivors.columns if c not in ("question_id", "reason")]
-    listed = survivors.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(F.struct(*priority()).alias("p"), F.struct(*rest).alias("r")))).alias("rows"))
-    near = lambda kept, x: F.exists(kept, lambda k: distance(k, x) < edits)
-    empty = F.array().cast("array<string>")
-    text = lambda x: x["r"]["text"]
-    kept = F.aggregate("rows", empty, lambda k, x: F.when((F.trim(text(x)) == "") | near(k, text(x)), k).otherwise(F.concat(k, F.array(text(x)))))
-    rows = listed.withColumn("kept", kept).select("question_id", "kept", F.posexplode("rows").alias("i", "x"), "rows")
-    # the first of equal texts is the one that was kept
-    first = F.array_position(F.transform("rows", text), F.col("x.r.text")) == F.col("i") + 1
-    place = F.when(first & F.array_contains("kept", F.col("x.r.text")), F.array_position("kept", F.col("x.r.text")).cast("int") - 1)
-    rows = rows.withColumn("place", place)
-    nearest = F.array_min(F.transform("kept", lambda k: distance(k, F.col("x.r.text"))))
-    reason = F.when(F.col("place").isNull(), F.when(nearest == 0, "exact_duplicate").otherwise("edit_distance_close"))
-    return rows.select("question_id", *(F.col(f"x.r.{c}").alias(c) for c in rest), "place", reason.alias("reason"))
+    rows = survivors.select("question_id", *rest)
+
+    def compared(texts: DataFrame) -> DataFrame:
+        pairs = texts.withColumnRenamed("text", "a").join(texts.withColumnRenamed("text", "b"), "question_id").where("a < b")
+        return pairs.where(distance(F.col("a"), F.col("b")) < edits)
+
+    known = distance in (F.levenshtein, X.token_distance)
+    judged_ = spread_out(rows, ["question_id"], "text", priority(), edits - 1, distance is X.token_distance, None if known else compared)
+    kept = judged_.where("kept").select("question_id", "text", F.lit(True).alias("_kept"))
+    joined = rows.join(kept, ["question_id", "text"], "left")
+    # the first of equal texts is the one that was kept; only kept texts are numbered
+    order = Window.partitionBy("question_id", "text").orderBy(*priority())
+    joined = written(joined.withColumn("_first", F.col("_kept") & (F.row_number().over(order) == 1)), "survivors")
+    places = joined.where("_first").withColumn("place", (F.row_number().over(Window.partitionBy("question_id").orderBy(*priority())) - 1).cast("int"))
+    left = joined.where("not coalesce(_first, false)").withColumn("place", F.lit(None).cast("int"))
+    reason = F.when(F.col("_kept"), "exact_duplicate").otherwise("edit_distance_close")
+    out = places.select("question_id", *rest, "place", F.lit(None).cast("string").alias("reason"))
+    return out.unionByName(left.select("question_id", *rest, "place", reason.alias("reason")))
 
 
 def outcomes(rows: DataFrame, target: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions import text as X
 from ..operators import clustering, ladders, scoring
+from ..operators.neighbours import near_pairs, spread_out
 from ..sources.providers import overlap
 from .registry import Registry, rounded, table
 
@@ -57,6 +58,48 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("page_id", F.levenshtein("url", "other").alias("distance"))
 
 
+@query("""
+WITH u AS (SELECT DISTINCT url, length(url) AS n, md5(url) AS k FROM pages WHERE url IS NOT NULL)
+SELECT a.url AS a, b.url AS b, CAST(levenshtein(a.url, b.url) AS INT) AS distance FROM u a JOIN u b ON a.n < b.n OR (a.n = b.n AND a.k < b.k)
+WHERE b.n - a.n <= 5 AND levenshtein(a.url, b.url) <= 5
+""")
+def near_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of page addresses that are five edits apart or fewer."""
+    return near_pairs(table(spark, sf_dir, "pages"), [], "url", 5)
+
+
+KEPT_SQL = """
+k AS (
+  SELECT {g}, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS kept FROM (SELECT DISTINCT {g} FROM u)
+  UNION ALL
+  SELECT {k}, u.pos, CASE WHEN len(list_filter(k.kept, lambda x: CASE WHEN abs(length(x) - length(u.t)) <= {edits} THEN levenshtein(x, u.t) <= {edits} ELSE false END)) > 0 THEN k.kept ELSE list_append(k.kept, u.t) END
+  FROM k JOIN u ON {same} AND u.pos = k.pos + 1
+)"""
+
+
+@query(f"""
+WITH RECURSIVE u AS (SELECT 0 AS g, url AS t, row_number() OVER (ORDER BY min(page_id), url) AS pos FROM pages WHERE trim(url) <> '' GROUP BY url),
+{KEPT_SQL.format(g="g", k="k.g", same="u.g = k.g", edits=15)}
+SELECT u.t AS url, list_contains(f.kept, u.t) AS kept FROM u JOIN (SELECT g, arg_max(kept, pos) AS kept FROM k GROUP BY g) f USING (g)
+""")
+def distant_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all page addresses, in order of their pages, those that are 16 edits or more from every one kept before."""
+    return spread_out(table(spark, sf_dir, "pages"), [], "url", ["page_id"], 15).select(F.col("text").alias("url"), "kept")
+
+
+@query(f"""
+WITH RECURSIVE u AS (
+  SELECT coalesce(lang, '-') AS g, coalesce(source, '-') AS h, text AS t, row_number() OVER (PARTITION BY lang, source ORDER BY min(doc_id), text) AS pos FROM documents WHERE trim(text) <> '' GROUP BY lang, source, text
+), {KEPT_SQL.format(g="g, h", k="k.g, k.h", same="u.g = k.g AND u.h = k.h", edits=4)},
+f AS (SELECT g, h, arg_max(kept, pos) AS kept FROM k GROUP BY g, h)
+SELECT g AS lang, h AS source, md5(u.t) AS digest, list_contains(f.kept, u.t) AS kept FROM u JOIN f USING (g, h)
+""")
+def distant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language and source, in order of their ids, the documents that are five edits or more from every one kept before."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", *(F.coalesce(c, F.lit("-")).alias(c) for c in ("lang", "source")))
+    return spread_out(rows, ["lang", "source"], "text", ["doc_id"], 4).select("lang", "source", F.md5("text").alias("digest"), "kept")
+
+
 @query()
 def token_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).where("premise is not null").select("conv_id", "turn", X.token_distance(F.col("premise"), F.col("hypothesis")).alias("distance"))
