@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import SCHEMA, words
+from tests.llm.conftest import words
 from wobble.llm import decontamination, lexical_search
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -61,7 +61,6 @@ def corpus():
 def test_equals_a_scan(spark, corpus, tiers, monkeypatch):
     rows, items = corpus
     monkeypatch.setattr(lexical_search, "TIERS", tiers)
-    monkeypatch.setattr(lexical_search, "PIECE", 1000)
     docs, asked = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
     for k in (1, 10):
         assert made(lexical_search.search(docs, asked, k)) == by_hand(rows, items, k)
@@ -90,6 +89,15 @@ def test_whole_index_serves_other_items(spark, corpus, monkeypatch):
     assert at.postings.where("tier = 0").groupBy("term").count().where("count > 400").count() == 0  # common words are not read whole
 
 
+def test_texts_are_counted_in_pieces(monkeypatch):
+    text = " ".join(words(random.Random(1), 5000)) + " \u0085é É\t\x00A1b2 " * 30 + "x" * 5000
+    want = Counter(t.encode() for t in terms(text))
+    for piece in (1, 100, 1000, 1 << 20):
+        monkeypatch.setattr(lexical_search, "PIECE", piece)
+        assert lexical_search.term_counts(text.encode()) == want
+    assert lexical_search.term_counts(b"") == Counter() == lexical_search.term_counts(b" -- ")
+
+
 def test_impact_beyond_64_bits(spark):
     row = spark.createDataFrame([(7, 10_000_000)], "tf long, n long")
     docs, total = 10**11, 10**14
@@ -98,10 +106,9 @@ def test_impact_beyond_64_bits(spark):
 
 
 def test_edges(spark, edge, edge_rows, nothing):
-    items = edge.select(F.col("doc_id").alias("item_id"), "text", "score", "rank") if "rank" in edge.columns else edge.select(F.col("doc_id").alias("item_id"), "text", "score")
+    items = edge.select(F.col("doc_id").alias("item_id"), "text", "score", "n")
     rows = [(r[0], r[1]) for r in edge_rows]
     assert made(lexical_search.search(edge, items)) == by_hand(rows, rows, 10)
     none = nothing.select(F.col("doc_id").alias("item_id"), "text")
     assert lexical_search.search(nothing, items).count() == 0
     assert lexical_search.search(edge, none).count() == 0
-    assert spark.createDataFrame([], SCHEMA).count() == 0

@@ -238,8 +238,8 @@ class Shard:
         self.names.append(names.drop_null().to_numpy(zero_copy_only=False))
         self.n_docs, self.n_null, self.n_ids = self.n_docs + len(names), self.n_null + names.null_count, self.n_ids + int(n.sum())
 
-    def full(self) -> bool:
-        return self.n_docs >= SHARD_DOCS or self.n_ids >= SHARD_IDS
+    def full(self, most: tuple[int, int]) -> bool:
+        return self.n_docs >= most[0] or self.n_ids >= most[1]
 
     def close(self) -> pa.RecordBatch:
         """Writes what waited; the shard's entry."""
@@ -249,11 +249,11 @@ class Shard:
         return pa.RecordBatch.from_pylist([self.about | {"n_docs": self.n_docs, "n_null": self.n_null, "n_ids": self.n_ids, "width": self.width}])
 
 
-def write_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def write_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", most: tuple[int, int] = (SHARD_DOCS, SHARD_IDS)) -> dict:
     """Writes the corpus below ``out`` and returns its manifest (one entry a shard).
 
     One shuffle: the texts, by ranges of ids and hash, in as many tasks as their bytes ask for. A task begins a new shard
-    after ``SHARD_DOCS`` documents or ``SHARD_IDS`` ids.
+    after ``most`` documents or ids.
     """
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
@@ -272,7 +272,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID
             coded, n = model.encode(batch.column("text"), end_id)
             shard = shard or Shard(out, part, at, model.dtype.itemsize)
             shard.add(batch.column("id"), coded, n)
-            if shard.full():
+            if shard.full(most):
                 yield shard.close()
                 shard, at = None, at + 1
         if shard:
