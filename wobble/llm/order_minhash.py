@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .decontamination import small
 from .kernels import BASE, Chunk, chunks, found_runs, mixed
-from .shared import bounded_batches, matched, scratch, stored, stored_by, tidied
+from .shared import bounded_batches, heavy_keys, matched, scratch, stored, stored_by, tidied
 
 WORDS, THRESHOLD, SKETCHES, TAKEN = 5, 0.8, 16, 3
 #: Nodes that an element may occur in before it counts as common (this orders elements, it leaves out none).
@@ -152,8 +152,16 @@ def _sequences(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` whose alignment reaches the threshold."""
-    rows = pairs.join(sequences.withColumnsRenamed({"node": "b", "seq": "seq_b"}), "b").join(sequences.withColumnsRenamed({"node": "a", "seq": "seq_a"}), "a")
+    """The pairs ``a, b`` whose alignment reaches the threshold. The pairs of a node that has very many meet its sequence in many tasks."""
+    pairs = stored(pairs, "pairs")
+    heavy = heavy_keys(pairs, ["a"])
+    seq_a = sequences.withColumnsRenamed({"node": "a", "seq": "seq_a"})
+    rows = pairs.join(sequences.withColumnsRenamed({"node": "b", "seq": "seq_b"}), "b")
+    hot = F.xxhash64("a").isin(heavy) if heavy else F.lit(False)
+    near = rows.where(~hot).join(seq_a, "a")
+    if heavy:
+        near = near.unionByName(matched(rows.where(hot), seq_a.where(hot), ["a"], heavy=heavy))
+    rows = near
 
     @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +233,8 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     h = F.xxhash64("node")
     lead = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(h.alias("h"), "node", "n")).alias("l")).where("size > 1")
     lead = lead.select("key", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
-    members = stored(rows.join(lead, "key"), "members")
+    members = stored(matched(rows, lead, ["key"]), "members")
+    heavy = heavy_keys(members, ["key"])  # a template's buckets
     candidate = members.where("node <> leader").where(F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
     pairs = candidate.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     nodes = stored(members.select("node").distinct(), "candidates")
@@ -236,10 +245,10 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = members.where("node <> leader").join(first.select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_anti")
     left = stored(left.select("key", "node", "n"), "left")
     own = F.xxhash64("key", "node")
-    any_ = members.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max(F.struct(own.alias("h"), "node", "n")).alias("l"))
+    any_ = matched(members, left.select("key").distinct(), ["key"], "left_semi", heavy).groupBy("key").agg(F.max(F.struct(own.alias("h"), "node", "n")).alias("l"))
     among = left.groupBy("key").agg(F.min(F.struct(own.alias("h"), "node", "n")).alias("l"))
-    more = any_.unionByName(among).select("key", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
-    again = left.join(more, "key").where("node <> leader").where(F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
+    more = any_.unionByName(among).groupBy("key").agg(F.collect_list(F.struct(F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))).alias("ls"))  # two
+    again = matched(left, more, ["key"], heavy=heavy).select("key", "node", "n", F.inline("ls")).where("node <> leader").where(F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n"))
     again = again.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     second = _verified(again, sequences, threshold)
     found = first.unionByName(second)
@@ -249,7 +258,7 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     named = stored(named, "named")
     mixed_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    groups = stored(named.join(mixed_, "key", "left_semi").select("node", "label").distinct(), "groups")
+    groups = stored(matched(named, mixed_, ["key"], "left_semi", heavy).select("node", "label").distinct(), "groups")
     prefixes = _prefixes(sequences.join(groups, "node", "left_semi"), threshold)
     some = _across(prefixes, groups, sequences, threshold, every=False)
     merged = components(some).select(F.col("node").alias("label"), F.col("label").alias("merged"))
