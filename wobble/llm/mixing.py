@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontamination import small
-from .shared import stored
+from .shared import SALTS, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, REPEATS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 20240501
@@ -123,7 +123,10 @@ def placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     by = stored(slim.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("n")), "mix-ranges")
     rows = plan([(r.source, int(r.n)) for r in by.groupBy("source").agg(F.sum("n").alias("n")).collect()], seed=seed, **options)
     table = docs.sparkSession.createDataFrame([tuple(r.values()) for r in rows], PLAN)
-    table = small(table.select(F.col("source").alias("s"), F.struct(*table.columns).alias("plan")), sum(8 * len(r["ends"]) + 200 for r in rows))
+    table = table.select(F.col("source").alias("s"), F.struct(*table.columns).alias("plan"))
+    near = small(table, sum(8 * len(r["ends"]) + 200 for r in rows))
+    # a plan that is not small meets its source's rows in as many tasks as they have ranges
+    table = near if near is not table else table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(ranges, SALTS) - 1))))
 
     w = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     by = by.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
@@ -185,7 +188,11 @@ def with_pieces(rows: DataFrame, shards: int) -> DataFrame:
 def _planned(copies: DataFrame, table: DataFrame, shards: int) -> DataFrame:
     """Copies (``copy`` from 0) with their own first word, their source's plan and their pieces."""
     rows = copies.withColumn("first", F.col("first") + F.col("copy") * F.col("size"))
-    return with_pieces(rows.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s"), shards)
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if "part" in table.columns:
+        parts = table.agg(F.max("part")).first()[0] + 1
+        same &= F.pmod(F.xxhash64("h", "copy"), F.lit(parts)) == F.col("part")
+    return with_pieces(rows.join(table, same).drop("s", "part"), shards)
 
 
 def taken(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
