@@ -275,28 +275,45 @@ def hazen_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fits.select("model", "fraction", low.alias("low"), high.alias("high")))
 
 
-def resamples_sql(n: int = RESAMPLES, seed: int = 42) -> str:
-    return f"""{GRADED_SQL}, items AS (
-  SELECT *, row_number() OVER (PARTITION BY cell ORDER BY par) - 1 AS item, count(*) OVER (PARTITION BY cell) AS size FROM graded
-), draws AS (
-  SELECT cell, b, ('0x' || substr(sha256('{seed}::' || cell || '::' || b || '::' || item), 1, 8))::BIGINT % size AS item FROM items, (SELECT unnest(range({n})) AS b)
-), resamples AS (SELECT d.cell, b, f, k FROM draws d JOIN items i ON i.cell = d.cell AND i.item = d.item)"""
-
-
-CI_SQL = f"""{resamples_sql()}, resampled_curve AS (
-  SELECT cell, b, step, least(log2(count(*) + 1), CASE WHEN count(*) FILTER (f >= step * CAST(0.05 AS DOUBLE)) = 0 THEN 1e9 ELSE log2(count(*) / count(*) FILTER (f >= step * CAST(0.05 AS DOUBLE))) END) AS fi
+def resamples_sql(trials: str, n: int = RESAMPLES, seed: int = 42) -> str:
+    """SQL of ``resamples`` (``cell, b, f, k, times``): class by class, the binomial quantile of a hashed uniform number."""
+    return f"""{GRADED_SQL}, classes AS (
+  SELECT cell, f, k, c, row_number() OVER (PARTITION BY cell ORDER BY f, k) - 1 AS i FROM (SELECT cell, f, {trials} AS k, count(*) AS c FROM graded GROUP BY ALL)
+), shares AS (
+  SELECT cell, b, CAST(-1 AS BIGINT) AS i, n AS left_n, n AS left_c, CAST(0 AS BIGINT) AS times
+  FROM (SELECT cell, CAST(sum(c) AS BIGINT) AS n FROM classes GROUP BY cell), (SELECT unnest(range({n})) AS b)
+  UNION ALL
+  SELECT cell, b, i, left_n - t, left_c - c, t FROM (
+    SELECT *, CASE WHEN c = left_c THEN left_n WHEN left_n = 0 THEN 0 ELSE least(high, low + CAST(list_reduce(
+      list_prepend([0.0::DOUBLE, 0.0::DOUBLE], list_transform(range(low, high + 1), lambda j: [exp(lgamma(left_n + 1) - lgamma(j + 1) - lgamma(left_n - j + 1) + j * ln(p) + (left_n - j) * ln(1 - p)), 0.0::DOUBLE])),
+      lambda x, y: [x[1] + y[1], x[2] + CASE WHEN x[1] + y[1] < u THEN 1 ELSE 0 END])[2] AS BIGINT)) END AS t
+    FROM (
+      SELECT *, CAST(greatest(0, floor(left_n * p - 12 * sqrt(left_n * p * (1 - p)) - 12)) AS BIGINT) AS low, CAST(least(left_n, ceil(left_n * p + 12 * sqrt(left_n * p * (1 - p)) + 12)) AS BIGINT) AS high FROM (
+        SELECT s.cell, b, x.i, left_n, left_c, c, CASE WHEN c = left_c THEN 0.5::DOUBLE ELSE c::DOUBLE / left_c END AS p,
+          (('0x' || substr(sha256('{seed}::' || s.cell || '::' || b || '::' || x.i), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u
+        FROM shares s JOIN classes x ON s.cell = x.cell AND x.i = s.i + 1
+      )
+    )
+  )
+), resamples AS (SELECT s.cell, b, f, k, times FROM shares s JOIN classes x ON s.cell = x.cell AND s.i = x.i WHERE times > 0)"""
+
+
+CI_SQL = f"""{resamples_sql("1")}, resampled_curve AS (
+  SELECT cell, b, step, least(log2(sum(times) + 1), CASE WHEN coalesce(sum(times) FILTER (f >= step * CAST(0.05 AS DOUBLE)), 0) = 0 THEN 1e9 ELSE log2(sum(times) / sum(times) FILTER (f >= step * CAST(0.05 AS DOUBLE))) END) AS fi
   FROM resamples, (SELECT unnest(range(21)) AS step) GROUP BY ALL
 ), ci AS (SELECT cell, CAST(step AS INT) AS step, quantile_cont(fi, 0.025) AS low, quantile_cont(fi, 0.975) AS high FROM resampled_curve GROUP BY ALL)"""
 
 
-@query(f"WITH {CI_SQL} SELECT cell, step, round(low, 6) + 0.0::DOUBLE AS low, round(high, 6) + 0.0::DOUBLE AS high FROM ci")
+@query(f"WITH RECURSIVE {CI_SQL} SELECT cell, step, round(low, 6) + 0.0::DOUBLE AS low, round(high, 6) + 0.0::DOUBLE AS high FROM ci")
 def curve_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals of the information curve over resampled paraphrases."""
     return rounded(B.curve_bounds(scored(spark, sf_dir), CELL, RESAMPLES))
 
 
 @query(f"""
-WITH {resamples_sql()}, sums AS (SELECT cell, b, count(*) AS n, sum(k) AS t, sum(k * f) AS h, sum(k * f * f) AS q, sum(k * k) AS k2 FROM resamples GROUP BY ALL),
+WITH RECURSIVE {resamples_sql("k")}, sums AS (
+  SELECT cell, b, sum(times)::DOUBLE AS n, sum(times * k)::DOUBLE AS t, sum(times * k * f) AS h, sum(times * k * f * f) AS q, sum(times * k * k)::DOUBLE AS k2 FROM resamples GROUP BY ALL
+),
 squares AS (SELECT *, (q - h * h / t) / (n - 1) AS msb, (h - q) / (t - n) AS msw, (t - k2 / t) / (n - 1) AS k0 FROM sums),
 rho AS (SELECT cell, CASE WHEN msb + (k0 - 1) * msw > 1e-12 THEN least(1, greatest(0, (msb - msw) / (msb + (k0 - 1) * msw))) END AS rho FROM squares)
 SELECT cell, round(quantile_cont(rho, 0.025), 6) AS low, round(quantile_cont(rho, 0.975), 6) AS high, count(rho) AS defined FROM rho GROUP BY cell
