@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Ledger:
+    """Tables of a long job below one folder, each written once: a job that is started again with the folder goes on where it was.
+
+    A step counts as done once Spark's committer has marked its folder; what a lost driver left half written is written anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, (path or shared_path(spark, "ledger")).rstrip("/")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._at, self._fs = at, at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def done(self, name: str) -> bool:
+        return self._fs.exists(self._at(f"{self.path}/{name}/_SUCCESS"))
+
+    def step(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table ``name``; ``make`` is called only if it is not there."""
+        if not self.done(name):
+            make().write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def steps(self, names: list[str]) -> DataFrame:
+        """The rows of several tables of one schema, as one scan."""
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/{names[0]}").schema).parquet(*(f"{self.path}/{n}" for n in names))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import text as X
-from .lineage import written
+from .lineage import Ledger, written
 from .neighbours import spread_out
 
 STRICT, RELAXED, OVERLAP, EDITS, TARGET = 0.9, 0.85, 0.9, 5, 10
@@ -114,39 +114,48 @@ def judged(candidates: DataFrame, nli: Model, constraint: Model) -> DataFrame:
     return entailed_both(candidates, nli(pairs)).join(constraint(candidates), ["question_id", "text"], "left")
 
 
-def build(questions: DataFrame, generate: Model, nli: Model, constraint: Model, *, target: int = TARGET, samples: int = 1, most: int = 4, strict: float = STRICT, relaxed: float = RELAXED, edits: int = EDITS, distance: Callable[[Column, Column], Column] = F.levenshtein) -> tuple[DataFrame, DataFrame]:
+def build(
+    questions: DataFrame, generate: Model, nli: Model, constraint: Model, *, target: int = TARGET, samples: int = 1, most: int = 4, strict: float = STRICT, relaxed: float = RELAXED, edits: int = EDITS,
+    distance: Callable[[Column, Column], Column] = F.levenshtein, ledger: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The universe, and ``question_id, attempts, threshold, dropped`` of each question.
 
     A round generates ``samples`` candidates per persona for the questions that still lack some. After ``most`` candidates a
     persona, questions that are short are filtered anew, all their candidates at once, with the relaxed threshold (texts equal to the
-    question may pass then); those still short are marked as dropped. Rounds are bounded, and each ends in a written table.
+    question may pass then); those still short are marked as dropped.
+
+    Every step of a round is a table below ``ledger`` (a fresh shared folder if it is not given). A call with the folder of
+    a call that was lost goes on after its last whole step: what was generated or judged is not asked for again.
     """
-    open_, survivors, rejected, raw, done = questions, None, None, None, None
+    book = Ledger(questions.sparkSession, ledger)
+    none = F.lit(None).cast("int")
+    every = lambda name, n: book.steps([f"{name}-{i}" for i in range(1, n + 1)])
+    open_, survivors = book.step("questions", lambda: questions), None
     rounds = 0
     for first in range(0, most, samples):
         rounds += 1
-        new = written(generate(requests(open_, first, samples)), "candidates")
-        raw = new if raw is None else raw.unionByName(new)
-        scored = written(reasons(judged(new, nli, constraint), strict), "judged")
-        failed = scored.where("reason is not null").withColumn("place", F.lit(None).cast("int"))
-        passed = scored.where("reason is null")
-        pool = passed if survivors is None else survivors.unionByName(passed)
-        ranked = written(distinct_texts(pool, edits, distance), "ranked")
-        failed = failed.unionByName(ranked.where("place is null"), allowMissingColumns=True)
-        rejected = failed if rejected is None else rejected.unionByName(failed, allowMissingColumns=True)
-        full = ranked.where("place is not null").groupBy("question_id").agg(F.count("*").alias("n")).where(F.col("n") >= target).select("question_id")
-        full = written(full, "full")
-        finished = ranked.where("place is not null").join(full, "question_id", "left_semi").withColumn("attempts", F.lit(rounds))
-        done = finished if done is None else done.unionByName(finished)
-        open_ = written(open_.join(full, "question_id", "left_anti"), "open")
-        survivors = ranked.where("place is not null").join(full, "question_id", "left_anti").drop("place")
+        asked = open_
+        new = book.step(f"candidates-{rounds}", lambda: generate(requests(asked, first, samples)))  # noqa: B023  made at once or not at all
+        scored = book.step(f"judged-{rounds}", lambda: reasons(judged(new, nli, constraint), strict))  # noqa: B023
+        pool = scored.where("reason is null")
+        pool = pool if survivors is None else survivors.unionByName(pool)
+        ranked = book.step(f"ranked-{rounds}", lambda: distinct_texts(pool, edits, distance))  # noqa: B023
+        failed = scored.where("reason is not null").withColumn("place", none).unionByName(ranked.where("place is null"), allowMissingColumns=True)
+        book.step(f"rejected-{rounds}", lambda: failed.select(*scored.columns, "place"))  # noqa: B023
+        kept = ranked.where("place is not null")
+        full = kept.groupBy("question_id").agg(F.count("*").alias("n")).where(F.col("n") >= target).select("question_id")
+        done = book.step(f"done-{rounds}", lambda: kept.join(full, "question_id", "left_semi").withColumn("attempts", F.lit(rounds)))  # noqa: B023
+        finished = done.select("question_id").distinct()
+        open_ = book.step(f"open-{rounds}", lambda: asked.join(finished, "question_id", "left_anti"))  # noqa: B023
+        survivors = kept.join(finished, "question_id", "left_anti").drop("place")
         if open_.isEmpty():
             break
+    raw, rejected, done = every("candidates", rounds), every("rejected", rounds), every("done", rounds)
     short = open_.select("question_id")
-    scored = written(reasons(judged(raw.join(short, "question_id", "left_semi"), nli, constraint), relaxed, identity=False), "judged")
-    again = written(distinct_texts(scored.where("reason is null"), edits, distance), "ranked")
+    scored = book.step("judged-again", lambda: reasons(judged(raw.join(short, "question_id", "left_semi"), nli, constraint), relaxed, identity=False))
+    again = book.step("ranked-again", lambda: distinct_texts(scored.where("reason is null"), edits, distance))
     lasting = rejected.join(short, "question_id", "left_semi").where(F.col("reason").isin(*LASTING))
-    late = scored.where("reason is not null").withColumn("place", F.lit(None).cast("int"))
+    late = scored.where("reason is not null").withColumn("place", none)
     rows = [done.drop("attempts"), rejected.join(short, "question_id", "left_anti"), again, lasting, late]
     out = None
     for r in rows:

@@ -7,9 +7,15 @@ Providers run in Arrow batches on executors. Offline, :func:`echo` and :func:`ov
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import BarrierTaskContext, TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +28,47 @@ TRANSIENT = (
     "server connection error", "connection error", "bad gateway", "service unavailable", "gateway timeout", "temporarily unavailable",
     "overloaded", "internal server error", "502", "503", "504", "timeout",
 )
+FIELDS = [c.split()[0] for c in MEMO.split(", ")]
 Provider = Callable[[pd.DataFrame], pd.Series]
 
 
+def bucket(digits: int) -> Column:
+    """A request's bucket: the first digits of its hash, behind a letter that keeps them text."""
+    return F.concat(F.lit("b"), F.substring("request_hash", 1, digits))
+
+
+class Keeper:
+    """Writes batches of answers as files below a memo's path, from a task; ``job`` names the call that asks."""
+
+    def __init__(self, path: str, job: str, digits: int):
+        self.store, self.base = fs.FileSystem.from_uri(path)
+        self.digits = digits
+        context = TaskContext.get()
+        self.name, self.again = f"{job}-{context.partitionId()}-", context.attemptNumber() > 0
+
+    def unknown(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The requests that an attempt before this one, of the same task, has not kept."""
+        if not self.again or not len(frame):
+            return frame
+        buckets = {f"b{h[: self.digits]}" for h in frame.request_hash}
+        files = [f.path for b in buckets for f in self.store.get_file_info(fs.FileSelector(f"{self.base}/bucket={b}", allow_not_found=True)) if f.base_name.startswith(self.name)]
+        kept = {h for f in files for h in pq.read_table(f, filesystem=self.store, columns=["request_hash"], partitioning=None)["request_hash"].to_pylist()}
+        return frame[~frame.request_hash.isin(kept)]
+
+    def add(self, answers: pd.DataFrame) -> None:
+        """Each bucket's answers as a file, which has its name only once it is whole."""
+        answers = answers.assign(created_at=pd.Timestamp.now(tz="UTC"))[FIELDS]
+        for b, own in answers.groupby("b" + answers.request_hash.str[: self.digits]):
+            at = f"{self.base}/bucket={b}"
+            self.store.create_dir(at, recursive=True)
+            name = f"{self.name}{uuid.uuid4().hex}.parquet"
+            pq.write_table(pa.Table.from_pandas(own, SCHEMA, preserve_index=False), f"{at}/_{name}", filesystem=self.store)
+            self.store.move(f"{at}/_{name}", f"{at}/{name}")
+
+
+SCHEMA = pa.schema([(c, pa.timestamp("us", "UTC") if c == "created_at" else pa.string()) for c in FIELDS])
+
+
 def retryable(error: Exception) -> bool:
     return isinstance(error, TimeoutError | ConnectionError) or any(p in str(error).lower() for p in TRANSIENT)
 
@@ -62,45 +106,94 @@ class Bucket:
             self.sleep((n - self.tokens) / self.rate)
 
 
+def leased(frames: Iterator[pd.DataFrame], ask: Callable[[pd.DataFrame], pd.DataFrame], rate: float, window: float = 1.0) -> Iterator[pd.DataFrame]:
+    """What ``ask`` makes of a task's requests, with at most ``rate`` requests a second among all tasks of a barrier stage.
+
+    Time goes in windows (Spark's barriers take up to a second). At each, tasks tell each other whether they have requests
+    left, and those that have share what the time since the last one allows; what a share leaves of a whole request is
+    carried on. A window lasts until the slowest task's calls are back, and time beyond four windows is not made up for.
+    """
+    context, credit, before = BarrierTaskContext.get(), 0.0, None
+    source = (f for f in frames if len(f))
+    rest = next(source, None)
+    while True:
+        active = sum(map(int, context.allGather("0" if rest is None else "1")))
+        now = time.monotonic()
+        if not active:
+            return
+        passed, before = window if before is None else min(now - before, 4 * window), now
+        credit = 0.0 if rest is None else credit + rate * passed / active
+        while rest is not None and credit >= 1:
+            n = min(int(credit), len(rest))
+            yield ask(rest.iloc[:n])
+            credit, rest = credit - n, rest.iloc[n:] if n < len(rest) else next(source, None)
+        time.sleep(max(0.0, window / 2 - (time.monotonic() - now)))
+
+
 class Memo:
-    """The memo at ``path``: appended to, never rewritten in place; of rows with one hash the latest counts."""
+    """The memo at ``path``: files are only added; of rows with one hash the latest counts.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Answers lie in buckets by the first ``digits`` of their hashes, so a call reads only the buckets that its requests fall in; a
+    memo keeps the number of digits that it began with.
+    A batch of answers is a file that is there as soon as the provider has given them: a job that fails later, or a lost
+    task, loses the batch that it was asking for and no other.
+    """
 
-    def rows(self) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, digits: int = 1):
+        self.spark, self.path, self.digits = spark, path.rstrip("/"), digits
+
+    def _read(self, requests: DataFrame | None = None) -> DataFrame:
         try:
-            found = self.spark.read.schema(MEMO).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            found = self.spark.read.schema(f"{MEMO}, bucket string").parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            found = self.spark.createDataFrame([], MEMO)
-        return last_wins(found, ["request_hash"], ["created_at", "response_json"])
+            found = self.spark.createDataFrame([], f"{MEMO}, bucket string")
+        if requests is not None:
+            wanted = requests.select("request_hash").distinct()
+            buckets = [r.b for r in wanted.select(bucket(self.digits).alias("b")).distinct().collect()]  # 16 per digit at most
+            found = found.where(F.col("bucket").isin(buckets)).join(wanted, "request_hash", "left_semi")
+        return last_wins(found.drop("bucket"), ["request_hash"], ["created_at", "response_json"])
+
+    def rows(self) -> DataFrame:
+        return self._read()
 
     def size(self) -> int:
         return self.rows().count()
 
     def put(self, rows: DataFrame) -> None:
-        rows.withColumn("created_at", F.current_timestamp()).select(*[c.split()[0] for c in MEMO.split(", ")]).write.mode("append").partitionBy().parquet(self.path)
+        rows.withColumn("created_at", F.current_timestamp()).select(*FIELDS, bucket(self.digits).alias("bucket")).write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def missing(self, requests: DataFrame) -> DataFrame:
-        return requests.join(self.rows().select("request_hash"), "request_hash", "left_anti").dropDuplicates(["request_hash"])
+        return requests.join(self._read(requests).select("request_hash"), "request_hash", "left_anti").dropDuplicates(["request_hash"])
 
     def answered(self, requests: DataFrame) -> DataFrame:
         """Requests with their responses; ``cached`` says whether there is one."""
-        known = self.rows().select("request_hash", "response_json")
+        known = self._read(requests).select("request_hash", "response_json")
         return requests.join(known, "request_hash", "left").withColumn("cached", F.col("response_json").isNotNull())
 
-    def complete(self, requests: DataFrame, provider: Provider) -> DataFrame:
-        """Asks the provider for what is missing, keeps it, and returns all requests answered."""
-        missing = self.missing(requests)
+    def complete(self, requests: DataFrame, provider: Provider, batch: int = 256, rate: float | None = None, tasks: int = 4) -> DataFrame:
+        """Asks the provider for what is missing, ``batch`` requests at a time, keeps each batch, and returns all requests answered.
+
+        With a ``rate``, ``tasks`` tasks that run side by side share so many requests a second.
+        """
+        path, digits, job = self.path, self.digits, uuid.uuid4().hex
+        names = [c for c in FIELDS if c not in ("created_at", "response_json")]
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            keeper = Keeper(path, job, digits)
+
+            def ask(b: pd.DataFrame) -> pd.DataFrame:
+                keeper.add(b.assign(response_json=list(provider(b))))
+                return pd.DataFrame({"n": [len(b)]})
 
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b.assign(response_json=provider(b))
+            parts = (b.iloc[i : i + batch] for f in frames for b in [keeper.unknown(f)] for i in range(0, len(b), batch))
+            yield from leased(parts, ask, rate) if rate else map(ask, parts)
 
-        names = [c for c in MEMO.split(", ") if c.split()[0] not in ("created_at",)]
-        self.put(missing.select(*[c.split()[0] for c in names if c.split()[0] != "response_json"]).mapInPandas(work, ", ".join(names)))
+        missing = self.missing(requests).select(*names)
+        # a task's requests are of few buckets, so that its batches are few files
+        missing = missing.repartition(tasks) if rate else missing.repartition(bucket(digits)).sortWithinPartitions("request_hash")
+        missing.mapInPandas(work, "n long", barrier=bool(rate)).agg(F.sum("n")).collect()
         return self.answered(requests)
 
     def for_purpose(self, purpose: str, schema: str) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-#: Conditions of a table that is not there, or whose files are not what they should be; any other error is raised.
-ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE.CANNOT_READ_FILE_FOOTER")
+#: Signs of a table that is not there, or whose files are torn; any other error is raised.
+ABSENT = ("[PATH_NOT_FOUND]", "[UNABLE_TO_INFER_SCHEMA]", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
 
 
 def newest(spark: SparkSession, path: str, schema: str, key: list[str], order: list[str], strict: bool = False) -> DataFrame:
@@ -30,8 +31,8 @@ def newest(spark: SparkSession, path: str, schema: str, key: list[str], order: l
     try:
         rows = spark.read.schema(schema).parquet(path)
         rows.limit(1).collect()
-    except PySparkException as e:
-        known = e.getCondition() in ABSENT or "CANNOT_READ_FILE_FOOTER" in str(e) or "is not a Parquet file" in str(e)
+    except (PySparkException, Py4JJavaError) as e:
+        known = any(sign in str(e) for sign in ABSENT)
         if strict or not known:
             raise
         rows = spark.createDataFrame([], schema)
