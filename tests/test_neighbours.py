@@ -135,3 +135,21 @@ def test_word_distance_of_long_texts_is_worked_out_once(spark):
     b = a.replace("w7 ", "").replace("w900 ", "other ")
     row = spark.createDataFrame([(a, b), (a, None), ("", "x y")], "a string, b string").select(X.token_distance(F.col("a"), F.col("b")))
     assert [r[0] for r in row.collect()] == [2, None, 2]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.5, 1.0])
+def test_overlapping_sets_equal_a_loop(spark, share):
+    rng = random.Random(14)
+    common, rows = [f"c{i}" for i in range(6)], []
+    for g in ("a", "b", None):
+        for i in range(60):
+            own = set(rng.sample(common, rng.randint(0, 5))) | {f"r{rng.randint(0, 80)}" for _ in range(rng.randint(0, 6))}
+            rows.append(((g,), f"k{i}", sorted(own)))
+    sets = spark.createDataFrame(rows, "g struct<g: string>, k string, s array<string>").repartition(5)
+    got = {(r.g.g, r.a, r.b) for r in neighbours.overlapping(sets, share).collect()}
+    want = set()
+    for i, (g, a, s) in enumerate(rows):
+        for h, b, t in rows:
+            if g == h and a < b and len(set(s) & set(t)) >= max(1, share * max(len(s), len(t)) - 1e-9) and s and t:
+                want.add((g[0], a, b))
+    assert got == want

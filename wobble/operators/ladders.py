@@ -87,9 +87,11 @@ def broken_ladders(rows: DataFrame) -> DataFrame:
     return rows.where((F.size("paragraph_indices") != F.least(F.col("level"), F.size("permutation"))) | (F.slice("permutation", F.lit(1), F.col("level")) != F.col("paragraph_indices")))
 
 
-def b_theo_table(spark, n: int, k: int, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    return rows.select("level", E.b_theo(F.lit(n), F.lit(k), F.col("level")).alias("b_theo"), E.hop_coverage(F.lit(n), F.lit(k), F.col("level")).alias("coverage"))
+def bit_table(makes: DataFrame) -> DataFrame:
+    """Rows with ``n`` and ``k`` at every ``level`` from 0 to ``n``: ``b_theo`` and ``coverage``."""
+    rows = makes.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    args = (F.col("n"), F.col("k"), F.col("level"))
+    return rows.withColumns({"b_theo": E.b_theo(*args), "coverage": E.hop_coverage(*args)})
 
 
 # levels of specificity

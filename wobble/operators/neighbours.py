@@ -62,6 +62,28 @@ def near_pairs(rows: DataFrame, by: list[str], text: str, edits: int, words: boo
     return near.select(*(F.col("g")[c].alias(c) for c in by), "a", "b", "distance")
 
 
+def overlapping(sets: DataFrame, share: float) -> DataFrame:
+    """``g, a, b``: the pairs of ``g, k, s`` rows (a group, a key, a set of entries without repeats) of which both have ``share`` of the larger set in common; ``a < b``.
+
+    In a common order of entries, the rarest of the group first, such sets have one of their first ``n - ceil(share n) + 1`` entries
+    in common, and what follows must suffice. Pairs are made by group and entry, so a large group is dealt to many tasks.
+    """
+    entries = sets.select("g", "k", F.size("s").alias("n"), F.explode("s").alias("e"))
+    often = entries.groupBy("g", "e").agg(F.count("*").alias("times")).where("times > 1")  # an entry of one set brings nobody together
+    rarity = Window.partitionBy("g", "k").orderBy("times", "e")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("g", "k"))  # they are the rarest of all
+    ordered = entries.join(often, ["g", "e"]).withColumn("place", F.row_number().over(rarity) + alone)
+    need = F.greatest(F.ceil(share * F.col("n") - 1e-9), F.lit(1))
+    first = written(ordered.where(F.col("place") <= F.col("n") - need + 1).select("g", "e", "k", "n", "place"), "prefixes")
+    x, y = (first.select("g", "e", *(F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "place"))) for side in "ab")
+    larger = share * F.greatest("n_a", "n_b") - 1e-9
+    enough = (F.least("n_a", "n_b") >= larger) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= larger)
+    pairs = x.join(y, ["g", "e"]).where(F.col("k_a") < F.col("k_b")).where(enough).select("g", F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
+    held = lambda side: sets.select("g", F.col("k").alias(side), F.col("s").alias(f"s_{side}"))
+    both = pairs.join(held("a"), ["g", "a"]).join(held("b"), ["g", "b"])
+    return both.where(F.size(F.array_intersect("s_a", "s_b")) >= share * F.greatest(F.size("s_a"), F.size("s_b")) - 1e-9).select("g", "a", "b")
+
+
 def first_kept(pairs: DataFrame) -> DataFrame:
     """``v`` of the pairs ``u, v`` (``u`` comes before ``v``) that are not kept if, in order, each is kept that is near none kept before it.
 

@@ -137,14 +137,15 @@ def metric_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.correlations_with(rows, "f_mean", {"aufi": r("aufi"), "entropy": r("h_sem_mean"), "fragility": r("rho_f")}))
 
 
-@query(f"""
-WITH {by_model(COUNTS_SQL)}, a AS (SELECT cell, count(DISTINCT cluster) AS a_q FROM counts WHERE cluster < 1 GROUP BY cell)
-SELECT CAST(string_split(cell, '/')[2] AS INT) AS model, round(avg((a_q = 1)::INT), 6) AS degenerate, count(*) AS n FROM a GROUP BY 1
+@query("""
+WITH c AS (SELECT event_type, user_id, event_id % 7 AS block, count(DISTINCT CAST(json_extract_string(props, '$.k') AS INT) // 10) AS a_q FROM events GROUP BY ALL)
+SELECT CAST(user_id % 5 AS INT) AS model, round(avg((a_q = 1)::INT), 6) AS degenerate, count(*) AS n FROM c GROUP BY 1
 """)
 def degenerate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of answers in the first cluster alone, all cells are degenerate."""
-    rows = samples(spark, sf_dir).where("cluster < 1").withColumn("model", (F.col("par") % 5).cast("int"))
-    return rounded(A.degenerate(C.answer_space(C.cluster_counts(rows, ["cell", "model"]), ["cell", "model"]), ["model"]))
+    """Share of cells with one cluster of answers: a user's events of one type, in seven blocks, by model."""
+    rows = samples(spark, sf_dir).withColumns({"model": (F.col("par") % 5).cast("int"), "block": F.col("sample") % 7, "user": F.col("par")})
+    by = ["cell", "user", "block", "model"]
+    return rounded(A.degenerate(C.answer_space(C.cluster_counts(rows, by), by), ["model"]))
 
 
 @query("""

@@ -160,9 +160,9 @@ SELECT c.conv_id, c.turn, CAST(dense_rank() OVER (PARTITION BY c.conv_id ORDER B
 FROM conversations c JOIN t ON t.conv_id = c.conv_id AND t.answer = c.text JOIN root ON root.conv_id = t.conv_id AND root.o = t.o
 """)
 def answer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of mutual overlap among a conversation's distinct turns; turns that share no word are no pair."""
+    """Components of mutual overlap among a conversation's distinct turns; only turns that share enough words are judged."""
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("answer"))
-    pairs = clustering.candidate_pairs(rows, ["conv_id"], X.word_set(F.col("answer")))
+    pairs = clustering.candidate_pairs(rows, ["conv_id"], X.word_set(F.col("answer")), 0.3)
     nli = overlap(pairs.select("premise", "hypothesis").distinct())
     links = clustering.entailed(pairs, nli, ["conv_id"], "prob", 0.3)
     return clustering.clusters(rows, links, ["conv_id"], ["turn"]).select("conv_id", "turn", "cluster")
@@ -197,12 +197,19 @@ def context_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT CAST(level AS INT) AS level, CASE WHEN level = 0 THEN CAST('inf' AS DOUBLE) ELSE round(-log2(CASE WHEN level > 8 THEN 1 ELSE 1 - (10 - level) * (9 - level) / 90 END) + 0.0::DOUBLE, 6) END AS b_theo,
-  least(level, 10) / 10 AS coverage FROM (SELECT unnest([0, 2, 4, 6, 8, 10]) AS level)
+WITH q AS (SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS k FROM lineitem GROUP BY l_orderkey),
+c AS (SELECT n, k, count(*) AS n_questions FROM q GROUP BY n, k), l AS (SELECT *, unnest(range(n + 1)) AS level FROM c),
+m AS (SELECT *, list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(level), lambda i: greatest(n - k - i, 0)::DOUBLE / (n - i))), lambda x, y: x * y) AS miss FROM l)
+SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, n_questions, CAST(level AS INT) AS level,
+  CASE WHEN level = 0 OR k = 0 THEN CAST('inf' AS DOUBLE) ELSE round(-log2(CASE WHEN level > n - k THEN 1 ELSE 1 - miss END) + 0.0::DOUBLE, 6) END AS b_theo,
+  CASE WHEN k = 0 THEN 0 ELSE level / n END AS coverage FROM m
 """)
 def bit_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ladders.b_theo_table(spark, 10, 2)
-    return rows.select("level", F.when(F.col("b_theo") == E.INF, F.col("b_theo")).otherwise(F.round("b_theo", 6) + F.lit(0.0)).alias("b_theo"), "coverage")
+    """Orders as questions, their lines as paragraphs and returned ones as gold: the bits and the coverage of each level, for each make of a question."""
+    gold = F.count(F.when(F.col("l_returnflag") == "R", 1)).cast("int").alias("k")
+    questions = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"), gold)
+    rows = ladders.bit_table(questions.groupBy("n", "k").agg(F.count("*").alias("n_questions")))
+    return rows.withColumn("b_theo", F.when(F.col("b_theo") == E.INF, F.col("b_theo")).otherwise(F.round("b_theo", 6) + F.lit(0.0)))
 
 
 @query("""

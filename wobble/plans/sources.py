@@ -299,16 +299,15 @@ REASONS_SQL = f"""
 s AS (SELECT *, CASE WHEN len(h) > 0 THEN len(list_intersect(h, p)) / len(h) ELSE 0 END AS fwd, CASE WHEN len(p) > 0 THEN len(list_intersect(h, p)) / len(p) ELSE 0 END AS bwd FROM w),
 r AS (
   SELECT *, CASE WHEN lower(trim(hypothesis)) = lower(trim(premise)) THEN 'exact_duplicate' WHEN least(fwd, bwd) < 0.15 AND greatest(fwd, bwd) >= 0.15 THEN 'nli_one_direction' WHEN least(fwd, bwd) < 0.15 THEN 'nli_low'
-    WHEN turn % 3 = 0 THEN 'constraint_mismatch' END AS reason FROM s
+    WHEN NOT bool_or(turn % 3 <> 0) OVER (PARTITION BY conv_id, hypothesis) THEN 'constraint_mismatch' END AS reason FROM s
 )"""
 
 
 @query(f"WITH {REASONS_SQL} SELECT conv_id AS question_id, turn AS sample_idx, round(fwd, 6) AS nli_fwd, round(bwd, 6) AS nli_bwd, coalesce(reason, 'passed') AS reason FROM r")
 def candidate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = candidates(spark, sf_dir)
-    admits = U.admitted(rows.select("question_id", "text", (F.col("sample_idx") % 3 != 0).alias("vote")))
-    # equal texts of one question share a verdict; the SQL has a turn's own
-    scored = U.judged(rows, providers.overlap, lambda c: admits).withColumn("admits", F.col("sample_idx") % 3 != 0)
+    """The first filter that each candidate fails; equal texts of one question share the verdict of any of their votes."""
+    votes = lambda c: U.admitted(c.select("question_id", "text", (F.col("sample_idx") % 3 != 0).alias("vote")))
+    scored = U.judged(candidates(spark, sf_dir), providers.overlap, votes)
     return rounded(U.reasons(scored, 0.15).select("question_id", "sample_idx", "nli_fwd", "nli_bwd", F.coalesce("reason", F.lit("passed")).alias("reason")))
 
 
@@ -354,16 +353,34 @@ def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_wins(spark.read.parquet(path).drop("batch"), ["user_id"], ["event_id"])
 
 
-@query("""
-SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS opened_us, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL
+#: Every so many events come with the part after their own; parts are quarters of the events in order of time.
+LATE, PARTS, FILES = 20, 4, 4
+PARTED_SQL = f"""
+ordered AS (SELECT *, least({PARTS - 1}, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {PARTS} // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) + CASE WHEN event_id % {LATE} = 0 THEN 1 ELSE 0 END) AS part FROM events WHERE ts IS NOT NULL),
+marks AS (SELECT part, max(max(epoch_us(ts))) OVER (ORDER BY part) - 3600000000 AS mark FROM ordered GROUP BY part),
+timely AS (
+  SELECT event_type, value, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS opened_us, coalesce((SELECT max(mark) FROM marks m WHERE m.part < o.part - 1), -1) AS mark FROM ordered o
+)"""
+
+
+@query(f"""
+WITH {PARTED_SQL} SELECT event_type, opened_us, count(*) AS n, round(sum(value), 4) AS total FROM timely WHERE opened_us + 21600000000 > mark GROUP BY ALL
+HAVING opened_us + 21600000000 <= (SELECT max(mark) FROM marks)
 """)
 def watermarked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of six hours under a watermark, over the table; stamps count as UTC."""
-    events = table(spark, sf_dir, "events").where("ts is not null")
-    utc = F.to_utc_timestamp(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"), "UTC")
-    zone = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(opened as timestamp_ntz))")
-    rows = S.watermarked(events.withColumn("ts", utc), "ts", "1 hour", "6 hours", ["event_type"], "value")
-    return rounded(rows.select("event_type", zone.alias("opened_us"), "n", "total"), 4)
+    """Windows of six hours over a stream of four batches: events whose window closed with the batch before are dropped, windows still open are not given."""
+    rows = table(spark, sf_dir, "events").where("ts is not null").select("event_id", "event_type", "value", F.unix_micros(F.to_utc_timestamp(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"), "UTC")).alias("us"))
+    ends = rows.agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    part = F.floor((F.col("us") - F.col("low")) * PARTS / (F.col("high") - F.col("low") + 1)) + (F.col("event_id") % LATE == 0).cast("int")
+    dealt = rows.join(F.broadcast(ends), how="cross").withColumn("part", F.least(F.lit(PARTS - 1), part))  # one row
+    path = shared_path(spark, "arrivals")
+    for i in range(PARTS):  # files arrive part by part
+        dealt.where(F.col("part") == i).select("event_type", F.timestamp_micros("us").alias("ts"), "value").repartition(FILES).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("event_type string, ts timestamp, value double").option("maxFilesPerTrigger", FILES).parquet(path)
+    out = shared_path(spark, "closed")
+    S.windows_to(S.watermarked(stream, "ts", "1 hour", "6 hours", ["event_type"], "value"), out, shared_path(spark, "windows-state")).awaitTermination()
+    closed = spark.read.schema("event_type string, opened timestamp, n long, total double").parquet(out)
+    return rounded(closed.select("event_type", F.unix_micros("opened").alias("opened_us"), "n", "total"), 4)
 
 
 @query("""

@@ -1,17 +1,15 @@
 """Windowed totals of a stream, and an upsert of micro-batches that can be replayed.
 
 A batch and a stream share :func:`tumbling`. :func:`upsert_batches` keeps one folder per micro-batch, overwritten when
-the batch runs again after a failure, so nothing is counted twice; :func:`latest` reads the last row of each key.
+the batch runs again after a failure, so nothing is counted twice. :func:`windows_to` adds windows as they close.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.relational import last_wins
-
 
 def tumbling(events: DataFrame, opened: Column, by: list[str], value: str) -> DataFrame:
     """``n`` and ``total`` of each group and window; ``opened`` gives the window's start."""
@@ -33,5 +31,6 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
-    return last_wins(spark.read.parquet(path), key, ["batch", *order]).drop("batch")
+def windows_to(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query that adds windows to ``path`` as they close and stops when the source is read."""
+    return windows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
