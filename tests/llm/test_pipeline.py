@@ -165,3 +165,11 @@ def test_labels_are_learnt_once_per_id(spark):
     got = quality_knn.training_rows(docs, labels, 100, "doc_id", "text", "quality").collect()
     assert sorted((r.id, r.label, r.text) for r in got) == sorted([(ids[0], 1.0, "a a"), (ids[2], 1.0, "")])
     assert quality_knn.classified(docs, labels).count() == 6
+
+
+def test_no_documents(spark, folder, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{folder}/documents.parquet").where("false").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

@@ -117,3 +117,25 @@ def test_rows_are_kept_as_they_are(spark, store, edge):
 
 def test_sharding_of_nothing(nothing):
     assert sharding.round_trip(nothing).count() == 0
+
+
+def test_nothing_is_left_behind(spark, store, tmp_path):
+    """Neither by an arrival without rows nor by a commit that another one came before."""
+    store.append(rows(spark, 0, 10))
+    names = lambda: sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*") if not f.name.endswith(".crc"))
+    before = names()
+    assert store._write(rows(spark, 0, 0)) == [] and names() == before
+    seen, added = store.manifest(), store._write(rows(spark, 10, 20))
+    store.append(rows(spark, 20, 30))
+    before = names()
+    with pytest.raises(Conflict):
+        store.commit(seen, set(), added, None)
+    assert names() == before
+
+
+def test_columns_with_the_names_of_the_store(spark, store):
+    odd = spark.range(20).select(*(F.col("id").alias(c) for c in ("file", "bytes", "version", "parts", "shards", "schema", "n")))
+    store.append(odd)
+    store.append(odd)
+    store.compact()
+    assert bag(store.read(), "file", "bytes", "n") == Counter({(i, i, i): 2 for i in range(20)})

@@ -102,16 +102,18 @@ class ShardStore:
             else:
                 kept.append(p)
         left += added
+        fresh = []
         for i in range(0, len(left), PART):
-            part = {"name": f"part-{uuid.uuid4().hex}.json", "n": len(left[i : i + PART])}
-            self._put(f"{self.path}/_manifest/{part['name']}", left[i : i + PART])
-            kept.append(part)
+            fresh.append({"name": f"part-{uuid.uuid4().hex}.json", "n": len(left[i : i + PART])})
+            self._put(f"{self.path}/_manifest/{fresh[-1]['name']}", left[i : i + PART])
+        kept += fresh
         after = {"version": before["version"] + 1, "schema": before["schema"] or schema, "parts": kept}
         tmp = f"{self.path}/_manifest/.{uuid.uuid4().hex}"
         self._put(tmp, after)
         final = self._path(self._name(after["version"]))
         if self.versions()[-1:] > [before["version"]] or self.fs.exists(final) or not self.fs.rename(self._path(tmp), final):
-            self.fs.delete(self._path(tmp), False)
+            for name in (tmp, *(f"{self.path}/_manifest/{p['name']}" for p in fresh)):
+                self.fs.delete(self._path(name), False)
             raise Conflict(after["version"])
         return self.manifest(after["version"])
 
@@ -124,6 +126,8 @@ class ShardStore:
         rows = Observation()
         df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("maxRecordsPerFile", 0).parquet(f"{self.path}/data/{name}")
         if not rows.get["n"]:
+            for left in (f"data/{name}", f"_claims/{name}"):
+                self.fs.delete(self._path(f"{self.path}/{left}"), True)
             return []
         files = self.fs.listStatus(self._path(f"{self.path}/data/{name}"))
         found = sorted((f.getPath().getName(), int(f.getLen())) for f in files if f.getPath().getName().endswith(".parquet"))
