@@ -5,6 +5,8 @@ Undefined (NaN), unreachable (infinity) and not collected (null) are three diffe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,10 +28,15 @@ def bits(share: Column) -> Column:
     return F.when(share <= 0, inf()).otherwise(-F.log2(share) + F.lit(0.0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: a lambda's argument is not put in place of its name, as a column is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def entropy(counts: Column) -> Column:
     """Shannon entropy in bits of an array of counts; 0 for an empty one."""
-    n = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    h = F.aggregate(counts, F.lit(0.0), lambda a, x: a + F.when(x > 0, -(x / n) * F.log2(x / n)).otherwise(0.0))
+    part = lambda x, n: F.when(x > 0, -(x / n) * F.log2(x / n)).otherwise(0.0)
+    h = let(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x), lambda n: F.aggregate(counts, F.lit(0.0), lambda a, x: a + part(x, n)))
     return F.when(F.coalesce(F.size(counts), F.lit(0)) == 0, 0.0).otherwise(h + 0.0)
 
 
@@ -47,25 +54,27 @@ def fi_curve(scores: Column, ks: list[float] = GRID) -> Column:
 
 def aufi(curve: Column, n: Column, ks: list[float] = GRID) -> Column:
     """Trapezoid area under a curve clamped at ``log2(max(n, 1) + 1)``."""
+
+    def area(curve: Column) -> Column:
+        total = F.lit(0.0)
+        for i in range(1, len(ks)):
+            total = total + (curve[i] + curve[i - 1]) * ((ks[i] - ks[i - 1]) / 2)
+        return total
+
     cap = F.log2(F.greatest(n, F.lit(1)) + F.lit(1.0))
-    at = lambda i: F.least(curve[i], cap)
-    total = F.lit(0.0)
-    for i in range(1, len(ks)):
-        total = total + (at(i) + at(i - 1)) * ((ks[i] - ks[i - 1]) / 2)
-    return total
+    return let(F.transform(curve, lambda x: F.least(x, cap)), area)
 
 
 def rho_f(scores: Column, k: Column | int) -> Column:
     """One-way intraclass correlation of success rates of ``k`` trials each, in [0, 1]; NaN if undefined."""
     k = F.lit(k) if isinstance(k, int) else k
     n = F.size(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda a, f: a + f)
-    mean = total / n
-    msb = k * F.aggregate(scores, F.lit(0.0), lambda a, f: a + (f - mean) * (f - mean)) / F.when(n > 1, n - 1)
-    msw = F.aggregate(scores, F.lit(0.0), lambda a, f: a + k * f * (1 - f)) / (n * F.when(k > 1, k - 1))
-    below = msb + (k - 1) * msw
-    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (msb - msw) / F.when(below > 0, below)))
-    return F.when(F.assert_true(k >= 2).isNull() & (n < 2) | (below <= 0), nan()).otherwise(value)
+    over = lambda f: F.aggregate(scores, F.lit(0.0), lambda a, x: a + f(x))
+    msb = let(over(lambda x: x) / n, lambda mean: k * over(lambda x: (x - mean) * (x - mean)) / F.when(n > 1, n - 1))
+    msw = over(lambda x: k * x * (1 - x)) / (n * F.when(k > 1, k - 1))
+    share = lambda b, w: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (b - w) / F.when(b + (k - 1) * w > 0, b + (k - 1) * w)))
+    value = lambda m: F.when((n < 2) | (m["b"] + (k - 1) * m["w"] <= 0), nan()).otherwise(share(m["b"], m["w"]))
+    return F.when(F.assert_true(k >= 2).isNull(), let(F.struct(msb.alias("b"), msw.alias("w")), value))
 
 
 def fi_premium(scores: Column, low: float = 0.5, high: float = 1.0) -> Column:

@@ -71,10 +71,13 @@ def rank_matrix(rows: DataFrame, values: list[str], least: int = 3) -> DataFrame
 
 def redundant(rows: DataFrame, value: str, others: list[str], limit: float = 0.95, least: int = 5) -> DataFrame:
     """``name, rho, n, redundant``: rank correlations of a column with others, each over the rows that have both."""
-    out = None
-    for o in others:
-        one = rank_correlation(rows, value, o, [], "rho", least).select(F.lit(o).alias("name"), "rho", "n")
-        out = one if out is None else out.unionByName(one)
+    x = F.col(value).cast("double")
+    pairs = F.array(*(F.struct(F.lit(o).alias("name"), x.alias("x"), F.col(o).cast("double").alias("y")) for o in others))
+    long = rows.select(F.inline(pairs))  # one scan; each column's pairs are a group of the ranks
+    found = rank_correlation(long, "x", "y", ["name"], "rho", least)
+    # a column without any pair is listed too
+    names = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, others))).alias("name"))
+    out = names.join(F.broadcast(found), "name", "left").select("name", "rho", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     return out.withColumn("redundant", F.coalesce(F.abs("rho") > limit, F.lit(False)))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import written
+
 RANGES = 1024
 
 
@@ -69,7 +71,8 @@ def rank_correlation(rows: DataFrame, a: str, b: str, by: list[str], name: str,
     """``by, name, n``: Spearman's correlation over rows that have both columns; null below ``least`` rows or without variance."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     full = rows.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, x.alias("x"), y.alias("y"))
-    pairs = full.groupBy(group_of(by).alias("g"), "x", "y").agg(F.count("*").alias("w"))
+    # both columns' ranks read the distinct pairs, the rows are read once
+    pairs = written(full.groupBy(group_of(by).alias("g"), "x", "y").agg(F.count("*").alias("w")), "pairs")
     pairs = pairs.join(ranked(pairs, "x", "w", "rx"), ["g", "x"]).join(ranked(pairs, "y", "w", "ry"), ["g", "y"])
     w, p, q = F.col("w"), F.col("rx"), F.col("ry")
     n, xy, xx, yy = F.sum(w), F.sum(w * p * q), F.sum(w * p * p), F.sum(w * q * q)

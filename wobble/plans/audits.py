@@ -228,6 +228,14 @@ def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT vec_id, CAST(len(embedding) AS INT) AS dim, true AS close FROM embeddings WHERE embedding IS NOT NULL")
+def decoded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors coded in half precision and decoded: every number is within half a unit of its eleventh bit."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding", sinks.whole(sinks.half("embedding"), F.size("embedding")).alias("again"))
+    near = F.forall(F.arrays_zip("embedding", "again"), lambda p: F.abs(p["embedding"].cast("double") - p["again"].cast("double")) <= F.abs(p["embedding"].cast("double")) / 2048 + 2.0**-25)
+    return rows.select("vec_id", F.size("again").alias("dim"), near.alias("close"))
+
+
 @query("""
 WITH d AS (SELECT vec_id // 3 // 4 AS q, vec_id % 2 AS m, vec_id // 3 % 4 AS i, vec_id % 3 AS layer FROM embeddings),
 runs AS (SELECT m, q, layer, min(i) = 0 AND max(i) + 1 = count(*) AND count(DISTINCT i) = count(*) AS ok FROM d GROUP BY m, q, layer),

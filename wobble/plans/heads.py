@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import heads as H
@@ -169,8 +169,10 @@ FROM prompts p LEFT JOIN cells c USING (question_id)
 """)
 def head_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as prompts with the labels of their conversation's cell; every third conversation has no cell."""
-    from pyspark.sql import Window
+    return rounded(H.head_labels(*prompts_and_cells(spark, sf_dir), ["question_id"]))
 
+
+def prompts_and_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "conversations")
     size = F.length(F.coalesce("text", F.lit("")))
     graded = F.transform(F.array_sort(F.collect_list(F.struct("turn", (size % 11 / 10).alias("f")))), lambda p: p["f"])
@@ -178,7 +180,18 @@ def head_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cells.withColumn("rho_f", F.col("h_sem_mean") / F.col("n"))
     index = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     prompts = rows.select(F.col("conv_id").alias("question_id"), (F.col("turn") % 2).cast("int").alias("spec_level"), index.cast("int").alias("paraphrase_idx"))
-    return rounded(H.head_labels(prompts, cells, ["question_id"]))
+    return prompts, cells
+
+
+@query(f"""
+WITH {CELLS_SQL} SELECT p.question_id, paraphrase_idx, round(f[paraphrase_idx + 1], 6) AS graded, round(h, 6) AS entropy FROM prompts p LEFT JOIN cells c USING (question_id)
+""")
+def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with one label each way: an array's entry by place, and a cell's number on all its prompts."""
+    prompts, cells = prompts_and_cells(spark, sf_dir)
+    graded = H.joined_label(prompts.drop("spec_level"), cells, ["question_id"], "f_graded_per_paraphrase")
+    both = H.joined_label(graded, cells, ["question_id"], "h_sem_mean")
+    return rounded(both.select("question_id", "paraphrase_idx", F.col("f_graded_per_paraphrase").alias("graded"), F.col("h_sem_mean").alias("entropy")))
 
 
 @query(f"""

@@ -337,6 +337,37 @@ def trusted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("question_id", "sample_idx", place.alias("place"))
 
 
+@query(f"""
+WITH RECURSIVE {REASONS_SQL}, u AS (SELECT conv_id AS g, turn, hypothesis AS t, row_number() OVER (PARTITION BY conv_id ORDER BY round(least(fwd, bwd), 6) DESC, turn) AS pos FROM r),
+k AS (
+  SELECT g, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS kept FROM (SELECT DISTINCT g FROM u)
+  UNION ALL
+  SELECT k.g, u.pos, CASE WHEN trim(u.t) = '' OR len(list_filter(k.kept, lambda x: CASE WHEN abs(length(x) - length(u.t)) < 5 THEN levenshtein(x, u.t) < 5 ELSE false END)) > 0 THEN k.kept ELSE list_append(k.kept, u.t) END
+  FROM k JOIN u ON u.g = k.g AND u.pos = k.pos + 1
+), f AS (SELECT g, arg_max(kept, pos) AS kept FROM k GROUP BY g),
+o AS (SELECT u.*, kept, row_number() OVER (PARTITION BY u.g, t ORDER BY u.pos) AS copy FROM u JOIN f ON u.g = f.g)
+SELECT g AS question_id, turn AS sample_idx, CAST(CASE WHEN copy = 1 AND list_contains(kept, t) THEN list_position(kept, t) - 1 END AS INT) AS place,
+  CASE WHEN copy = 1 AND list_contains(kept, t) THEN NULL WHEN list_contains(kept, t) THEN 'exact_duplicate' ELSE 'edit_distance_close' END AS reason FROM o
+""")
+def kept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's candidates in order of trust: the place of those that are kept, and why the others are not."""
+    rows = candidates(spark, sf_dir)
+    scored = U.entailed_both(rows, providers.overlap(_both(rows))).withColumns({"jaccard": F.lit(0.0), "nli_fwd": F.round("nli_fwd", 6), "nli_bwd": F.round("nli_bwd", 6)})
+    return U.distinct_texts(scored).select("question_id", "sample_idx", "place", "reason")
+
+
+@query(f"""
+WITH {REASONS_SQL} SELECT conv_id AS question_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome, turn AS sample_idx, hypothesis AS text, reason FROM r
+""")
+def flattened_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of accepted and rejected candidates, nested by question, as rows again."""
+    votes = lambda c: U.admitted(c.select("question_id", "text", (F.col("sample_idx") % 3 != 0).alias("vote")))
+    rows = U.reasons(U.judged(candidates(spark, sf_dir), providers.overlap, votes), 0.15)
+    both = {"accepted": F.when(F.isnull("reason"), F.struct("sample_idx", "text")), "rejected": F.when(F.isnotnull("reason"), F.struct("sample_idx", "text", "reason"))}
+    sets = rows.groupBy("question_id").agg(*(F.collect_list(c).alias(n) for n, c in both.items()))  # a question's candidates are personas times samples
+    return U.flattened(sets).select("question_id", "outcome", "sample_idx", "text", "reason")
+
+
 # streams
 
 
