@@ -63,3 +63,11 @@ def test_intervals_cover_the_truth(spark):
     bounds = bootstrap.curve_bounds(graded, ["cell"], 400, 1, 0.95, [0.5]).collect()
     truth = -math.log2(0.4)
     assert len(bounds) == 60 and 0.85 <= np.mean([r.low <= truth <= r.high for r in bounds]) <= 1
+
+
+def test_intraclass_of_one_paraphrase_is_undefined(spark):
+    from wobble.operators import cells
+
+    graded = spark.createDataFrame([("one", 0, 0.5, 4), ("two", 0, 0.5, 4), ("two", 1, 1.0, 4), ("same", 0, 1.0, 4), ("same", 1, 1.0, 4)], "cell string, par int, f double, k long")
+    got = {r.cell: r.rho_f for r in cells.input_metrics(cells.facts(graded, ["cell"]), ["cell"]).collect()}
+    assert math.isnan(got["one"]) and math.isnan(got["same"]) and 0 <= got["two"] <= 1

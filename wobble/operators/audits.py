@@ -207,3 +207,8 @@ def correlations_with(cells: DataFrame, value: str, others: dict[str, Column]) -
     rows = written(cells.select(F.col(value).alias("_value"), *(c.alias(n) for n, c in others.items())), "cells")
     return redundant(rows, "_value", list(others), least=3).drop("redundant")
 
+
+def correlations_by(cells: DataFrame, by: list[str], value: Column, others: dict[str, Column], least: int = 3) -> DataFrame:
+    """``by, name, rho, n``: in each group, rank correlations of one metric with others over the cells that have both, in one pass."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), value.cast("double").alias("x"), c.cast("double").alias("y")) for n, c in others.items()))
+    return rank_correlation(cells.select(*by, F.inline(pairs)), "x", "y", [*by, "name"], "rho", least)

@@ -55,7 +55,8 @@ def intraclass() -> Column:
     msw = (hits - F.col("squares")) / F.when(trials > n, trials - n)
     k0 = (trials - F.col("trials2") / trials) / F.when(n > 1, n - 1)
     below = msb + (k0 - 1) * msw
-    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (msb - msw) / F.when(below > 1e-12, below)))
+    # greatest() passes over nulls, so what is undefined is kept out of it
+    value = F.when(below > 1e-12, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (msb - msw) / F.when(below > 1e-12, below))))
     return F.coalesce(value, E.nan())
 
 

@@ -137,6 +137,42 @@ def metric_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.correlations_with(rows, "f_mean", {"aufi": r("aufi"), "entropy": r("h_sem_mean"), "fragility": r("rho_f")}))
 
 
+#: Cells of three models: a fifth of a model's users and one type of events. Prompts and answers of a matrix are four each.
+SMALL_CELL_SQL = "event_type || '/' || (user_id // 3 % 5) || '/' || (user_id % 3)"
+SMALL_SQL = f"""{INPUT_SQL.replace("event_type AS cell, user_id AS par", SMALL_CELL_SQL + " AS cell, user_id AS par")}, counts AS (SELECT cell, par, cluster, count(*) AS n FROM samples GROUP BY ALL),
+shares AS (SELECT *, n / sum(n) OVER (PARTITION BY cell, par) AS p FROM counts), h AS (SELECT cell, par, sum(-p * log2(p)) AS h FROM shares GROUP BY cell, par), a AS (SELECT cell, count(DISTINCT cluster) AS a_q FROM counts GROUP BY cell),
+output AS (SELECT cell, avg(h) AS h_sem_mean, avg(CASE WHEN a_q <= 1 THEN 0 ELSE h / log2(a_q) END) AS s_tau_mean FROM h JOIN a USING (cell) GROUP BY cell),
+pars AS (SELECT DISTINCT cell, par FROM counts), pairs AS (SELECT x.cell, x.par AS a, y.par AS b FROM pars x JOIN pars y ON x.cell = y.cell AND x.par < y.par),
+common AS (SELECT x.cell, x.par AS a, y.par AS b, sum(least(x.p, y.p)) AS s FROM shares x JOIN shares y ON x.cell = y.cell AND x.cluster = y.cluster AND x.par < y.par GROUP BY ALL),
+agree AS (SELECT cell, avg(coalesce(s, 0)) AS consistency FROM pairs LEFT JOIN common USING (cell, a, b) GROUP BY cell),
+matrix AS (SELECT {SMALL_CELL_SQL} AS cell, user_id // 15 % 4 AS i, CAST(json_extract_string(props, '$.k') AS INT) // 10 // 3 AS j, -avg(value) AS lp FROM events GROUP BY ALL),
+psi AS (SELECT m.cell, coalesce(avg(abs(m.lp - o.lp) / (1 + m.j % 7)) FILTER (m.i <> m.j), 0) AS psi FROM matrix m JOIN matrix o ON o.cell = m.cell AND o.i = m.j AND o.j = m.j GROUP BY m.cell),
+wide AS (
+  SELECT CAST(string_split(cell, '/')[3] AS INT) AS model, round(psi, 9) AS x, round(1 - coalesce(consistency, 1), 9) AS tvd_sensitivity, round(h_sem_mean, 9) AS h_sem_mean, round(s_tau_mean, 9) AS s_tau_mean, round(rho_f, 9) AS rho_f
+  FROM psi JOIN output USING (cell) LEFT JOIN agree USING (cell) LEFT JOIN input USING (cell)
+), tall AS (SELECT model, x, name, y FROM wide UNPIVOT (y FOR name IN (tvd_sensitivity, h_sem_mean, s_tau_mean, rho_f)) WHERE y IS NOT NULL AND NOT isnan(y)),
+ranks AS (
+  SELECT model, name, rank() OVER (PARTITION BY model, name ORDER BY x) + (count(*) OVER (PARTITION BY model, name, x) - 1) / 2 AS p, rank() OVER (PARTITION BY model, name ORDER BY y) + (count(*) OVER (PARTITION BY model, name, y) - 1) / 2 AS q FROM tall
+)"""
+
+
+@query(f"""
+WITH {SMALL_SQL} SELECT model, name, round(CASE WHEN count(*) >= 3 AND stddev_pop(p) > 0 AND stddev_pop(q) > 0 THEN corr(p, q) END, 6) AS rho, count(*) AS n FROM ranks GROUP BY model, name
+""")
+def posix_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each model, rank correlations over cells of the log-probability index with three measures of dispersion and with fragility."""
+    by, block, model = ["cell", "block", "model"], F.floor(F.col("user_id") / 3) % 5, (F.col("user_id") % 3).cast("int")
+    rows = samples(spark, sf_dir).withColumns({"user_id": F.col("par"), "block": F.floor(F.col("par") / 3) % 5, "model": (F.col("par") % 3).cast("int")})
+    counts = C.cluster_counts(rows, by)
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("cell"), block.alias("block"), model.alias("model"), (F.floor(F.col("user_id") / 15) % 4).alias("i"), F.floor(F.floor(F.get_json_object("props", "$.k").cast("int") / 10) / 3).alias("j"), "value")
+    matrix = events.groupBy(*by, "i", "j").agg((-F.avg("value")).alias("lp"))
+    lengths = matrix.select(*by, "j", (1 + F.col("j") % 7).alias("len")).distinct()
+    wide = C.posix(matrix, lengths, by).join(C.output_metrics(counts, by), by).join(C.consistency(counts, by), by, "left")
+    wide = wide.join(C.input_metrics(C.facts(C.graded(rows, by), by), by).select(*by, "rho_f"), by, "left")
+    others = {"tvd_sensitivity": 1 - F.coalesce("consistency", F.lit(1.0)), "h_sem_mean": F.col("h_sem_mean"), "s_tau_mean": F.col("s_tau_mean"), "rho_f": F.col("rho_f")}
+    return rounded(A.correlations_by(wide, ["model"], F.round("posix_psi", 9), {n: F.round(c, 9) for n, c in others.items()}))
+
+
 @query("""
 WITH c AS (SELECT event_type, user_id, event_id % 7 AS block, count(DISTINCT CAST(json_extract_string(props, '$.k') AS INT) // 10) AS a_q FROM events GROUP BY ALL)
 SELECT CAST(user_id % 5 AS INT) AS model, round(avg((a_q = 1)::INT), 6) AS degenerate, count(*) AS n FROM c GROUP BY 1
