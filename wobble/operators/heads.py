@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import probes
+from .audits import per_stratum
 from .prefix import rank_correlation
 from .relational import auroc, group_folds, otsu, seeded_places
 
@@ -176,6 +177,25 @@ def baseline(rows: DataFrame, label: str, value: str) -> DataFrame:
     return auroc(rows, label, value, []).select(F.greatest("auroc", 1 - F.col("auroc")).alias("auroc"))
 
 
+def verified(rows: DataFrame, by: list[str], label: str, score: str, length: str) -> DataFrame:
+    """``by, auroc, baseline, n``: a head's area under the curve, and that of the length alone in the better of its directions."""
+    own = auroc(rows, label, score, by)
+    alone = auroc(rows, label, length, by).select(*by, F.greatest("auroc", 1 - F.col("auroc")).alias("baseline"))
+    return own.join(alone, by, "left").select(*by, "auroc", "baseline", "n")
+
+
+def margins(checked: DataFrame, head: str) -> DataFrame:
+    """``head, mean, low, high, baseline, margin``: over models, each head's areas and how far their mean is above that of its own baselines."""
+    mean, base = F.avg("auroc"), F.avg("baseline")
+    return checked.groupBy(head).agg(mean.alias("mean"), F.min("auroc").alias("low"), F.max("auroc").alias("high"), base.alias("baseline"), (mean - base).alias("margin"))
+
+
+def replayed(rows: DataFrame, level: str, key: str, known: str, n: int, seed: int) -> DataFrame:
+    """Of each level ``n`` rows whose ``known`` label is there, in a seeded order, with what their gauges (``vagueness, reliability, dispersion, fragility``) say: a report."""
+    some = per_stratum(rows.where(F.col(known).isNotNull()), level, key, n, seed)
+    return some.withColumn("said", feedback(*map(F.col, ("vagueness", "reliability", "dispersion", "fragility"))))
+
+
 def train(name: str, rows: DataFrame, key: list[str], group: str, *, binary: bool, strength: float, n_splits: int = 5, seed: int = 42, length: str | None = None) -> Head:
     """A head over rows with ``x, y``: checked by out-of-fold scores and controls, calibrated on them, and fitted anew on all rows.
 

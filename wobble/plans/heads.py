@@ -208,3 +208,46 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = H.feedback(k / 100, F.col("value") / 100, e % 10 / 10, e % 7 / 7)
     plain = F.transform(said, lambda m: F.regexp_replace(m, r" \(≈-?[0-9]+%\)\.$", ""))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(plain, " / ").alias("said"))
+
+
+CHECKED_SQL = """
+r AS (
+  SELECT doc_id % 3 AS model, unnest(['quality', 'toxic']) AS head, unnest([quality, toxic]) AS y, n_chars AS length,
+    round(len(regexp_extract_all(text, '[a-z]')) / (length(text) + 1), 9) AS score FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND n_chars IS NOT NULL
+), k AS (SELECT * FROM r WHERE y IS NOT NULL), p AS (
+  SELECT model, head, y, rank() OVER (PARTITION BY model, head ORDER BY score) + (count(*) OVER (PARTITION BY model, head, score) - 1) / 2 AS a,
+    rank() OVER (PARTITION BY model, head ORDER BY length) + (count(*) OVER (PARTITION BY model, head, length) - 1) / 2 AS b FROM k
+), u AS (
+  SELECT model, head, count(*) AS n, (sum(a) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auroc,
+    (sum(b) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS l FROM p GROUP BY ALL HAVING sum(y) > 0 AND sum(y) < count(*)
+)"""
+
+
+@query(f"""
+WITH {CHECKED_SQL} SELECT head, round(avg(auroc), 6) AS mean, round(min(auroc), 6) AS low, round(max(auroc), 6) AS high, round(avg(greatest(l, 1 - l)), 6) AS baseline,
+  round(avg(auroc) - avg(greatest(l, 1 - l)), 6) AS margin FROM u GROUP BY head
+""")
+def verified_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of small letters as a score of two labels of a document, for three models, against the document's length alone."""
+    share = F.round(F.regexp_count("text", F.lit("[a-z]")) / (F.char_length("text") + 1), 9)
+    rows = table(spark, sf_dir, "documents").where("text is not null and n_chars is not null").join(table(spark, sf_dir, "labels"), "doc_id")
+    heads = F.inline(F.array(*(F.struct(F.lit(h).alias("head"), F.col(h).alias("y")) for h in ("quality", "toxic"))))
+    long = rows.select((F.col("doc_id") % 3).alias("model"), F.col("n_chars").alias("length"), share.alias("score"), heads)
+    return rounded(H.margins(H.verified(long, ["model", "head"], "y", "score", "length").where("auroc is not null"), "head"))
+
+
+@query(f"""
+WITH {CELLS_SQL}, l AS (
+  SELECT p.question_id || '/' || paraphrase_idx AS prompt, p.spec_level, CAST(p.spec_level = 0 AS DOUBLE) AS v, f[paraphrase_idx + 1]::DOUBLE AS r, h::DOUBLE AS d, (h / n)::DOUBLE AS g FROM prompts p LEFT JOIN cells c USING (question_id)
+), s AS (SELECT *, row_number() OVER (PARTITION BY spec_level ORDER BY sha256('5::' || prompt), prompt) AS place FROM l WHERE r IS NOT NULL),
+m AS (SELECT prompt, spec_level, CASE WHEN v >= 0.65 THEN '{H.MESSAGES["vagueness"]}' WHEN v >= 0.45 THEN '{H.MESSAGES["possibly_vague"]}' END AS a,
+  'Predicted answer reliability: ' || CASE WHEN r < 0.35 THEN 'LOW' WHEN r < 0.65 THEN 'MEDIUM' ELSE 'HIGH' END AS b, CASE WHEN d >= 0.6 THEN '{H.MESSAGES["dispersion"]}' END AS c,
+  CASE WHEN g >= 0.6 THEN '{H.MESSAGES["fragility"]}' END AS e, r FROM s WHERE place <= 20)
+SELECT prompt, spec_level, concat_ws(' / ', a, b, c, e, CASE WHEN a IS NULL AND c IS NULL AND e IS NULL AND r >= 0.65 THEN '{H.MESSAGES["stable"]}' END) AS said FROM m
+""")
+def replayed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty prompts of each level with a known reliability, and what is said of their labels as gauges, without the percentage."""
+    rows = H.head_labels(*prompts_and_cells(spark, sf_dir), ["question_id"])
+    rows = rows.withColumn("prompt", F.concat_ws("/", F.col("question_id").cast("string"), F.col("paraphrase_idx").cast("string")))
+    said = F.transform("said", lambda m: F.regexp_replace(m, r" \(≈-?[0-9]+%\)\.$", ""))
+    return H.replayed(rows, "spec_level", "prompt", "reliability", 20, 5).select("prompt", "spec_level", F.array_join(said, " / ").alias("said"))
