@@ -79,12 +79,12 @@ k AS (
 
 @query(f"""
 WITH RECURSIVE u AS (SELECT 0 AS g, url AS t, row_number() OVER (ORDER BY min(page_id), url) AS pos FROM pages WHERE trim(url) <> '' GROUP BY url),
-{KEPT_SQL.format(g="g", k="k.g", same="u.g = k.g", edits=15)}
+{KEPT_SQL.format(g="g", k="k.g", same="u.g = k.g", edits=4)}
 SELECT u.t AS url, list_contains(f.kept, u.t) AS kept FROM u JOIN (SELECT g, arg_max(kept, pos) AS kept FROM k GROUP BY g) f USING (g)
 """)
 def distant_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all page addresses, in order of their pages, those that are 16 edits or more from every one kept before."""
-    return spread_out(table(spark, sf_dir, "pages"), [], "url", ["page_id"], 15).select(F.col("text").alias("url"), "kept")
+    """Of all page addresses, in order of their pages, those that are five edits or more from every one kept before."""
+    return spread_out(table(spark, sf_dir, "pages"), [], "url", ["page_id"], 4).select(F.col("text").alias("url"), "kept")
 
 
 @query(f"""
