@@ -355,6 +355,34 @@ def test_token_distances(spark):
     assert [got[i] for i in range(len(pairs))] == [edits(a.lower().split(), b.lower().split()) for a, b in pairs]
 
 
+def test_answers_in_responses(spark):
+    cases = {
+        None: "", "": "", " \n \n": "", "Answer:": "", "**Final Answer:**": "", "Paris": "Paris",
+        "Step.\nAnswer: Paris": "Paris", "**Answer**: Paris.": "Paris", "FINAL  ANSWER - \"Paris\"": "Paris", "> answer \u2014 *Paris*": "Paris",
+        "Answer: Rome\nno\nAnswer: Paris": "Paris", "Answer:\r\n\r\n Paris\r\nend": "Paris", "Answer:\nfinal answer\nParis": "Paris",
+        "I cannot tell.\n\nAnswer:": "I cannot tell", "So the final answer would be Paris. Or not": "Paris", "The answer is Rome.\nthe answer was: Paris": "Paris",
+        "Answer: Rome\nAnswer:\n(Paris)": "Paris", "one\u2028two": "two", "Answer: \xa0\nParis": "Paris", "x" * 100_000 + "\nlast\n": "last", "the answer is\n": "the answer is",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    got = {r.i: r.a for r in rows.select("i", X.answer(F.col("text")).alias("a")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_replies_of_judges(spark):
+    verdicts = {
+        None: None, "": None, "maybe": None, " YES\n": True, "no": False, "true": True, "1": None, '"yes"': None, '{"valid": true}': True, '{"valid": " FALSE "}': False,
+        '{"valid": 1}': None, '{"valid": null}': None, "{}": None, "[true]": None, '```json\n{"valid": false}\n```': False, '```{"valid": true}```': True,
+        'Sure {"valid": false} thanks': False, '{"valid": true} thanks': None, 'a {"valid": true} b {"valid": true}': None, "```\nyes\n```": True, '{"valid": true}, 1': None,
+    }
+    lists = {
+        None: [], "": [], "none": [], '{"answers": ["a", "b c"]}': ["a", "b c"], 'So {"answers": ["a", null, 42, 0.5, 100.0, true, ["b"], {"c": 1}]}.': ["a", "42", "0.5", "100.0", "True"], '{"answers": "a"}': [],
+        '{"answers": [], "Answers": ["a"]}': ["a"], '{"answers": "x", "Answers": ["a"]}': [], '{"answers": null}': [], '["a"]': [], '{"answers": ["a"]': [], '```json\n{"Answers": ["\u00e9"]}```': ["\u00e9"],
+    }
+    rows = spark.createDataFrame([(i, *pair) for i, pair in enumerate(zip(list(verdicts), [*lists, *[None] * len(verdicts)]))], "i int, said string, listed string")
+    got = rows.select("i", X.verdict(F.col("said")).alias("v"), X.listed_answers(F.col("listed")).alias("l")).orderBy("i").collect()
+    assert [r.v for r in got] == list(verdicts.values()) and [r.l for r in got][: len(lists)] == list(lists.values())
+
+
 def test_golden_values(spark):
     row = lambda *cols: spark.range(1).select(*cols).first()
     arr = lambda x: F.array(*(F.lit(float(v)) for v in x))

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import html
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .expr import let
+
 SPACE = r"(?U)\s+"
 PUNCTUATION = ".,;:!?\"'()[]{}"
 ANSWER_EDGE = " \t\r\n*_`\"'.,;:!?()[]"
@@ -154,71 +155,104 @@ def scaffold(hops: Column, k: Column) -> Column:
     return F.array_join(F.transform(some, lambda h: F.concat(F.lit("- "), h["sub_question"], F.lit(" -> "), h["sub_answer"])), "\n")
 
 
-# How models mark their answers.
-MARKED = re.compile(r"(?im)^[ \t>#*_\-]*(?:final\s+answer|answer)[ \t*_]*[:\-–—][ \t]*(.*)$")
-SPOKEN = re.compile(r"(?is)\b(?:the\s+)?(?:final\s+)?answer\s+(?:is|was|would\s+be)\b[:\s]*(.+?)[.\n]")
+# How models mark their answers. Java's white space lacks four separators, which are named.
+MARKED = r"(?imdU)^[ \t>#*_\-]*(?:final[\s\x1C-\x1F]+answer|answer)[ \t*_]*[:\-–—][ \t]*(.*)$"
+SPOKEN = r"(?isU)\b(?:the[\s\x1C-\x1F]+)?(?:final[\s\x1C-\x1F]+)?answer[\s\x1C-\x1F]+(?:is|was|would[\s\x1C-\x1F]+be)\b[:\s\x1C-\x1F]*(.+?)[.\n]"
+BLANK = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
-def answer_in(response: str | None) -> str:
-    """A response's answer: its last marked line or what follows one, else its last spoken answer, else its last line."""
-    text = (response or "").strip()
-    usable = lambda s: "" if (c := s.strip().strip(ANSWER_EDGE).strip()).lower() in LABELS else c
-    marked = list(MARKED.finditer(text))
-    if marked:
-        if found := usable(marked[-1].group(1)):
-            return found
-        lines = text.splitlines()
-        after = (nxt for i, line in enumerate(lines) if MARKED.match(line) for nxt in lines[i + 1 :])
-        if found := next(filter(None, map(usable, after)), ""):
-            return found
-    spoken = [m.group(1) for m in SPOKEN.finditer(text + "\n")]
-    if spoken and (found := usable(spoken[-1])):
-        return found
-    return next(filter(None, map(usable, reversed(text.splitlines()))), "")
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, BLANK, "")
 
 
-@F.pandas_udf(T.StringType())
-def answer(response: pd.Series) -> pd.Series:
-    return response.map(answer_in)
+def _span(text: Column) -> Column:
+    """A text less emphasis, quotes and punctuation around it; null if nothing is left, or only a label."""
+    return let(stripped(F.btrim(stripped(text), F.lit(ANSWER_EDGE))), lambda s: F.when((s != "") & ~F.lower(s).isin(*LABELS), s))
+
+
+def _last(values: Column) -> Column:
+    return F.get(values, F.size(values) - 1)
+
+
+def answer(response: Column) -> Column:
+    """A response's answer, empty if it has none.
+
+    Its lines are numbered spans. The last marked line's own span comes first, then the first span below any marked line,
+    then the last sentence that says what the answer is, then the last span of all.
+    """
+
+    def chosen(r: Column) -> Column:
+        marks, lines = r["marks"], r["lines"]
+        spans = F.transform(lines, _span)
+        below = F.filter(spans, lambda s, i: s.isNotNull() & (i >= r["top"]))
+        return F.coalesce(
+            _span(_last(marks)), F.when(F.size(marks) > 0, F.get(below, F.lit(0))), _span(_last(r["said"])), _last(F.array_compact(spans)), F.lit("")
+        )
+
+    def parts(text: Column) -> Column:
+        lines = F.split(text, LINE_END)
+        # numbered from 0, so the place of the first marked line, counted from 1, is the number of the line below it
+        top = let(F.array_position(F.transform(lines, lambda x: x.rlike(MARKED)), True), lambda at: F.when(at > 0, at).otherwise(F.size(lines)))
+        return F.struct(
+            F.regexp_extract_all(text, F.lit(MARKED), F.lit(1)).alias("marks"), F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(SPOKEN), F.lit(1)).alias("said"), lines.alias("lines"), top.alias("top")
+        )
+
+    return let(let(stripped(F.coalesce(response, F.lit(""))), parts), chosen)
+
+
+FENCED = r"(?sU)^```(?:json)?\s*(.*?)\s*```\z"
+
+
+def _reply(text: Column) -> Column:
+    """``word, json`` of a judge's reply: what a fence holds, from its first brace to its last if prose stands around them, and its value."""
+    word = let(F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), FENCED, "$1"), lambda s: F.coalesce(F.nullif(F.regexp_extract(s, r"(?s)^[^{].*?(\{.*\})", 1), F.lit("")), s))
+    # as the one element of a list, so that nothing may follow the value
+    return let(word, lambda w: F.struct(F.lower(w).alias("word"), F.try_parse_json(F.concat(F.lit("["), w, F.lit("]"))).alias("json")))
+
+
+def _kind(value: Column) -> Column:
+    """The type of a JSON value: ``VOID``, ``STRING``, ``BOOLEAN``, ``BIGINT``, ``DECIMAL``, ``DOUBLE``, ``ARRAY`` or ``OBJECT``; null if it is absent."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
 
+def _at(json: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(json, path, kind)
 
-def _judged(text: str | None) -> object:
-    """The JSON value in a judge's reply, with or without a fence or prose around it."""
-    body = (text or "").strip()
-    if body.startswith("```") and body.endswith("```") and len(body) > 6:
-        body = re.sub(r"^(json)?\s*", "", body[3:-3]).strip()
-    if not body.startswith("{") and "{" in body and "}" in body[body.index("{") :]:
-        body = body[body.index("{") : body.rindex("}") + 1]
-    try:
-        return json.loads(body)
-    except ValueError:
-        return {"yes": True, "no": False}.get(body.lower())
 
+def verdict(text: Column) -> Column:
+    """A judge's yes or no: true, false, yes, no, or an object whose ``valid`` is a boolean or its name; null if it says none."""
 
-def verdict_in(text: str | None) -> bool | None:
-    """A judge's yes or no; None if there is none."""
-    value = _judged(text)
-    value = value.get("valid") if isinstance(value, dict) else value if isinstance(value, bool) else None
-    if isinstance(value, str):
-        value = {"true": True, "false": False}.get(value.lower().strip())
-    return value if isinstance(value, bool) else None
+    def said(r: Column) -> Column:
+        alone, valid = _at(r["json"], "$[0]"), _at(r["json"], "$[0].valid")
+        single = _at(r["json"], "$[1]").isNull()
+        named = stripped(F.lower(_at(r["json"], "$[0].valid", "string")))
+        return (
+            F.when(r["json"].isNull(), F.when(r["word"] == "yes", True).when(r["word"] == "no", False))
+            .when(single & (_kind(alone) == "BOOLEAN"), _at(r["json"], "$[0]", "boolean"))
+            .when(single & (_kind(valid) == "BOOLEAN"), _at(r["json"], "$[0].valid", "boolean"))
+            .when(single & (_kind(valid) == "STRING"), F.when(named == "true", True).when(named == "false", False))
+        )
 
+    return let(_reply(text), said)
 
-def answers_in(text: str | None) -> list[str]:
-    """The answers that a judge lists."""
-    value = _judged(text)
-    found = (value.get("answers") or value.get("Answers") or []) if isinstance(value, dict) else []
-    return [str(a) for a in found if isinstance(a, str | int | float)] if isinstance(found, list) else []
 
+def listed_answers(text: Column) -> Column:
+    """The answers that a judge lists (``answers``, or ``Answers`` if that is empty): texts, numbers and booleans; empty if it lists none."""
+    number = lambda x: F.try_variant_get(x, "$", "double").cast("string")
+    plain = lambda x: F.try_variant_get(x, "$", "string")
 
-@F.pandas_udf(T.BooleanType())
-def verdict(text: pd.Series) -> pd.Series:
-    return text.map(verdict_in).astype("object")
+    def shown(x: Column) -> Column:
+        return let(_kind(x), lambda k: F.when(k.isin("STRING", "BIGINT"), plain(x)).when(k == "BOOLEAN", F.initcap(plain(x))).when(k.isin("DECIMAL", "DOUBLE", "FLOAT"), number(x)))
 
+    def listed(r: Column) -> Column:
+        first = F.to_json(_at(r["json"], "$[0].answers"))
+        empty = first.isNull() | first.isin("null", "[]", "{}", '""', "0", "0.0", "false")
+        some = F.when(empty, _at(r["json"], "$[0].Answers", "array<variant>")).otherwise(_at(r["json"], "$[0].answers", "array<variant>"))
+        kept = F.array_compact(F.transform(some, shown))
+        return F.coalesce(F.when(_at(r["json"], "$[1]").isNull(), kept), F.array().cast("array<string>"))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def listed_answers(text: pd.Series) -> pd.Series:
-    return text.map(answers_in)
+    return let(_reply(text), listed)
 
 
 def token_distance(a: Column, b: Column) -> Column:
