@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from .factors import rank_correlations
+from .factors import rank_correlation, rank_correlations
 from .lineage import written
-from .prefix import medians, rank_correlation
+from .prefix import medians
 from .relational import seeded
 
 

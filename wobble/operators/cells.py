@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from .prefix import rank_correlation
+from .factors import rank_correlation
+from .lineage import written
 
 
 def graded(samples: DataFrame, cell: list[str]) -> DataFrame:
@@ -192,7 +193,7 @@ def metric_rows(samples: DataFrame, cell: list[str], *, prompts: DataFrame | Non
     """
     from .bootstrap import curve_intervals
 
-    counts = cluster_counts(samples.where("cluster is not null"), cell)
+    counts = written(cluster_counts(samples.where("cluster is not null"), cell), "counts")  # three metrics read it
     scored = graded(samples, cell)
     facts_ = facts(scored, cell)
     cap = F.log2(F.col("n") + F.lit(1.0))

@@ -47,6 +47,12 @@ def rank_correlations(rows: DataFrame, by: list[str], values: list[str], least:
     return sums.select("g", "n", F.array(*(rho(i, j) for i, j in pairs)).alias("rho"))
 
 
+def rank_correlation(rows: DataFrame, a: str, b: str, by: list[str], name: str, least: int = 3) -> DataFrame:
+    """``by, name, n``: Spearman's correlation over rows that have both columns; null below ``least`` rows or without variance."""
+    out = rank_correlations(rows, by, [a, b], least)
+    return out.select(*(F.col("g")[c].alias(c) for c in by), F.get("rho", F.lit(0)).alias(name), "n")
+
+
 def rotated(loadings: np.ndarray) -> np.ndarray:
     """Loadings turned so that their squares vary most within each factor (varimax): each turn is the orthogonal matrix nearest to the criterion's gradient."""
     turn, reached = np.eye(loadings.shape[1]), 0.0

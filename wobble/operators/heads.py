@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import probes
 from .audits import per_stratum
-from .prefix import rank_correlation
+from .factors import rank_correlation
 from .relational import auroc, group_folds, otsu, seeded_places
 
 EPSILON = 1e-8

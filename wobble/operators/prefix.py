@@ -1,7 +1,8 @@
 """Running sums and ranks over a group's distinct values, in ranges, so that no group is one task.
 
-Values are cut into ``RANGES`` ranges on a logarithmic scale between the group's least and greatest. Sums run within
-each range and over the ranges' totals; both windows are small however many rows a group has.
+The distinct values are stored once, in order of group and value, as many ranges as Spark makes of their rows, so ranges are
+alike however values lie. Sums run within each range of a group and over the ranges' totals; both windows are small however
+many rows a group has.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .lineage import written
 
-RANGES = 1024
-
 
 def group_of(by: list[str]) -> Column:
     """The group's columns as one, which is never null, so that groups with nulls join too."""
@@ -28,11 +27,8 @@ def distinct_values(rows: DataFrame, by: list[str], value: str, **sums: Column)
 
 def running(values: DataFrame, *sums: str) -> DataFrame:
     """``values`` (``g, v``, a row each) with ``before_s``, the sum over lesser values of the group, ``total_s`` and ``up``, the next greater value."""
-    scaled = F.signum("v") * F.log1p(F.abs("v"))
-    limits = values.groupBy("g").agg(F.min(scaled).alias("lo"), F.max(scaled).alias("hi"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((scaled - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * (RANGES - 1))).otherwise(0)
-    ranged = values.join(limits, "g").withColumn("range", place.cast("int")).drop("lo", "hi")
-    totals = ranged.groupBy("g", "range").agg(F.min("v").alias("first"), *(F.sum(s).alias(s) for s in sums))
+    placed = written(values.repartitionByRange("g", "v").withColumn("range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("g", "range").agg(F.min("v").alias("first"), *(F.sum(s).alias(s) for s in sums))
     w = Window.partitionBy("g").orderBy("range")
     earlier, every = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("g")
     offsets = totals.select(
@@ -41,22 +37,11 @@ def running(values: DataFrame, *sums: str) -> DataFrame:
     )
     w = Window.partitionBy("g", "range").orderBy("v")
     inner = [F.coalesce(F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"before_{s}") for s in sums]
-    within = ranged.select("*", F.lead("v").over(w).alias("up"), *inner).join(offsets, ["g", "range"])
-    out = within.select(
+    within = placed.select("*", F.lead("v").over(w).alias("up"), *inner).join(offsets, ["g", "range"])
+    return within.select(
         *(c for c in within.columns if c not in ("range", "next", "up") and not c.startswith(("_", "before_"))),
         F.coalesce("up", "next").alias("up"), *((F.col(f"before_{s}") + F.col(f"_{s}")).alias(f"before_{s}") for s in sums),
     )
-    return out
-
-
-def ranked(counted: DataFrame, value: str, weight: str, name: str) -> DataFrame:
-    """``g``, the value and ``name``, its rank in its group, ties at their mean, less the mean of all ranks.
-
-    ``counted`` has ``g``, columns of numbers and how often they occur together; its own shuffle serves all columns.
-    """
-    values = counted.groupBy("g", F.col(value).alias("v")).agg(F.sum(weight).alias("n"))
-    r = F.col("before_n") + (F.col("n") + 1) / 2 - (F.col("total_n") + 1) / 2
-    return running(values, "n").select("g", F.col("v").alias(value), r.alias(name))
 
 
 def medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -65,17 +50,3 @@ def medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     inside = lambda at: (F.col("before_n") <= at) & (at < F.col("before_n") + F.col("n"))
     low, high = F.floor((F.col("total_n") - 1) / 2), F.floor(F.col("total_n") / 2)
     return values.groupBy("g").agg(((F.max(F.when(inside(low), F.col("v"))) + F.max(F.when(inside(high), F.col("v")))) / 2).alias(name))
-
-
-def rank_correlation(rows: DataFrame, a: str, b: str, by: list[str], name: str, least: int = 3) -> DataFrame:
-    """``by, name, n``: Spearman's correlation over rows that have both columns; null below ``least`` rows or without variance."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    full = rows.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, x.alias("x"), y.alias("y"))
-    # both columns' ranks read the distinct pairs, the rows are read once
-    pairs = written(full.groupBy(group_of(by).alias("g"), "x", "y").agg(F.count("*").alias("w")), "pairs")
-    pairs = pairs.join(ranked(pairs, "x", "w", "rx"), ["g", "x"]).join(ranked(pairs, "y", "w", "ry"), ["g", "y"])
-    w, p, q = F.col("w"), F.col("rx"), F.col("ry")
-    n, xy, xx, yy = F.sum(w), F.sum(w * p * q), F.sum(w * p * p), F.sum(w * q * q)
-    rho = F.when((n >= least) & (xx > 0) & (yy > 0), xy / F.when((xx > 0) & (yy > 0), F.sqrt(xx) * F.sqrt(yy)))
-    out = pairs.groupBy("g").agg(rho.alias(name), n.alias("n"))
-    return out.select(*(F.col("g")[c].alias(c) for c in by), name, "n")

@@ -18,8 +18,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .factors import rank_correlation
 from .lineage import written
-from .prefix import rank_correlation
 from .relational import auroc, group_folds
 
 EPSILON = 1e-8

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import bootstrap as B
 from ..operators import cells as C
-from ..operators.prefix import rank_correlation as correlated
+from ..operators.factors import rank_correlation as correlated
 from .registry import Registry, rounded, table
 
 query = Registry()
