@@ -402,6 +402,20 @@ def test_golden_values(spark):
     assert heads_feedback(row, 0.1, 0.9, 0.1, 0.1)[-1] == heads.MESSAGES["stable"] and heads_feedback(row, 0.5, None, None, None) == [heads.MESSAGES["possibly_vague"]]
 
 
+def test_distances_of_distributions(spark):
+    rows = [("c", 0, 0, 3), ("c", 0, 1, 1), ("c", 1, 1, 2), ("c", 1, 7, 2), ("d", 0, 4, 5), (None, 0, 0, 1)]
+    counts = spark.createDataFrame(rows, "cell string, par int, cluster int, n long")
+    shares = {(r.cell, r.par): r.shares for r in cells.proportions(counts, ["cell"], [1, 0, 9]).collect()}
+    assert shares == {("c", 0): [0.25, 0.75, 0.0], ("c", 1): [0.5, 0.0, 0.0], ("d", 0): [0.0, 0.0, 0.0], (None, 0): [0.0, 1.0, 0.0]}
+    far = {(r.cell, r.par): r.distance for r in cells.pool_distances(counts.where("cell is not null"), ["cell"]).collect()}
+    assert far == {("c", 0): 0.375, ("c", 1): 0.375, ("d", 0): 0.0}
+    arr = lambda *x: F.array(*map(F.lit, x))
+    one = spark.range(1)
+    assert tuple(one.select(E.total_variation(arr(0.5, 0.5), arr(0.5, 0.5)), E.total_variation(arr(1.0, 0.0), arr(0.0, 1.0)), E.total_variation(arr(0.5, 0.5), F.lit(None).cast("array<double>"))).first()) == (0.0, 1.0, None)
+    with pytest.raises(Exception, match="distributions over 2 and 1"):
+        one.select(E.total_variation(arr(0.5, 0.5), arr(1.0))).collect()
+
+
 def heads_feedback(row, *gauges):
     return row(heads.feedback(*(F.lit(g).cast("double") for g in gauges)).alias("f")).f
 

@@ -183,6 +183,13 @@ def layers(fractions: list[float], n: Column) -> Column:
 # similarity
 
 
+def total_variation(p: Column, q: Column) -> Column:
+    """Half the sum of all differences of two distributions over one support; arrays of unlike sizes are an error."""
+    gap = F.aggregate(F.zip_with(p, q, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda total, d: total + d) / 2
+    unlike = F.raise_error(F.concat(F.lit("distributions over "), F.size(p).cast("string"), F.lit(" and "), F.size(q).cast("string"), F.lit(" clusters"))).cast("double")
+    return F.when(F.size(p) == F.size(q), gap).when(p.isNotNull() & q.isNotNull(), unlike)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.when(union > 0, union))

@@ -130,6 +130,25 @@ def consistency(counts: DataFrame, cell: list[str]) -> DataFrame:
     return ranked.groupBy(*cell).agg(value.alias("consistency"))
 
 
+def proportions(counts: DataFrame, cell: list[str], support: list[int]) -> DataFrame:
+    """``cell, par, shares``: of all samples of a paraphrase the share in each cluster of ``support``, in its order; those in other clusters only count as samples."""
+    inside = [F.coalesce(F.sum(F.when(F.col("cluster") == c, F.col("n"))), F.lit(0)) / F.sum("n") for c in support]
+    return counts.groupBy(*cell, "par").agg(F.array(*inside).alias("shares"))
+
+
+def pool_distances(counts: DataFrame, cell: list[str]) -> DataFrame:
+    """``cell, par, distance``: the total variation distance of each paraphrase's clusters to those of all samples of its cell.
+
+    Clusters that a paraphrase has none of add their share of the pool, which is what its own clusters leave of it; so no row
+    is made for them.
+    """
+    pool = counts.groupBy(*cell, "cluster").agg(F.sum("n").alias("m"))
+    pool = pool.join(pool.groupBy(*cell).agg(F.sum("m").alias("all")), cell).select(*cell, "cluster", (F.col("m") / F.col("all")).alias("q"))
+    own = counts.groupBy(*cell, "par").agg(F.sum("n").alias("total"))
+    both = counts.join(own, [*cell, "par"]).join(pool, [*cell, "cluster"]).withColumn("p", F.col("n") / F.col("total"))
+    return both.groupBy(*cell, "par").agg(((F.sum(F.abs(F.col("p") - F.col("q"))) + 1 - F.sum("q")) / 2).alias("distance"))
+
+
 def variation_ratio(counts: DataFrame, cell: list[str]) -> DataFrame:
     """1 less the share of paraphrases whose most frequent cluster is the commonest such; ties go to the cluster met first."""
     top = counts.groupBy(*cell, "par").agg(F.max_by("cluster", F.struct("n", (-F.col("first")).alias("first"))).alias("top"))

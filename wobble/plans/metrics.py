@@ -123,6 +123,29 @@ def pairwise_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.consistency(counts(spark, sf_dir), CELL))
 
 
+@query(f"""
+WITH {COUNTS_SQL}, p AS (
+  SELECT cell, par, {", ".join(f"coalesce(sum(n) FILTER (cluster = {c}), 0) / sum(n) AS p{c}" for c in (0, 2, 5, 9))} FROM counts GROUP BY cell, par
+) SELECT cell, par, {", ".join(f"round(p{c}, 6) AS p{c}" for c in (0, 2, 5, 9))}, round((abs(p0 - 0.25) + abs(p2 - 0.25) + abs(p5 - 0.25) + abs(p9 - 0.25)) / 2, 6) AS distance FROM p
+""")
+def cluster_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paraphrase's shares in four clusters, and their distance to even ones."""
+    rows = C.proportions(counts(spark, sf_dir), CELL, [0, 2, 5, 9])
+    distance = E.total_variation(F.col("shares"), F.array(*[F.lit(0.25)] * 4))
+    return rounded(rows.select("cell", "par", *(F.get("shares", F.lit(i)).alias(f"p{c}") for i, c in enumerate((0, 2, 5, 9))), distance.alias("distance")))
+
+
+@query(f"""
+WITH {COUNTS_SQL}, q AS (SELECT cell, cluster, sum(n) / sum(sum(n)) OVER (PARTITION BY cell) AS q FROM counts GROUP BY cell, cluster),
+pars AS (SELECT cell, par, sum(n) AS total FROM counts GROUP BY cell, par),
+every AS (SELECT cell, par, cluster, q, total FROM pars JOIN q USING (cell))
+SELECT cell, par, round(sum(abs(coalesce(n, 0) / total - q)) / 2, 6) AS distance FROM every LEFT JOIN counts USING (cell, par, cluster) GROUP BY cell, par
+""")
+def pool_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each paraphrase's clusters are from those of its whole cell."""
+    return rounded(C.pool_distances(counts(spark, sf_dir), CELL))
+
+
 @query(f"""
 WITH {COUNTS_SQL}, top AS (
   SELECT cell, cluster FROM (SELECT *, row_number() OVER (PARTITION BY cell, par ORDER BY n DESC, first) AS r FROM counts) WHERE r = 1
