@@ -153,3 +153,32 @@ def test_overlapping_sets_equal_a_loop(spark, share):
             if g == h and a < b and len(set(s) & set(t)) >= max(1, share * max(len(s), len(t)) - 1e-9) and s and t:
                 want.add((g[0], a, b))
     assert got == want
+
+
+@pytest.mark.parametrize("edits", [0, 1, 5])
+def test_distances_of_a_batch_equal_a_loop(spark, edits):
+    import pandas as pd
+
+    rng = random.Random(1)
+    pairs = [(a, "".join(edited(rng, a, rng.randint(0, 7), "ab/😀\0"))) for a in ("".join(rng.choice("ab/😀\0") for _ in range(rng.randint(0, 40))) for _ in range(300))]
+    pairs = [(a, b) for a, b in pairs if 0 <= len(b) - len(a) <= edits] + [("", "")]
+    got = neighbours._distances(edits).func(*(pd.Series(side) for side in zip(*pairs, strict=True)))
+    assert [d if d <= edits else None for d in got] == [d if (d := distance(a, b)) <= edits else None for a, b in pairs]
+
+
+def test_dense_texts_in_steps(spark):
+    """Addresses of one host, all near each other: pairs between two flags, and removal in steps as one after another."""
+    rng = random.Random(8)
+    rows = [(i, f"http://a.example/en/{rng.randint(100, 99999)}" + "/long" * (30 if i % 9 == 0 else 0)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "i int, t string")
+    order = [t for _, t in rows]
+    kept = []
+    for t in dict.fromkeys(order):
+        if all(distance(k, t) > 4 for k in kept if abs(len(k) - len(t)) <= 4):
+            kept.append(t)
+    assert {r.text for r in neighbours.spread_out(docs, [], "t", ["i"], 4, steps=3).where("kept").collect()} == set(kept)
+    flagged = docs.groupBy("t").agg((F.min("i") < 40).alias("early"))
+    early = {r.t: r.early for r in flagged.collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in neighbours.near_pairs(flagged, [], "t", 4, between="early").collect()}
+    own = sorted(early)
+    assert got == {(a, b) for i, a in enumerate(own) for b in own[i + 1 :] if early[a] != early[b] and abs(len(a) - len(b)) <= 4 and distance(a, b) <= 4}

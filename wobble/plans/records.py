@@ -84,7 +84,7 @@ SELECT u.t AS url, list_contains(f.kept, u.t) AS kept FROM u JOIN (SELECT g, arg
 """)
 def distant_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all page addresses, in order of their pages, those that are five edits or more from every one kept before."""
-    return spread_out(table(spark, sf_dir, "pages"), [], "url", ["page_id"], 4).select(F.col("text").alias("url"), "kept")
+    return spread_out(table(spark, sf_dir, "pages"), [], "url", ["page_id"], 4, steps=4).select(F.col("text").alias("url"), "kept")
 
 
 @query(f"""
