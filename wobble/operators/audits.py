@@ -43,9 +43,21 @@ def gate(rows: DataFrame, level: str, low, high, hard: dict[str, str], soft: dic
     return means.select(F.inline("m")).select("name", "low", "high", "hard", F.coalesce(holds, F.lit(False)).alias("holds"))
 
 
-def by_ladder(rows: DataFrame, key: list[str], ladder: str, kinds: tuple[str, str, str], value: str) -> DataFrame:
-    """The mean of a value for each of three ladders, a column each, and whether they are in order (null if one is absent)."""
-    wide = rows.groupBy(*key).agg(*(F.avg(F.when(F.col(ladder) == k, F.col(value))).alias(n) for k, n in zip(kinds, ("gold_first", "random", "distractor_first"), strict=True)))
+def by_ladder(rows: DataFrame, key: list[str], ladder: str, kinds: tuple[str, str, str], value: str, order: list[Column] | None = None) -> DataFrame:
+    """The mean of a value for each of three ladders, a column each, and whether they are in order (null if one is absent).
+
+    A mean of doubles depends on the order in which they are added, and so does whether equal means are in order. With ``order``
+    a key's values, which are few, are added one after another, so that runs agree.
+    """
+    names = ("gold_first", "random", "distractor_first")
+    if order is None:
+        wide = rows.groupBy(*key).agg(*(F.avg(F.when(F.col(ladder) == k, F.col(value))).alias(n) for k, n in zip(kinds, names, strict=True)))
+    else:
+        kept = F.when(F.col(value).isNotNull() & F.col(ladder).isin(*kinds), F.struct(F.struct(*order).alias("at"), F.col(ladder).alias("kind"), F.col(value).cast("double").alias("v")))
+        listed = rows.groupBy(*key).agg(F.array_sort(F.collect_list(kept)).alias("_all"))
+        own = lambda k: F.transform(F.filter("_all", lambda e: e["kind"] == k), lambda e: e["v"])
+        mean = lambda vs: F.aggregate(vs, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(vs), F.lit(0))
+        wide = listed.select(*key, *(mean(own(k)).alias(n) for k, n in zip(kinds, names, strict=True)))
     return wide.withColumn("in_order", (F.col("gold_first") >= F.col("random")) & (F.col("random") >= F.col("distractor_first")))
 
 

@@ -32,7 +32,9 @@ def level_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def laddered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.by_ladder(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_linenumber"], "l_returnflag", ("R", "N", "A"), "l_discount")
+    """Values are added in the order in which the table holds them, as SQL's engine meets them on one thread."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    return A.by_ladder(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_linenumber"], "l_returnflag", ("R", "N", "A"), "l_discount", place)
 
 
 LADDER_SQL = """
