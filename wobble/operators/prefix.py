@@ -1,6 +1,6 @@
 """Running sums and ranks over a group's distinct values, in ranges, so that no group is one task.
 
-The distinct values are stored once, in order of group and value, as many ranges as Spark makes of their rows, so ranges are
+The distinct values are stored once, in order of group and value, in ranges that Spark makes of their rows, twice as many as shuffles have partitions, so ranges are
 alike however values lie. Sums run within each range of a group and over the ranges' totals; both windows are small however
 many rows a group has.
 """
@@ -27,7 +27,9 @@ def distinct_values(rows: DataFrame, by: list[str], value: str, **sums: Column)
 
 def running(values: DataFrame, *sums: str) -> DataFrame:
     """``values`` (``g, v``, a row each) with ``before_s``, the sum over lesser values of the group, ``total_s`` and ``up``, the next greater value."""
-    placed = written(values.repartitionByRange("g", "v").withColumn("range", F.spark_partition_id()), "ranges")
+    # ranges by number: Spark would join small ones into one by the bytes they take on disk, and a range's sums sort its rows
+    n = 2 * int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(values.repartitionByRange(n, "g", "v").withColumn("range", F.spark_partition_id()), "ranges")
     totals = placed.groupBy("g", "range").agg(F.min("v").alias("first"), *(F.sum(s).alias(s) for s in sums))
     w = Window.partitionBy("g").orderBy("range")
     earlier, every = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("g")
@@ -37,7 +39,7 @@ def running(values: DataFrame, *sums: str) -> DataFrame:
     )
     w = Window.partitionBy("g", "range").orderBy("v")
     inner = [F.coalesce(F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"before_{s}") for s in sums]
-    within = placed.select("*", F.lead("v").over(w).alias("up"), *inner).join(offsets, ["g", "range"])
+    within = placed.repartition(n, "g", "range").select("*", F.lead("v").over(w).alias("up"), *inner).join(offsets, ["g", "range"])
     return within.select(
         *(c for c in within.columns if c not in ("range", "next", "up") and not c.startswith(("_", "before_"))),
         F.coalesce("up", "next").alias("up"), *((F.col(f"before_{s}") + F.col(f"_{s}")).alias(f"before_{s}") for s in sums),

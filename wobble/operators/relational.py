@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from .lineage import written
 from .prefix import distinct_values, group_of, medians, running
 
 
@@ -60,8 +61,9 @@ def octants(rows: DataFrame, block: list[str], values: list[str], least: int, na
     mids = medians(long, ["_g", "name"], "x", "m").select("g._g", "g.name", "m")
     cuts = mids.groupBy("_g").agg(*(F.max(F.when(F.col("name") == v, F.col("m"))).alias(f"_{v}") for v in values))
     cuts = cuts.join(full.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") >= least), "_g")
+    cuts = written(cuts, "cuts")  # a row per block; Spark knows its size and broadcasts it, so that no block's rows are one task's
     flags = [(F.col(v) > F.col(f"_{v}")).cast("int").alias(f"{v}_high") for v in values]
-    split = full.join(cuts, "_g").select(*block, name, *flags)  # a row per block, which Spark broadcasts if it is small
+    split = full.join(cuts, "_g").select(*block, name, *flags)
     return split.groupBy(*block, *(f"{v}_high" for v in values)).agg(F.count("*").alias("n"), F.min(name).alias("example"))
 
 
