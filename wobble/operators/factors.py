@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import written
+from .lineage import shared_path, written
 from .prefix import group_of, running
 
 #: Turns of a rotation at most, and the share by which a turn has to raise the criterion.
@@ -19,18 +19,26 @@ TURNS, GAIN = 100, 1e-6
 def rank_vectors(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """``g, w, ranks``: for rows that have all columns, the rank of each value in its group and column, ties at their mean, less the mean of ranks.
 
-    Equal rows are one, ``w`` of them. They are read once; then all columns are melted into one table of distinct values, whose
-    running counts, in ranges, are the ranks, and these meet the rows again by value.
+    They are read once and stored; ``w`` is 1. All columns are melted into one table of distinct values, whose running counts, in
+    ranges, are the ranks, and these meet the rows again column by column: where a column has few values, without a shuffle.
     """
+    spark = rows.sparkSession
     whole = F.array(*(F.col(v).cast("double") for v in values))
     full = rows.select(group_of(by).alias("g"), whole.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    counted = full.groupBy("g", "x").agg(F.count("*").alias("w")).withColumn("row", F.monotonically_increasing_id())
-    counted = written(counted, "rows")
-    long = counted.select("row", "w", F.col("g").alias("own"), F.posexplode("x").alias("c", "v")).withColumn("g", F.struct("own", "c"))
-    found = running(long.groupBy("g", "v").agg(F.sum("w").alias("n")), "n")
-    ranks = found.select("g", "v", (F.col("before_n") + (F.col("n") + 1) / 2 - (F.col("total_n") + 1) / 2).alias("r"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("c", "r"))), lambda p: p["r"])  # one of each column
-    return long.join(ranks, ["g", "v"]).groupBy("row").agg(F.first("own").alias("g"), F.first("w").alias("w"), listed.alias("ranks")).drop("row")
+    full = written(full.select("g", *(F.get("x", F.lit(c)).alias(f"x{c}") for c in range(len(values)))), "rows")
+    columns = F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"x{c}").alias("v")) for c in range(len(values))))
+    long = full.select(F.col("g").alias("own"), F.inline(columns)).select(F.struct("own", "c").alias("g"), "v")
+    found = running(long.groupBy("g", "v").agg(F.count("*").alias("n")), "n")
+    ranks = found.select(F.col("g.c").alias("c"), F.col("g.own").alias("g"), "v", (F.col("before_n") + (F.col("n") + 1) / 2 - (F.col("total_n") + 1) / 2).alias("r"))
+    path = shared_path(spark, "ranks")
+    ranks.write.partitionBy("c").parquet(path)
+    there = {r.c for r in spark.read.parquet(path).select("c").distinct().collect()} if not full.isEmpty() else set()  # columns
+    schema = ranks.drop("c").schema
+    for c in range(len(values)):
+        # a folder of its own, whose size tells Spark whether to broadcast it
+        own = spark.read.schema(schema).parquet(f"{path}/c={c}") if c in there else spark.createDataFrame([], schema)
+        full = full.join(own.withColumnsRenamed({"v": f"x{c}", "r": f"r{c}"}), ["g", f"x{c}"]).drop(f"x{c}")
+    return full.select("g", F.lit(1).cast("long").alias("w"), F.array(*(f"r{c}" for c in range(len(values)))).alias("ranks"))
 
 
 def rank_correlations(rows: DataFrame, by: list[str], values: list[str], least: int = 3) -> DataFrame:
