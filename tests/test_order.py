@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wobble.operators import audits, factors, prefix, relational
+from wobble.operators import audits, factors, prefix, probes, relational
 
 
 def test_ladder_means_are_added_in_order(spark):
@@ -46,3 +46,16 @@ def test_ranks_of_few_values_are_broadcast(spark):
     frame = rows.toPandas()
     rank = frame.rank() - (len(frame) + 1) / 2
     assert sorted(tuple(r.ranks) for r in found.collect()) == sorted(map(tuple, rank.values.tolist()))
+
+
+def test_trials_are_a_row_for_each_cell(spark):
+    """All strengths stand beside each other, so a label is stored and ranked once for a cell; equal features have equal scores."""
+    rows = spark.range(60).selectExpr("array(double(id % 3), double(id % 2)) as x", "double(id) as y", "array(struct(1 as outer, int(id % 3) as inner)) as cells")
+    heads = [(1, i, s, [0.5, 0.5], [1.0, 2.0], [s, 1.0], 0.25) for i in range(3) for s in (1.0, 10.0)]
+    found = probes.trials(rows, spark.createDataFrame(heads, probes.HEADS), (1.0, 10.0)).collect()
+    assert len(found) == 60
+    for r in found:
+        a, b = r.y % 3, r.y % 2
+        assert r.inner == r.y % 3
+        for got, s in ((r.s0, 1.0), (r.s1, 10.0)):
+            assert abs(got - ((a - 0.5) * s + (b - 0.5) / 2 + 0.25)) < 1e-9

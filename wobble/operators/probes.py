@@ -18,7 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .factors import rank_correlation
+from .factors import rank_correlations
 from .lineage import written
 from .relational import auroc, group_folds
 
@@ -200,7 +200,7 @@ def scored(rows: DataFrame, key: list[str], heads: DataFrame) -> DataFrame:
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if not len(frame):
+            if not len(frame) or not found:
                 continue
             score = np.stack(frame["x"].to_numpy()) @ weights.T + bias
             held = _held(frame)
@@ -216,6 +216,31 @@ def scored(rows: DataFrame, key: list[str], heads: DataFrame) -> DataFrame:
     return rows.mapInPandas(work, schema)
 
 
+def trials(rows: DataFrame, heads: DataFrame, strengths: tuple[float, ...]) -> DataFrame:
+    """``outer, inner, y, s0, s1, ...``: each row in each cell in which it is held out, with its score at each strength. The heads are collected."""
+    found = {(r.outer, r.inner, r.strength): r for r in heads.collect()}
+    names = [f"s{k}" for k in range(len(strengths))]
+    at = {}
+    for outer, inner in {k[:2] for k in found}:
+        own = [found[outer, inner, s] for s in strengths]
+        w = np.array([np.divide(r.w, r.sd) for r in own])
+        at[outer, inner] = w, np.array([r.b - np.dot(v, r["mean"]) for r, v in zip(own, w, strict=True)])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            x, y = np.stack(frame["x"].to_numpy()), frame["y"].to_numpy()
+            for (outer, inner), places in _held(frame).items():
+                if (outer, inner) in at:
+                    w, b = at[outer, inner]
+                    # added in one order, so that equal features have equal scores
+                    score = sum((x[places, j, None] * w[:, j] for j in range(w.shape[1])), b)
+                    yield pd.DataFrame({"outer": outer, "inner": inner, "y": y[places]} | {n: score[:, k] for k, n in enumerate(names)})
+
+    return rows.select("cells", "x", F.col("y").cast("double").alias("y")).mapInPandas(work, "outer int, inner int, y double, " + ", ".join(f"{n} double" for n in names))
+
+
 def nested(rows: DataFrame, key: list[str], group: str, binary: bool, grid: tuple[float, ...], inner: int = 3, seed: int = 43) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold scores ``key, y, outer, strength, score`` of rows with ``fold``, and the ``strength`` that each outer fold's inner folds chose.
 
@@ -224,14 +249,20 @@ def nested(rows: DataFrame, key: list[str], group: str, binary: bool, grid: tupl
     """
     split = written(nested_cells(rows, group, inner, seed), "nested")
     sums = moments(split)
-    heads = logistic_heads(split, sums, grid) if binary else ridge_heads(sums, grid)
-    every = written(scored(split, key, heads), "scores")
+    heads = written(logistic_heads(split, sums, grid) if binary else ridge_heads(sums, grid), "heads")
+    tried = heads.where(F.col("inner") != WHOLE)
     by = ["outer", "inner", "strength"]
-    trials = every.where(F.col("inner") != WHOLE)
-    quality = auroc(trials, "y", "score", by).withColumnRenamed("auroc", "q") if binary else rank_correlation(trials, "y", "score", by, "q")
+    if binary:
+        quality = auroc(written(scored(split, [], tried), "scores").where(F.col("inner") != WHOLE), "y", "score", by).withColumnRenamed("auroc", "q")
+    else:  # a label's rank in its cell is the same at every strength
+        found = rank_correlations(trials(split, tried, grid), by[:2], ["y", *(f"s{k}" for k in range(len(grid)))])
+        each = F.array(*(F.struct(F.lit(s).alias("strength"), F.get("rho", F.lit(k)).alias("q")) for k, s in enumerate(grid)))
+        quality = found.select("g.outer", "g.inner", F.inline(each))
     place = F.array_position(F.array(*map(F.lit, grid)), F.col("strength"))
     worth = quality.groupBy("outer", "strength").agg(F.avg(F.when(~F.isnan("q"), F.col("q"))).alias("q"))
     first = F.row_number().over(Window.partitionBy("outer").orderBy(F.desc_nulls_last(F.round("q", 9)), place))
     picked = worth.withColumn("place", first).where("place = 1").select("outer", "strength", F.col("q").alias("worth"))
-    out = every.where(F.col("inner") == WHOLE).join(F.broadcast(picked.select("outer", "strength")), ["outer", "strength"])  # a row per outer fold
+    picked = written(picked, "picked")
+    chosen = heads.where(F.col("inner") == WHOLE).join(picked.select("outer", "strength"), ["outer", "strength"])
+    out = scored(split, key, chosen.select(heads.columns))
     return out.select(*key, "y", "outer", "strength", "score"), picked
