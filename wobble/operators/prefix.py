@@ -1,8 +1,8 @@
 """Running sums and ranks over a group's distinct values, in ranges, so that no group is one task.
 
-The distinct values are stored once, in order of group and value, in ranges that Spark makes of their rows, twice as many as shuffles have partitions, so ranges are
-alike however values lie. Sums run within each range of a group and over the ranges' totals; both windows are small however
-many rows a group has.
+The distinct values are stored once, in order of group and value, in ranges that Spark makes of their rows, twice as many as
+shuffles have partitions, so ranges are alike however values lie. Sums run within each range of a group and over the ranges'
+totals; both windows are small however many rows a group has.
 """
 
 from __future__ import annotations
