@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import probes
 from .audits import per_stratum
 from .factors import rank_correlation
+from .lineage import written
 from .relational import auroc, group_folds, otsu, seeded_places
 
 EPSILON = 1e-8
@@ -25,8 +26,8 @@ PENALTIES, RIDGES = (0.001, 0.01, 0.1, 1.0), (1e2, 1e3, 1e4, 1e5)
 
 
 def folded(rows: DataFrame, group: str, n_splits: int, seed: int) -> DataFrame:
-    """Rows with the fold of their group."""
-    return rows.join(group_folds(rows, group, n_splits, seed), group)
+    """Rows with the fold of their group; the groups' folds are written, so that Spark knows whether to broadcast them."""
+    return rows.join(written(group_folds(rows, group, n_splits, seed), "folds"), group)
 
 
 def scaling(rows: DataFrame) -> tuple[list[float], list[float]]:

@@ -13,18 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .factors import rank_correlations
 from .lineage import written
+from .prefix import running
 from .relational import auroc, group_folds
 
 EPSILON = 1e-8
 #: A head that is trained on all cells of its outer fold.
 WHOLE = -1
+#: Numbers that a task ranks at a time.
+CHUNK = 1 << 21
 #: Newton steps at most, and the length of a gradient (per row) at which a head is done.
 STEPS, FLAT = 60, 1e-9
 HEADS = "outer int, inner int, strength double, mean array<double>, sd array<double>, w array<double>, b double"
@@ -41,7 +44,8 @@ def nested_cells(rows: DataFrame, group: str, inner: int, seed: int) -> DataFram
         dealt = group_folds(groups.where(F.col("fold") != outer), group, inner, seed)
         dealt = dealt.select(group, F.struct(F.lit(outer).alias("outer"), F.col("fold").alias("inner")).alias("cell"))
         parts = dealt if parts is None else parts.unionByName(dealt)
-    cells = parts.groupBy(group).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    # a row per group; Spark knows its size, so that rows are shuffled only where groups are too many to broadcast
+    cells = written(parts.groupBy(group).agg(F.array_sort(F.collect_list("cell")).alias("cells")), "cells")
     return rows.join(cells, group)
 
 
@@ -54,6 +58,26 @@ def _held(frame: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return {k: np.array(v) for k, v in at.items()}
 
 
+def _coded(cells: str) -> Column:
+    """Each cell as a number, which is cheaper to shuffle and to hand to Python than a pair."""
+    return F.transform(cells, lambda c: F.shiftleft(c["outer"], 16).bitwiseOR(c["inner"]))
+
+
+def _places(coded: pa.ListArray) -> dict[tuple[int, int], np.ndarray]:
+    """The rows of each cell, in order."""
+    code = coded.flatten().to_numpy()
+    row = np.repeat(np.arange(len(coded)), coded.value_lengths().to_numpy())
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    cuts = np.flatnonzero(code[1:] != code[:-1]) + 1
+    return {(int(own[0]) >> 16, int(own[0]) & 0xFFFF): at for own, at in zip(np.split(code, cuts), np.split(row, cuts), strict=True) if len(own)}
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Arrays of one length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
 def _summed(parts: DataFrame, by: list[str]) -> DataFrame:
     """``by, sums``: arrays of numbers added place by place."""
     return parts.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
@@ -62,16 +86,17 @@ def _summed(parts: DataFrame, by: list[str]) -> DataFrame:
 def moments(rows: DataFrame) -> DataFrame:
     """``outer, inner, sums``: the products of 1, ``x`` and ``y`` over each cell's rows, row by row of the matrix."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], np.ndarray] = {}
-        for frame in frames:
-            if len(frame):
-                z = np.column_stack([np.ones(len(frame)), np.stack(frame["x"].to_numpy()), frame["y"].to_numpy(float)])
-                for cell, at in _held(frame).items():
+        for batch in batches:
+            if batch.num_rows:
+                z = np.column_stack([np.ones(batch.num_rows), _matrix(batch["x"]), batch["y"].to_numpy(zero_copy_only=False)])
+                for cell, at in _places(batch["cells"]).items():
                     found[cell] = found.get(cell, 0.0) + z[at].T @ z[at]
-        yield pd.DataFrame([(*k, m.ravel()) for k, m in found.items()], columns=["outer", "inner", "sums"])
+        names = [pa.array([k[i] for k in found], pa.int32()) for i in range(2)]
+        yield pa.RecordBatch.from_arrays([*names, pa.array([m.ravel() for m in found.values()], pa.list_(pa.float64()))], ["outer", "inner", "sums"])
 
-    parts = rows.select("cells", "x", F.col("y").cast("double").alias("y")).mapInPandas(work, "outer int, inner int, sums array<double>")
+    parts = rows.select(_coded("cells").alias("cells"), "x", F.col("y").cast("double").alias("y")).mapInArrow(work, "outer int, inner int, sums array<double>")
     return _summed(parts, ["outer", "inner"])
 
 
@@ -216,15 +241,26 @@ def scored(rows: DataFrame, key: list[str], heads: DataFrame) -> DataFrame:
     return rows.mapInPandas(work, schema)
 
 
-def trials(rows: DataFrame, heads: DataFrame, strengths: tuple[float, ...]) -> DataFrame:
-    """``outer, inner, y, s0, s1, ...``: each row in each cell in which it is held out, with its score at each strength. The heads are collected."""
+def _heads_by_cell(heads: DataFrame, strengths: tuple[float, ...]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """The weights and constants of each cell's heads, a head for each strength. The heads are collected."""
     found = {(r.outer, r.inner, r.strength): r for r in heads.collect()}
-    names = [f"s{k}" for k in range(len(strengths))]
     at = {}
     for outer, inner in {k[:2] for k in found}:
         own = [found[outer, inner, s] for s in strengths]
         w = np.array([np.divide(r.w, r.sd) for r in own])
         at[outer, inner] = w, np.array([r.b - np.dot(v, r["mean"]) for r, v in zip(own, w, strict=True)])
+    return at
+
+
+def _scores(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each row's score by each head, added in one order, so that equal features have equal scores."""
+    return sum((x[:, j, None] * w[:, j] for j in range(w.shape[1])), b)
+
+
+def trials(rows: DataFrame, heads: DataFrame, strengths: tuple[float, ...]) -> DataFrame:
+    """``outer, inner, y, s0, s1, ...``: each row in each cell in which it is held out, with its score at each strength. The heads are collected."""
+    at = _heads_by_cell(heads, strengths)
+    names = [f"s{k}" for k in range(len(strengths))]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -233,14 +269,107 @@ def trials(rows: DataFrame, heads: DataFrame, strengths: tuple[float, ...]) -> D
             x, y = np.stack(frame["x"].to_numpy()), frame["y"].to_numpy()
             for (outer, inner), places in _held(frame).items():
                 if (outer, inner) in at:
-                    w, b = at[outer, inner]
-                    # added in one order, so that equal features have equal scores
-                    score = sum((x[places, j, None] * w[:, j] for j in range(w.shape[1])), b)
+                    score = _scores(x[places], *at[outer, inner])
                     yield pd.DataFrame({"outer": outer, "inner": inner, "y": y[places]} | {n: score[:, k] for k, n in enumerate(names)})
 
     return rows.select("cells", "x", F.col("y").cast("double").alias("y")).mapInPandas(work, "outer int, inner int, y double, " + ", ".join(f"{n} double" for n in names))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's features among the distinct ones, and a place of each."""
+    code = np.zeros(len(x), np.int64)
+    for column in x.T:
+        own, names = pd.factorize(column, use_na_sentinel=False)
+        code, _ = pd.factorize(code * len(names) + own)
+    at = np.zeros(code.max() + 1, np.int64)
+    at[code] = np.arange(len(code))
+    return code, at
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Table]:
+    """A task's rows in tables of some ``chunk`` numbers."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += len(batch["x"].flatten()) + len(batch["cells"].flatten()) + batch.num_rows
+        if size >= chunk:
+            yield pa.Table.from_batches(some)
+            some, size = [], 0
+    if size:
+        yield pa.Table.from_batches(some)
+
+
+def rank_sums(rows: DataFrame, key: list[str], heads: DataFrame, strengths: tuple[float, ...], chunk: int = CHUNK) -> DataFrame:
+    """``outer, inner, lo, s, n, r, ties``: for rows of a cell with equal scores ``s`` (one a strength) in one span of labels, their number and the sum of their labels' ranks in the span.
+
+    Rows are put in order of their labels once, whatever the number of cells, in ranges that equal labels may cross (``key``
+    parts them). A task ranks a chunk of them for every cell. Its first and its last label, which other chunks may have too,
+    are spans of their own without ``r``; what lies between is one with ``ties``, the sum of its ties' t³ - t. ``lo`` is a span's
+    least label. The heads are collected; rows without a label, or in a cell that gives them no score, do not count.
+    """
+    at = _heads_by_cell(heads, strengths)
+    schema = pa.schema([("outer", pa.int32()), ("inner", pa.int32()), ("lo", pa.float64()), ("s", pa.list_(pa.float64())), ("n", pa.int64()), ("r", pa.float64()), ("ties", pa.float64())])
+
+    def span(cell: tuple[int, int], label: np.ndarray, code: np.ndarray, score: np.ndarray, whole: bool) -> pa.RecordBatch:
+        n = np.bincount(code, minlength=len(score))
+        kept = np.flatnonzero(n)
+        r, ties = None, np.zeros(len(kept))
+        if not whole:
+            first = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+            size = np.diff(np.append(first, len(label))).astype(float)
+            r = np.bincount(code, np.repeat(first + (size + 1) / 2, size.astype(int)), len(score))[kept]
+            ties[0] = (size**3 - size).sum()
+        lists = pa.ListArray.from_arrays(np.arange(len(kept) + 1, dtype=np.int32) * len(strengths), score[kept].ravel())
+        same = [np.full(len(kept), c, np.int32) for c in cell]
+        ranks = pa.nulls(len(kept), pa.float64()) if r is None else r
+        return pa.RecordBatch.from_arrays([*map(pa.array, (*same, np.full(len(kept), label[0]))), lists, *map(pa.array, (n[kept], ranks, ties))], schema=schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches, chunk):
+            x, y = _matrix(table["x"].combine_chunks()), table["y"].to_numpy()
+            code, distinct = _distinct(x)
+            for cell, places in _places(table["cells"].combine_chunks()).items():
+                if cell not in at:
+                    continue
+                score = _scores(x[distinct], *at[cell])
+                places = places[~np.isnan(score).any(axis=1)[code[places]]]
+                label, own = y[places], code[places]
+                low, high = np.searchsorted(label, y[0], "right"), np.searchsorted(label, y[-1], "left")
+                for a, b, whole in ((0, low, True), (low, high, False), (max(low, high), len(label), True)):
+                    if a < b:
+                        yield span(cell, label[a:b], own[a:b], score, whole)
+
+    y = F.col("y").cast("double") + F.lit(0.0)  # no negative zeros
+    known = rows.select(_coded("cells").alias("cells"), "x", y.alias("y"), F.pmod(F.hash(*key), F.lit(256)).alias("part")).where(F.col("y").isNotNull() & ~F.isnan("y"))
+    n = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = known.repartitionByRange(n, "y", "part").sortWithinPartitions("y").select("cells", "x", "y")
+    return ranged.mapInArrow(work, "outer int, inner int, lo double, s array<double>, n long, r double, ties double")
+
+
+def rank_quality(rows: DataFrame, key: list[str], heads: DataFrame, strengths: tuple[float, ...], least: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """``outer, inner, strength, q``: Spearman's correlation of the label with each head's score over the rows held out in its cell; null below ``least`` rows or without variance.
+
+    It is the sum over distinct scores of their rank times the ranks of their rows' labels, so no row is stored for a cell where scores repeat.
+    """
+    sums = written(rank_sums(rows, key, heads, strengths, chunk), "rank-sums")
+    cube = lambda c: c.cast("double") * c * c - c
+    spans = sums.groupBy("outer", "inner", "lo").agg(F.sum("n").alias("size"), F.sum("ties").alias("ties"), F.count("r").alias("ranked"))
+    spans = spans.withColumn("ties", F.when(F.col("ranked") > 0, F.col("ties")).otherwise(cube(F.col("size"))))
+    w = Window.partitionBy("outer", "inner")  # three spans a chunk
+    before = F.coalesce(F.sum("size").over(w.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = written(spans.select("outer", "inner", "lo", "size", "ties", before.alias("before"), F.sum("size").over(w).alias("total")), "spans")
+    own = F.coalesce("r", F.col("n") * (F.col("size") + 1) / 2) + F.col("n") * (F.col("before") - (F.col("total") + 1) / 2)
+    long = sums.join(spans.drop("ties"), ["outer", "inner", "lo"]).select("outer", "inner", F.posexplode("s").alias("k", "v"), "n", own.alias("p"))
+    values = running(long.groupBy(F.struct("outer", "inner", "k").alias("g"), "v").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), "n")
+    r = F.col("before_n") + (F.col("n") + 1) / 2 - (F.col("total_n") + 1) / 2
+    found = values.groupBy("g").agg(F.sum(r * F.col("p")).alias("both"), F.sum(F.col("n") * r * r).alias("a"))
+    labels = spans.groupBy("outer", "inner").agg(F.max("total").alias("n"), ((cube(F.max("total")) - F.sum("ties")) / 12).alias("b"))
+    size = F.sqrt("a") * F.sqrt("b")
+    q = F.when((F.col("n") >= least) & (size > 0), F.col("both") / F.when(size > 0, size))
+    strength = F.get(F.array(*map(F.lit, strengths)), F.col("k"))
+    return found.select("g.*", "both", "a").join(labels, ["outer", "inner"]).select("outer", "inner", strength.alias("strength"), q.alias("q"))
+
+
 def nested(rows: DataFrame, key: list[str], group: str, binary: bool, grid: tuple[float, ...], inner: int = 3, seed: int = 43) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold scores ``key, y, outer, strength, score`` of rows with ``fold``, and the ``strength`` that each outer fold's inner folds chose.
 
@@ -254,10 +383,8 @@ def nested(rows: DataFrame, key: list[str], group: str, binary: bool, grid: tupl
     by = ["outer", "inner", "strength"]
     if binary:
         quality = auroc(written(scored(split, [], tried), "scores").where(F.col("inner") != WHOLE), "y", "score", by).withColumnRenamed("auroc", "q")
-    else:  # a label's rank in its cell is the same at every strength
-        found = rank_correlations(trials(split, tried, grid), by[:2], ["y", *(f"s{k}" for k in range(len(grid)))])
-        each = F.array(*(F.struct(F.lit(s).alias("strength"), F.get("rho", F.lit(k)).alias("q")) for k, s in enumerate(grid)))
-        quality = found.select("g.outer", "g.inner", F.inline(each))
+    else:
+        quality = rank_quality(split, key, tried, grid)
     place = F.array_position(F.array(*map(F.lit, grid)), F.col("strength"))
     worth = quality.groupBy("outer", "strength").agg(F.avg(F.when(~F.isnan("q"), F.col("q"))).alias("q"))
     first = F.row_number().over(Window.partitionBy("outer").orderBy(F.desc_nulls_last(F.round("q", 9)), place))
